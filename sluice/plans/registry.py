@@ -62,4 +62,4 @@ def all_oracles() -> dict[str, str]:
 
 def _load() -> None:
     # Importing the plan modules fills the registry.
-    from . import code, history  # noqa: F401
+    from . import chat, code, history  # noqa: F401
