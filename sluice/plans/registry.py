@@ -24,6 +24,8 @@ def with_views(views: tuple[str, ...], body: str) -> str:
     body = body.strip()
     if not head:
         return body
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + head[5:].rstrip() + ",\n" + body[15:]
     if body[:5].upper() == "WITH ":
         return head.rstrip() + ",\n" + body[5:]
     return head + body
@@ -62,4 +64,4 @@ def all_oracles() -> dict[str, str]:
 
 def _load() -> None:
     # Importing the plan modules fills the registry.
-    from . import chat, code, history  # noqa: F401
+    from . import chat, code, history, tasks  # noqa: F401
