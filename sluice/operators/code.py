@@ -261,8 +261,8 @@ def syntax_findings(files: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- metrics
 
-def quality_columns(code: Column, language: Column, functions: Column | None = None) -> list[Column]:
-    """D9 as columns over the file's lines (``split`` on ``\\n``)."""
+def quality_exprs(code: Column, language: Column, functions: Column | None = None) -> dict[str, Column]:
+    """D9 as named expressions over the file's lines (``split`` on ``\\n``)."""
     lines = F.split(code, "\n", -1)
     n = F.size(lines)
 
@@ -272,18 +272,21 @@ def quality_columns(code: Column, language: Column, functions: Column | None = N
     fn = functions if functions is not None else functions_of(code, language)
     tabs = F.instr(code, "\t") > 0
     space_led = F.exists(lines, lambda l: l.startswith(" "))
-    return [
-        n.cast("int").alias("total_lines"),
-        count_matching(r"(?U)\S").cast("int").alias("non_empty_lines"),
-        F.when(language == "python", count_matching(r"(?U)^\s*#"))
-        .otherwise(count_matching(r"(?U)^\s*//")).cast("int").alias("comment_lines"),
-        ((F.length(code) - (n - 1)) / n).alias("average_line_length"),
-        F.size(fn).cast("int").alias("functions"),
-        F.when((language == "python") & tabs & space_led, 1).otherwise(0).cast("int")
-        .alias("indentation_issues"),
-        F.size(F.filter(lines, lambda l: F.length(l) > fixed.LONG_LINE_CHARS)).cast("int")
-        .alias("long_lines"),
-    ]
+    return {
+        "total_lines": n.cast("int"),
+        "non_empty_lines": count_matching(r"(?U)\S").cast("int"),
+        "comment_lines": F.when(language == "python", count_matching(r"(?U)^\s*#"))
+        .otherwise(count_matching(r"(?U)^\s*//")).cast("int"),
+        "average_line_length": (F.length(code) - (n - 1)) / n,
+        "functions": F.size(fn).cast("int"),
+        "indentation_issues": F.when((language == "python") & tabs & space_led, 1).otherwise(0).cast("int"),
+        "long_lines": F.size(F.filter(lines, lambda l: F.length(l) > fixed.LONG_LINE_CHARS)).cast("int"),
+    }
+
+
+def quality_columns(code: Column, language: Column, functions: Column | None = None) -> list[Column]:
+    """D9 as aliased columns."""
+    return [c.alias(k) for k, c in quality_exprs(code, language, functions).items()]
 
 
 def quality_metrics(files: DataFrame) -> DataFrame:

@@ -64,4 +64,4 @@ def all_oracles() -> dict[str, str]:
 
 def _load() -> None:
     # Importing the plan modules fills the registry.
-    from . import chat, code, history, tasks  # noqa: F401
+    from . import chat, code, history, prompts, tasks  # noqa: F401
