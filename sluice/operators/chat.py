@@ -97,13 +97,16 @@ def doc_style(content: Column) -> Column:
 
 
 def chat_requests(messages: DataFrame) -> DataFrame:
-    """F1-F5 in one projection: what each message asks for, with its parameters."""
-    df = extract_fence(messages)
-    c = F.col("content")
-    intent = route_intent(c)
+    """F1-F5 in one projection: what each message asks for, with its parameters.
+
+    ``intent`` is computed once as a column and referenced afterwards, so the
+    routing expression is not repeated inside the generated code.
+    """
+    df = extract_fence(messages).withColumn("intent", route_intent(F.col("content")))
+    c, intent = F.col("content"), F.col("intent")
     return df.select(
-        "message_id", "session_id", "created_at", "code", "language",
-        intent.alias("intent"), route_action(intent, F.col("code")).alias("action"),
+        "message_id", "session_id", "created_at", "code", "language", "intent",
+        route_action(intent, F.col("code")).alias("action"),
         F.when(intent == "debug", error_message(c)).alias("error_message"),
         F.when(intent == "analyze", analysis_type(c)).alias("analysis_type"),
         F.when(intent == "docs", doc_type(c)).alias("doc_type"),

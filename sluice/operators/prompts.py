@@ -100,7 +100,8 @@ def debug_prompts(requests: DataFrame) -> DataFrame:
     Adds ``findings_count``, ``prompt`` and ``prompt_tokens``.
     """
     lang = F.coalesce(F.col("language"), F.lit("unknown"))
-    findings = findings_of(F.col("code"), lang)
+    requests = requests.withColumn("_findings", findings_of(F.col("code"), lang))
+    findings = F.col("_findings")
     err = F.col("error_message")
     user = F.concat(
         F.lit("Debug this "), lang, F.lit(" code:\n\n"), _fenced(lang, F.col("code")),
@@ -111,7 +112,7 @@ def debug_prompts(requests: DataFrame) -> DataFrame:
         F.lit(DEBUG_ASK))
     prompt = F.concat(preamble("debugger"), F.lit("\n\n"), user)
     return (requests.withColumn("findings_count", F.size(findings).cast("int"))
-            .withColumn("prompt", prompt)
+            .withColumn("prompt", prompt).drop("_findings")
             .withColumn("prompt_tokens", token_estimate(F.col("prompt"))))
 
 
@@ -120,8 +121,8 @@ def analysis_prompts(requests: DataFrame) -> DataFrame:
     analysis type falls back to the comprehensive section."""
     lang = F.coalesce(F.col("language"), F.lit("unknown"))
     atype = F.coalesce(F.col("analysis_type"), F.lit(fixed.ANALYSIS_DEFAULT))
-    fn = functions_of(F.col("code"), lang)
-    m = quality_exprs(F.col("code"), lang, fn)
+    requests = requests.withColumn("_fn", functions_of(F.col("code"), lang))
+    m = quality_exprs(F.col("code"), lang, F.col("_fn"))
     metrics = F.concat(
         F.lit("Metrics:\n- Lines: "), m["total_lines"].cast("string"),
         F.lit("\n- Non-blank lines: "), m["non_empty_lines"].cast("string"),
@@ -134,7 +135,7 @@ def analysis_prompts(requests: DataFrame) -> DataFrame:
     user = F.concat(F.lit("Review this "), lang, F.lit(" code:\n\n"), _fenced(lang, F.col("code")),
                     metrics, section, F.lit("\n\nGive concrete, actionable feedback."))
     prompt = F.concat(preamble("analyzer", instructions), F.lit("\n\n"), user)
-    return (requests.withColumn("prompt", prompt)
+    return (requests.withColumn("prompt", prompt).drop("_fn")
             .withColumn("prompt_tokens", token_estimate(F.col("prompt"))))
 
 
