@@ -64,4 +64,4 @@ def all_oracles() -> dict[str, str]:
 
 def _load() -> None:
     # Importing the plan modules fills the registry.
-    from . import cache, chat, code, history, prompts, tasks  # noqa: F401
+    from . import cache, chat, code, history, prompts, streams, tasks  # noqa: F401
