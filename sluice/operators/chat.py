@@ -23,30 +23,39 @@ FENCE_PATTERN = r"(?sU)```(\w+)?\n(.*?)\n```"
 
 
 def _any_word(text: Column, words) -> Column:
-    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+    """Substring test for any of ``words`` as one regex alternation (the words
+    are plain letters, so this is exactly an OR of ``contains``)."""
+    return text.rlike("|".join(words))
 
 
-def fence_code(content: Column) -> Column:
-    return F.when(content.rlike(FENCE_PATTERN), F.regexp_extract(content, FENCE_PATTERN, 2))
+def fence_match(content: Column) -> Column:
+    """The whole first fenced block, or '' when there is none (a match always
+    holds the fence characters, so it is never empty)."""
+    return F.regexp_extract(content, FENCE_PATTERN, 0)
 
 
-def fence_language(content: Column) -> Column:
-    lang = F.regexp_extract(content, FENCE_PATTERN, 1)
-    return F.when(content.rlike(FENCE_PATTERN),
-                  F.when(lang == "", F.lit("unknown")).otherwise(lang))
+def fence_code(fence: Column) -> Column:
+    """Body of a fenced block found by :func:`fence_match` (NULL if none)."""
+    return F.when(fence != "", F.regexp_extract(fence, FENCE_PATTERN, 2))
+
+
+def fence_language(fence: Column) -> Column:
+    lang = F.regexp_extract(fence, FENCE_PATTERN, 1)
+    return F.when(fence != "", F.when(lang == "", F.lit("unknown")).otherwise(lang))
 
 
 def extract_fence(messages: DataFrame) -> DataFrame:
     """code and language of the message: the attachment if there is one
     (language from its name, chat-page rule), else the first fenced block
     (its tag or ``unknown``), else NULL for both."""
-    content = F.col("content")
-    code, lang = fence_code(content), fence_language(content)
+    df = messages.withColumn("_fence", fence_match(F.col("content")))
+    fence = F.col("_fence")
+    code, lang = fence_code(fence), fence_language(fence)
     if "attachment_code" in messages.columns:
         has_file = F.col("attachment_code").isNotNull() & (F.col("attachment_code") != "")
         code = F.when(has_file, F.col("attachment_code")).otherwise(code)
         lang = F.when(has_file, upload_language(F.col("attachment_name"))).otherwise(lang)
-    return messages.withColumn("code", code).withColumn("language", lang)
+    return df.withColumn("code", code).withColumn("language", lang).drop("_fence")
 
 
 def route_intent(content: Column) -> Column:
