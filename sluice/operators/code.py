@@ -135,7 +135,9 @@ def _find_all(code: Column, pattern: str) -> Column:
         F.regexp_extract(p, pattern, 1).alias("name"),
         F.regexp_extract(p, pattern, 2).alias("params"),
         ln.alias("line")))
-    return F.slice(found, 2, F.size(found) - 1)
+    # texts without a match skip the split and the running line count
+    return F.when(code.rlike(pattern), F.slice(found, 2, F.size(found) - 1)) \
+        .otherwise(F.array().cast(_FN_TYPE))
 
 
 def _clean(code: Column) -> Column:
@@ -231,10 +233,15 @@ def pattern_findings(code: Column, language: Column) -> Column:
             x["line"].cast("int").alias("line"), ustrip(x["text"]).alias("code"),
             F.lit("high").alias("severity")))
 
-    expr = F.array().cast(f"array<{_FINDING_TYPE}>")
+    empty = F.array().cast(f"array<{_FINDING_TYPE}>")
+    expr = empty
     for lang, pats in reversed(list(fixed.ERROR_PATTERNS.items())):
-        found = reduce(F.concat, [per_pattern(p, m) for p, m in pats])
-        expr = F.when(language == lang, found).otherwise(expr)
+        # a pattern's lines are scanned only when the pattern occurs in the
+        # text at all; the whole language is skipped when none occurs
+        found = reduce(F.concat, [F.when(code.rlike(p), per_pattern(p, m)).otherwise(empty)
+                                  for p, m in pats])
+        any_hit = code.rlike("|".join(f"(?:{p})" for p, _ in pats))
+        expr = F.when(language == lang, F.when(any_hit, found).otherwise(empty)).otherwise(expr)
     return expr
 
 

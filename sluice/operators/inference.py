@@ -28,7 +28,7 @@ from . import prompts as P
 Provider = Callable[["object"], "object"]
 ProviderFactory = Callable[[], Provider]
 
-REPLY_SCHEMA = "_prompt_hash string, reply string, provider string, call_ms double"
+REPLY_SCHEMA = "_prompt_hash string, reply string, provider string, call_ms double, prompt_chars long"
 
 
 def _caller(providers: Sequence[tuple[str, ProviderFactory]]):
@@ -62,7 +62,8 @@ def _caller(providers: Sequence[tuple[str, ProviderFactory]]):
                 todo.loc[got] = False
             per_row = (time.perf_counter() - t0) * 1000.0 / max(len(pdf), 1)
             yield pd.DataFrame({"_prompt_hash": pdf["_prompt_hash"], "reply": reply,
-                                "provider": chosen, "call_ms": per_row})
+                                "provider": chosen, "call_ms": per_row,
+                                "prompt_chars": prompts.str.len().astype("int64")})
 
     return call
 
@@ -80,7 +81,7 @@ def batch_inference(df: DataFrame, providers: Sequence[tuple[str, ProviderFactor
     if max_parallel_calls:
         distinct = distinct.repartition(max_parallel_calls, "_prompt_hash")
     replies = distinct.mapInPandas(_caller(providers), REPLY_SCHEMA)
-    return keyed.join(replies, "_prompt_hash", "left").drop("_prompt_hash")
+    return keyed.join(replies.drop("prompt_chars"), "_prompt_hash", "left").drop("_prompt_hash")
 
 
 # ------------------------------------------------------------------ agents
@@ -113,6 +114,9 @@ def agent_prompts(requests: DataFrame) -> DataFrame:
     return out
 
 
+INPUT_COLUMNS = ["agent_type", "code", "language", "error_message", "analysis_type", "doc_type", "style"]
+
+
 def agent_job(requests: DataFrame, providers: Sequence[tuple[str, ProviderFactory]],
               max_parallel_calls: int | None = None, checkpoint: bool = True):
     """One response row per request, plus history and execution rows.
@@ -121,23 +125,36 @@ def agent_job(requests: DataFrame, providers: Sequence[tuple[str, ProviderFactor
     code fails with ``No code provided``; a request without any reply fails
     with ``Failed to get response from LLM`` and, as in the service, is not
     logged. Successful requests produce one history and one execution row.
+
+    A prompt is a pure function of the request's inputs, so requests are
+    de-duplicated on a hash of those inputs first: prompts are assembled and
+    sent once per distinct input, and the answers join back on the hash.
     """
     has_code = F.col("code").isNotNull() & (F.col("code") != "")
-    with_code = agent_prompts(requests.where(has_code))
-    answered = batch_inference(with_code, providers, max_parallel_calls=max_parallel_calls)
+    keyed = requests.withColumn(
+        "_in_hash", F.sha2(F.to_json(F.struct(*[F.col(c) for c in INPUT_COLUMNS])), 256))
+    distinct = keyed.where(has_code).select("_in_hash", *INPUT_COLUMNS).dropDuplicates(["_in_hash"])
+    prompted = agent_prompts(distinct).select("_in_hash", "prompt")
+    if max_parallel_calls:
+        prompted = prompted.repartition(max_parallel_calls, "_in_hash")
+    answers = prompted.withColumnRenamed("_in_hash", "_prompt_hash").mapInPandas(
+        _caller(providers), REPLY_SCHEMA).withColumnRenamed("_prompt_hash", "_in_hash")
     if checkpoint:
-        checkpoint_dir(answered.sparkSession)
-        answered = answered.checkpoint(eager=True)
+        checkpoint_dir(answers.sparkSession)
+        answers = answers.checkpoint(eager=True)
+    answered = keyed.where(has_code).join(answers, "_in_hash").drop("_in_hash")
     ok = F.col("reply") != ""
     settings = F.create_map(*[F.lit(x) for k, (t, m) in fixed.AGENT_SETTINGS.items()
                               for x in (k, F.struct(F.lit(t).alias("temperature"), F.lit(m).alias("max_tokens")))])
     meta = F.to_json(F.struct(F.col("language"), F.col("provider"),
                               F.try_element_at(settings, F.col("agent_type")).alias("settings")))
+    tokens = (P.floor_div(F.col("prompt_chars"), fixed.CHARS_PER_TOKEN)
+              + P.floor_div(F.length("reply"), fixed.CHARS_PER_TOKEN))
     responses = answered.select(
         "request_id", "session_id", "agent_type", ok.alias("success"),
         F.when(ok, F.col("reply")).alias("result"),
         F.when(~ok, F.lit("Failed to get response from LLM")).alias("error"),
-        F.when(ok, P.token_estimate(F.col("prompt"), F.col("reply"))).alias("tokens_used"),
+        F.when(ok, tokens).alias("tokens_used"),
         F.col("call_ms").alias("execution_time_ms"), F.col("provider"), meta.alias("metadata_json"))
     no_code = requests.where(~has_code).select(
         "request_id", "session_id", "agent_type", F.lit(False).alias("success"),
@@ -149,10 +166,13 @@ def agent_job(requests: DataFrame, providers: Sequence[tuple[str, ProviderFactor
     good = answered.where(ok).withColumn("user_message", _user_message(F.col("agent_type")))
     history_rows = good.select("session_id", "user_message", F.col("reply").alias("agent_response"),
                                "agent_type", meta.alias("metadata_json"))
-    exec_rows = P.execution_rows(good).select(
-        "session_id", "agent_type", F.col("user_message").alias("task_description"), "status",
-        "result", F.lit(None).cast("string").alias("error_message"),
-        F.col("call_ms").alias("execution_time_ms"), "tokens_used", "model_used")
+    exec_rows = good.select(
+        "session_id", "agent_type", F.col("user_message").alias("task_description"),
+        F.lit("completed").alias("status"),
+        F.substring("reply", 1, fixed.RESULT_PREFIX_CHARS).alias("result"),
+        F.lit(None).cast("string").alias("error_message"),
+        F.col("call_ms").alias("execution_time_ms"), tokens.alias("tokens_used"),
+        F.col("provider").alias("model_used"))
     return responses, history_rows, exec_rows
 
 
