@@ -161,3 +161,89 @@ def _topk_scan_bc(bc, k, digits):
 
 def ttl_hours_cutoff(as_of: str, hours: int) -> str:
     return (_dt.datetime.fromisoformat(as_of) - _dt.timedelta(hours=hours)).strftime("%Y-%m-%d %H:%M:%S")
+
+
+# ------------------------------------------------------------------ H6
+
+def _next_fill_candidates(req: DataFrame, ttl_us: int, bucket_us: int) -> DataFrame:
+    """For every request r: the first request s of the same key (by time, id)
+    with ``t_s >= t_r + ttl``, as columns ``next_id``.
+
+    An as-of lookup split by time bucket so no key is handled whole by one
+    task: (1) inside the target's bucket, probes and requests share a window
+    partitioned by (key, bucket), walked newest first with a running
+    ``last(ignorenulls)``; (2) otherwise the first request of the first later
+    non-empty bucket, from a per-(key, bucket) minimum — one row per bucket.
+    """
+    cand = F.struct("t", "id")
+    probes = req.select("cache_key", F.col("id").alias("probe_of"),
+                        (F.col("t") + F.lit(ttl_us)).alias("t"), F.lit(0).alias("kind"),
+                        F.lit(None).cast("bigint").alias("id"))
+    rows = req.select("cache_key", F.lit(None).cast("bigint").alias("probe_of"), "t",
+                      F.lit(1).alias("kind"), "id")
+    both = probes.unionByName(rows).withColumn("bucket", F.floor(F.col("t") / F.lit(bucket_us)))
+    w = (Window.partitionBy("cache_key", "bucket")
+         .orderBy(F.col("t").desc(), F.col("kind").desc(), F.col("id").desc())
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    in_bucket = (both.withColumn("hit", F.last(F.when(F.col("kind") == 1, cand), ignorenulls=True).over(w))
+                 .where(F.col("kind") == 0)
+                 .select("cache_key", "bucket", "probe_of", F.col("hit.id").alias("same_bucket_id")))
+    firsts = rows.withColumn("bucket", F.floor(F.col("t") / F.lit(bucket_us))) \
+        .groupBy("cache_key", "bucket").agg(F.min(cand).alias("first"))
+    probe_buckets = in_bucket.select("cache_key", "bucket").distinct() \
+        .withColumn("first", F.lit(None).cast(firsts.schema["first"].dataType))
+    all_buckets = firsts.unionByName(probe_buckets).groupBy("cache_key", "bucket") \
+        .agg(F.min("first").alias("first"))
+    wb = (Window.partitionBy("cache_key").orderBy(F.col("bucket").desc())
+          .rowsBetween(Window.unboundedPreceding, -1))
+    later = all_buckets.withColumn("later", F.min("first").over(wb)) \
+        .select("cache_key", "bucket", F.col("later.id").alias("later_id"))
+    return (in_bucket.join(later, ["cache_key", "bucket"], "left")
+            .select(F.col("probe_of").alias("id"),
+                    F.coalesce("same_bucket_id", "later_id").alias("next_id")))
+
+
+def ttl_replay(requests: DataFrame, ttl_hours: int = 24, bucket_hours: float | None = None,
+               checkpoint_rounds: bool = True) -> DataFrame:
+    """H6: replay each key's requests in time order against a TTL cache.
+
+    The first request of a key misses and fills the entry; a request before
+    ``fill + ttl`` hits; the first one at or after it misses and refills.
+    ``requests(id, cache_key, created_at)`` → adds ``hit``.
+
+    Fills form a chain ``head → next(head) → …`` where ``next(r)`` is the
+    first request at or after ``t_r + ttl``. ``next`` comes from a bucketed
+    as-of lookup; chain membership from pointer doubling: after round k the
+    reached set holds every chain node within 2^(k+1) - 1 steps of a head, so
+    O(log n) joins on the request id (never on the key) finish the walk.
+    Each round is checkpointed to the session's checkpoint folder.
+    """
+    from ..session import checkpoint_dir
+
+    ttl_us = int(ttl_hours * 3600 * 1_000_000)
+    bucket_us = int((bucket_hours if bucket_hours else ttl_hours) * 3600 * 1_000_000)
+    spark = requests.sparkSession
+    if checkpoint_rounds:
+        checkpoint_dir(spark)
+
+    def cut(df):
+        return df.checkpoint(eager=True) if checkpoint_rounds else df
+
+    req = requests.select("id", "cache_key",
+                          F.unix_micros(F.col("created_at").cast("timestamp")).alias("t"))
+    jump = cut(_next_fill_candidates(req, ttl_us, bucket_us))            # (id, next_id)
+    heads = req.groupBy("cache_key").agg(F.min(F.struct("t", "id")).alias("h")) \
+        .select(F.col("h.id").alias("id"))
+    reach = cut(heads)
+    while True:
+        live = jump.where(F.col("next_id").isNotNull())
+        if live.isEmpty():
+            break
+        step = reach.join(live, "id").select(F.col("next_id").alias("id"))
+        reach = cut(reach.unionByName(step).distinct())
+        nxt = live.alias("a").join(live.alias("b"), F.col("a.next_id") == F.col("b.id")) \
+            .select(F.col("a.id").alias("id"), F.col("b.next_id").alias("next_id"))
+        jump = cut(nxt)
+    fills = reach.withColumn("_fill", F.lit(True))
+    return (requests.join(fills, "id", "left")
+            .withColumn("hit", F.col("_fill").isNull()).drop("_fill"))

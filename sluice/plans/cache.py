@@ -68,3 +68,24 @@ def similar_entries(t):
     queries = t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding")
     out = H.similar_entries(queries, entries, k=5)
     return out.withColumn("score", F.round("score", 6))
+
+
+@query("ttl_replay", (), """
+WITH RECURSIVE r AS (
+  SELECT event_id AS id, md5(event_type || '|' || props) AS cache_key, ts AS created_at,
+    ROW_NUMBER() OVER (PARTITION BY md5(event_type || '|' || props) ORDER BY ts, event_id) AS rn
+  FROM events),
+walk AS (
+  SELECT cache_key, rn, id, created_at AS fill_at, false AS hit FROM r WHERE rn = 1
+  UNION ALL
+  SELECT n.cache_key, n.rn, n.id,
+    CASE WHEN n.created_at >= w.fill_at + INTERVAL 24 HOUR THEN n.created_at ELSE w.fill_at END,
+    n.created_at < w.fill_at + INTERVAL 24 HOUR
+  FROM walk w JOIN r n ON n.cache_key = w.cache_key AND n.rn = w.rn + 1)
+SELECT id, cache_key, hit FROM walk""")
+def ttl_replay(t):
+    """Every event reads its key through a 24-hour TTL cache: hit or refill."""
+    reqs = t.events.select(F.col("event_id").alias("id"),
+                           F.md5(F.concat_ws("|", "event_type", "props")).alias("cache_key"),
+                           F.col("ts").alias("created_at"))
+    return H.ttl_replay(reqs, ttl_hours=24).select("id", "cache_key", "hit")

@@ -33,3 +33,35 @@ def test_similar_entries_equals_brute_force(spark):
         order = sorted(range(len(s)), key=lambda i: (-s[i], i))[:5]
         assert sorted(got[qi]) == [(k + 1, i) for k, i in enumerate(order)], qi
     assert [i for _, i in sorted(got[0])] == [10, 50, 51, 52, 53]
+
+
+def _walk(rows, ttl):
+    """Python restatement of the TTL walk: rows (id, key, t_hours) → {id: hit}."""
+    out, fill = {}, {}
+    for rid, key, t in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        if key in fill and t < fill[key] + ttl:
+            out[rid] = True
+        else:
+            fill[key] = t
+            out[rid] = False
+    return out
+
+
+def test_ttl_replay_matches_walk_for_any_bucket_width(spark):
+    import datetime as dt
+    import random
+
+    rnd = random.Random(5)
+    rows = []
+    for i in range(600):
+        key = "hot" if i % 3 == 0 else f"k{rnd.randint(0, 20)}"     # one key holds a third
+        rows.append((i, key, rnd.randint(0, 24 * 20) + rnd.choice([0, 0.5])))
+    rows.append((600, "k1", 10.0))
+    rows.append((601, "k1", 10.0))                                  # tie on time, broken by id
+    base = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(i, k, base + dt.timedelta(hours=h)) for i, k, h in rows],
+                               "id long, cache_key string, created_at timestamp_ntz")
+    want = _walk(rows, 24)
+    for bucket in (None, 1, 7.5, 100):
+        got = {r.id: r.hit for r in H.ttl_replay(df, 24, bucket_hours=bucket).collect()}
+        assert got == want, bucket
