@@ -59,18 +59,27 @@ def _order_fold(tasks: Column) -> Column:
                     F.array().cast(f"array<{ELEM}>").alias("order"),
                     F.lit(False).alias("done"), F.lit(False).alias("cycle"))
 
+    none = F.lit(None).cast(ELEM)
+
     def step(acc, _i):
-        ready = F.filter(tasks, lambda x: ~F.array_contains(acc["taken"], x["task_id"])
-                         & F.forall(x["deps"], lambda d: F.array_contains(acc["taken"], d)))
-        rest = F.filter(tasks, lambda x: ~F.array_contains(acc["taken"], x["task_id"]))
-        first = F.element_at(ready, 1)
-        took = F.struct(F.concat(acc["taken"], F.array(first["task_id"])).alias("taken"),
-                        F.concat(acc["order"], F.array(first)).alias("order"),
-                        F.lit(False).alias("done"), acc["cycle"].alias("cycle"))
-        stuck = F.struct(acc["taken"].alias("taken"), F.concat(acc["order"], rest).alias("order"),
-                         F.lit(True).alias("done"), F.lit(True).alias("cycle"))
-        return (F.when(acc["done"] | (F.size(acc["order"]) >= n), acc)
-                .when(F.size(ready) > 0, took).otherwise(stuck))
+        taken = acc["taken"]
+        # first ready task in list order; the AND short-circuits once found
+        first_ready = F.aggregate(tasks, none, lambda best, x: F.when(
+            best.isNull() & ~F.array_contains(taken, x["task_id"])
+            & F.forall(x["deps"], lambda d: F.array_contains(taken, d)), x).otherwise(best))
+
+        def advance(acc2, first):
+            took = F.struct(F.concat(taken, F.array(first["task_id"])).alias("taken"),
+                            F.concat(acc2["order"], F.array(first)).alias("order"),
+                            F.lit(False).alias("done"), acc2["cycle"].alias("cycle"))
+            rest = F.filter(tasks, lambda x: ~F.array_contains(taken, x["task_id"]))
+            stuck = F.struct(taken.alias("taken"), F.concat(acc2["order"], rest).alias("order"),
+                             F.lit(True).alias("done"), F.lit(True).alias("cycle"))
+            return F.when(first.isNull(), stuck).otherwise(took)
+
+        # a one-element fold binds the pick once (a "let"), so it is not recomputed
+        moved = F.aggregate(F.array(first_ready), acc, advance)
+        return F.when(acc["done"] | (F.size(acc["order"]) >= n), acc).otherwise(moved)
 
     return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), init, step)
 
