@@ -150,3 +150,61 @@ def read_stream_like(spark, df: DataFrame, path: str, fmt: str = "parquet",
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.load(path)
+
+
+# ------------------------------------------------------------------ H6 (stream)
+
+TTL_OUT_SCHEMA = "id long, cache_key string, created_at timestamp_ntz, hit boolean"
+TTL_STATE_SCHEMA = "fill_us long, pending array<struct<t:long,id:long>>"
+
+
+def ttl_replay_stream(requests: DataFrame, ttl_hours: int = 24,
+                      watermark: str = DEFAULT_WATERMARK) -> DataFrame:
+    """H6 on a stream: per key, the fill time lives in the state store.
+
+    Rows are buffered in the key's state until the watermark passes them and
+    are then replayed in (time, id) order, so the answer does not depend on
+    arrival order within the watermark delay. Rows later than the watermark
+    are dropped by Spark before they reach the state. Output is append-only.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    ttl_us = int(ttl_hours * 3600 * 1_000_000)
+    df = (requests.withColumn("event_time", event_time("created_at"))
+          .withWatermark("event_time", watermark)
+          .select("cache_key", "event_time", "id",
+                  F.unix_micros(F.col("event_time")).alias("t")))
+
+    def replay(key, batches, state):
+        import datetime as dt
+
+        import pandas as pd
+
+        fill, pending = (state.get if state.exists else (None, []))
+        pending = [(int(p["t"]) if isinstance(p, dict) else int(p[0]),
+                    int(p["id"]) if isinstance(p, dict) else int(p[1])) for p in (pending or [])]
+        for pdf in batches:
+            pending.extend(zip(pdf["t"].astype("int64"), pdf["id"].astype("int64")))
+        wm = state.getCurrentWatermarkMs() * 1000
+        pending.sort()
+        if state.hasTimedOut:
+            ready, keep = pending, []
+        else:
+            ready = [p for p in pending if p[0] <= wm]
+            keep = pending[len(ready):]        # pending is sorted by time
+        out = []
+        for t, rid in ready:
+            if fill is not None and t < fill + ttl_us:
+                out.append((rid, key[0], dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=t), True))
+            else:
+                fill = t
+                out.append((rid, key[0], dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=t), False))
+        if keep:
+            state.update((fill, [{"t": t, "id": i} for t, i in keep]))
+            state.setTimeoutTimestamp(max(keep[0][0] // 1000, state.getCurrentWatermarkMs() + 1))
+        elif fill is not None:
+            state.update((fill, []))
+        yield pd.DataFrame(out, columns=["id", "cache_key", "created_at", "hit"])
+
+    return df.groupBy("cache_key").applyInPandasWithState(
+        replay, TTL_OUT_SCHEMA, TTL_STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)

@@ -86,3 +86,46 @@ def test_route_stream_and_replayable_sink(spark):
     # replaying batch 0 overwrites its own folder instead of appending again
     J.idempotent_append(f"{d}/errors")(want, 0)
     assert spark.read.parquet(f"{d}/errors").count() == want.count()
+
+
+def test_ttl_replay_stream_equals_batch_on_passed_rows(spark):
+    import datetime as dt
+
+    from sluice.operators import cache as H
+
+    t = Tables(spark, SMOKE_DIR)
+    d = _scratch()
+    reqs = t.events.select(F.col("event_id").alias("id"),
+                           F.md5(F.concat_ws("|", "event_type", "props")).alias("cache_key"),
+                           F.col("ts").alias("created_at"))
+    # arrive in four time slices
+    bounds = ["2024-01-01", "2024-01-08", "2024-01-15", "2024-01-23", "2024-02-01"]
+    for i, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
+        reqs.where((F.col("created_at") >= F.lit(lo).cast("timestamp_ntz"))
+                   & (F.col("created_at") < F.lit(hi).cast("timestamp_ntz"))).write.parquet(f"{d}/in/p{i}")
+    stream = J.read_stream_like(spark, reqs, f"{d}/in/*", max_files_per_trigger=1)
+    q = (J.ttl_replay_stream(stream).writeStream.format("parquet").option("path", f"{d}/out")
+         .option("checkpointLocation", f"{d}/ck").outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination(600)
+    got = {(r.id, r.hit) for r in spark.read.parquet(f"{d}/out").collect()}
+    want = {(r.id, r.hit) for r in H.ttl_replay(reqs, 24).collect()}
+    assert len(got) > 0.5 * len(want)
+    assert got <= want
+
+
+def test_stream_log_writes_both_tables(spark):
+    d = _scratch()
+    rows = spark.createDataFrame(
+        [("s1", "Debug python code", "r" * 700, "debugger", None, 12.5, 40, "PrimaryStub"),
+         ("s2", "Analyze java code (security)", "ok", "analyzer", '{"a": 1}', 3.0, 7, "FallbackStub")],
+        "session_id string, user_message string, reply string, agent_type string, metadata_json string, "
+        "execution_time_ms double, tokens_used long, provider string")
+    rows.write.parquet(f"{d}/in")
+    stream = J.read_stream_like(spark, rows, f"{d}/in")
+    for q in J.stream_log(stream, f"{d}/hist", f"{d}/exec", f"{d}/ck"):
+        q.awaitTermination(300)
+    hist = spark.read.parquet(f"{d}/hist")
+    execs = spark.read.parquet(f"{d}/exec")
+    assert hist.count() == 2 and execs.count() == 2
+    assert {r.metadata_json for r in hist.collect()} == {"{}", '{"a": 1}'}
+    assert max(len(r.result) for r in execs.collect()) == 500
