@@ -195,7 +195,10 @@ def dependency_violations(plan: DataFrame) -> DataFrame:
     so it needs no self-join.
     """
     p = plan if "exec_tasks" in plan.columns else with_priority_order(plan)
-    ids = F.transform("exec_tasks", lambda x: x["task_id"])
+    # the id list is a column of its own, so the nested lambdas read it
+    # instead of rebuilding it for every (task, dependency) pair
+    p = p.withColumn("_ids", F.transform("exec_tasks", lambda x: x["task_id"]))
+    ids = F.col("_ids")
     pairs = F.flatten(F.transform("exec_tasks", lambda x: F.transform(
         x["deps"], lambda d: F.struct(x["task_id"].alias("task_id"), d.alias("depends_on"),
                                       x["exec_ord"].alias("task_exec_ord"),
