@@ -169,11 +169,18 @@ def docs_prompts(t):
 
 @query("batch_inference", ("chat_messages",))
 def batch_inference(t):
-    """E5 over every routed chat request's prompt, with the stub providers."""
+    """E5 over every routed chat request's prompt, with the stub providers.
+
+    Prompts depend only on the request inputs, so they are built for the
+    distinct inputs and the replies join back to every request.
+    """
     reqs = I.requests_from_chat(C.chat_requests(t.chat_messages)).where(F.col("code").isNotNull())
-    prompts = I.agent_prompts(reqs)
-    out = I.batch_inference(prompts, I.stub_providers(), max_parallel_calls=8)
-    return out.select("request_id", "agent_type", "provider", "reply")
+    keyed = reqs.withColumn("_in_hash", F.sha2(F.to_json(F.struct(*I.INPUT_COLUMNS)), 256))
+    distinct = keyed.select("_in_hash", *I.INPUT_COLUMNS).dropDuplicates(["_in_hash"])
+    answered = I.batch_inference(I.agent_prompts(distinct), I.stub_providers(), max_parallel_calls=8)
+    return (keyed.select("request_id", "_in_hash")
+            .join(answered.select("_in_hash", "agent_type", "provider", "reply"), "_in_hash")
+            .drop("_in_hash"))
 
 
 @query("agent_job", ("chat_messages",))
