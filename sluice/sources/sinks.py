@@ -1,8 +1,9 @@
 """Sinks for the two log tables (A3, A4) and the session delete (A5).
 
 Appends are partitioned by day so "last N days" reads prune partitions.
-Identifiers continue after the largest id already written (read from the
-``id`` column only; parquet footers answer it), then grow with
+Identifiers continue after the largest id already written (a scan of the
+``id`` column only; with ``spark.sql.parquet.aggregatePushdown`` the parquet
+footers answer it), then grow with
 ``monotonically_increasing_id`` — unique without a global sort or a
 single-partition window.
 """
