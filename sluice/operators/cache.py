@@ -7,8 +7,7 @@ key, the newest write (ties broken on the larger id).
 
 from __future__ import annotations
 
-import datetime as _dt
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,8 +137,6 @@ def similar_entries(queries: DataFrame, entries: DataFrame, k: int = 5, digits:
     partial = None
     for p in range(passes):
         part = keyed.where(F.col("_pass") == p) if passes > 1 else keyed
-        import numpy as np
-
         tbl = part.select("query_id", "embedding").toArrow()
         ids = np.asarray(tbl.column("query_id").to_pylist(), dtype=np.int64)
         vecs = np.asarray(tbl.column("embedding").to_pylist(), dtype=np.float32)
@@ -159,10 +156,6 @@ def _topk_scan_bc(bc, k, digits):
     return scan
 
 
-def ttl_hours_cutoff(as_of: str, hours: int) -> str:
-    return (_dt.datetime.fromisoformat(as_of) - _dt.timedelta(hours=hours)).strftime("%Y-%m-%d %H:%M:%S")
-
-
 # ------------------------------------------------------------------ H6
 
 def _next_fill_candidates(req: DataFrame, ttl_us: int, bucket_us: int) -> DataFrame:

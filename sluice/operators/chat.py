@@ -8,7 +8,6 @@ tests on the lower-cased whole message, evaluated per row in codegen.
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
