@@ -45,7 +45,7 @@ res AS (
     CASE WHEN task_type IN {known} THEN 'completed' ELSE 'failed' END AS status,
     CASE WHEN task_type IN {known} THEN 'done: ' || task_type END AS result,
     CASE WHEN task_type NOT IN {known} THEN 'Unknown task type: ' || task_type END AS error,
-    priority * 100.0 + pos AS execution_time_ms
+    CAST(priority * 100 + pos AS DOUBLE) AS execution_time_ms
   FROM g3)
 """.format(known=_KNOWN)
 

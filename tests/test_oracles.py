@@ -16,6 +16,7 @@ ORACLES = all_oracles()
 def test_matches_oracle(spark, key):
     res = compare(spark, key, SMOKE_DIR, QUERIES[key], ORACLES[key])
     assert res["columns_match"], res
+    assert res["types_match"], res
     assert res["match"], res
 
 
