@@ -142,26 +142,26 @@ def agent_job(requests: DataFrame, providers: Sequence[tuple[str, ProviderFactor
     if checkpoint:
         checkpoint_dir(answers.sparkSession)
         answers = answers.checkpoint(eager=True)
-    answered = keyed.where(has_code).join(answers, "_in_hash").drop("_in_hash")
-    ok = F.col("reply") != ""
+    # one pass over the requests: rows without code find no answer
+    joined = keyed.join(answers, "_in_hash", "left").drop("_in_hash").withColumn("_has_code", has_code)
+    code_ok = F.col("_has_code")
+    ok = code_ok & (F.col("reply") != "")
     settings = F.create_map(*[F.lit(x) for k, (t, m) in fixed.AGENT_SETTINGS.items()
                               for x in (k, F.struct(F.lit(t).alias("temperature"), F.lit(m).alias("max_tokens")))])
     meta = F.to_json(F.struct(F.col("language"), F.col("provider"),
                               F.try_element_at(settings, F.col("agent_type")).alias("settings")))
     tokens = (P.floor_div(F.col("prompt_chars"), fixed.CHARS_PER_TOKEN)
               + P.floor_div(F.length("reply"), fixed.CHARS_PER_TOKEN))
-    responses = answered.select(
+    responses = joined.select(
         "request_id", "session_id", "agent_type", ok.alias("success"),
         F.when(ok, F.col("reply")).alias("result"),
-        F.when(~ok, F.lit("Failed to get response from LLM")).alias("error"),
+        F.when(~code_ok, F.lit("No code provided"))
+        .when(~ok, F.lit("Failed to get response from LLM")).alias("error"),
         F.when(ok, tokens).alias("tokens_used"),
-        F.col("call_ms").alias("execution_time_ms"), F.col("provider"), meta.alias("metadata_json"))
-    no_code = requests.where(~has_code).select(
-        "request_id", "session_id", "agent_type", F.lit(False).alias("success"),
-        F.lit(None).cast("string").alias("result"), F.lit("No code provided").alias("error"),
-        F.lit(None).cast("bigint").alias("tokens_used"), F.lit(0.0).alias("execution_time_ms"),
-        F.lit(None).cast("string").alias("provider"), F.lit(None).cast("string").alias("metadata_json"))
-    responses = responses.unionByName(no_code)
+        F.when(code_ok, F.col("call_ms")).otherwise(F.lit(0.0)).alias("execution_time_ms"),
+        F.when(code_ok, F.col("provider")).alias("provider"),
+        F.when(code_ok, meta).alias("metadata_json"))
+    answered = joined.where(code_ok)
 
     good = answered.where(ok).withColumn("user_message", _user_message(F.col("agent_type")))
     history_rows = good.select("session_id", "user_message", F.col("reply").alias("agent_response"),
