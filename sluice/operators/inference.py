@@ -133,7 +133,9 @@ def agent_job(requests: DataFrame, providers: Sequence[tuple[str, ProviderFactor
     has_code = F.col("code").isNotNull() & (F.col("code") != "")
     keyed = requests.withColumn(
         "_in_hash", F.sha2(F.to_json(F.struct(*[F.col(c) for c in INPUT_COLUMNS])), 256))
-    distinct = keyed.where(has_code).select("_in_hash", *INPUT_COLUMNS).dropDuplicates(["_in_hash"])
+    # filter after the de-duplication: the predicate then stays above the
+    # aggregate instead of being copied into the scan below it
+    distinct = keyed.select("_in_hash", *INPUT_COLUMNS).dropDuplicates(["_in_hash"]).where(has_code)
     prompted = agent_prompts(distinct).select("_in_hash", "prompt")
     if max_parallel_calls:
         prompted = prompted.repartition(max_parallel_calls, "_in_hash")

@@ -174,9 +174,10 @@ def batch_inference(t):
     Prompts depend only on the request inputs, so they are built for the
     distinct inputs and the replies join back to every request.
     """
-    reqs = I.requests_from_chat(C.chat_requests(t.chat_messages)).where(F.col("code").isNotNull())
+    reqs = I.requests_from_chat(C.chat_requests(t.chat_messages))
     keyed = reqs.withColumn("_in_hash", F.sha2(F.to_json(F.struct(*I.INPUT_COLUMNS)), 256))
-    distinct = keyed.select("_in_hash", *I.INPUT_COLUMNS).dropDuplicates(["_in_hash"])
+    distinct = (keyed.select("_in_hash", *I.INPUT_COLUMNS).dropDuplicates(["_in_hash"])
+                .where(F.col("code").isNotNull()))
     answered = I.batch_inference(I.agent_prompts(distinct), I.stub_providers(), max_parallel_calls=8)
     return (keyed.select("request_id", "_in_hash")
             .join(answered.select("_in_hash", "agent_type", "provider", "reply"), "_in_hash")
