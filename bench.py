@@ -30,16 +30,24 @@ def main() -> int:
     warm_dir = os.environ.get("BENCH_WARM_DIR", os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001"))
     if not os.path.isdir(warm_dir):
         warm_dir = sf_dir
+    errors: dict[str, str] = {}
     for key in sorted(queries):
         if only and key not in only:
             continue
-        queries[key](spark, warm_dir).write.format("noop").mode("overwrite").save()
+        try:
+            queries[key](spark, warm_dir).write.format("noop").mode("overwrite").save()
+        except Exception as exc:  # keep benchmarking the others
+            errors[key] = repr(exc)[:300]
     times: dict[str, float] = {}
     for key in sorted(queries):
         if only and key not in only:
             continue
         t0 = time.perf_counter()
-        queries[key](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        try:
+            queries[key](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        except Exception as exc:  # a failing query is reported, not timed
+            errors[key] = repr(exc)[:300]
+            continue
         times[key] = round(time.perf_counter() - t0, 3)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
@@ -50,6 +58,7 @@ def main() -> int:
         "sf": float(m.group(1)) if m else None,
         "cpus": cpus,
         "config": {"shuffle_partitions": 2 * cpus, "aqe": True},
+        "errors": errors,
     }))
     return 0
 
