@@ -48,7 +48,3 @@ def iso_text(ts: Column) -> Column:
     micros = F.date_format(ts, "SSSSSS")
     return F.when(micros == F.lit("000000"), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")) \
         .otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
-
-
-def as_ntz(col: Column) -> Column:
-    return col.cast("timestamp_ntz")

@@ -98,20 +98,25 @@ def _user_message(agent_type):
 
 
 def agent_prompts(requests: DataFrame) -> DataFrame:
-    """Prompt per agent request: the builder of its agent type.
+    """Prompt per agent request: the builder of its agent type (E2-E4), in
+    one projection over the request table.
 
     ``requests`` columns: request_id, session_id, agent_type, code, language,
     error_message, analysis_type, doc_type, style.
     """
-    parts = [
-        P.debug_prompts(requests.where(F.col("agent_type") == "debugger")).drop("findings_count"),
-        P.analysis_prompts(requests.where(F.col("agent_type") == "analyzer")),
-        P.docs_prompts(requests.where(F.col("agent_type") == "docs_generator")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return P.agent_prompt_column(requests).where(F.col("prompt").isNotNull())
+
+
+def call_providers(prompts: DataFrame, providers: Sequence[tuple[str, ProviderFactory]],
+                   key: str, max_parallel_calls: int | None = None) -> DataFrame:
+    """Send already-distinct prompts (one row per ``key``) to the providers.
+
+    Returns ``key, reply, provider, call_ms, prompt_chars``.
+    """
+    src = prompts.select(F.col(key).alias("_prompt_hash"), "prompt")
+    if max_parallel_calls:
+        src = src.repartition(max_parallel_calls, "_prompt_hash")
+    return src.mapInPandas(_caller(providers), REPLY_SCHEMA).withColumnRenamed("_prompt_hash", key)
 
 
 INPUT_COLUMNS = ["agent_type", "code", "language", "error_message", "analysis_type", "doc_type", "style"]
@@ -136,11 +141,7 @@ def agent_job(requests: DataFrame, providers: Sequence[tuple[str, ProviderFactor
     # filter after the de-duplication: the predicate then stays above the
     # aggregate instead of being copied into the scan below it
     distinct = keyed.select("_in_hash", *INPUT_COLUMNS).dropDuplicates(["_in_hash"]).where(has_code)
-    prompted = agent_prompts(distinct).select("_in_hash", "prompt")
-    if max_parallel_calls:
-        prompted = prompted.repartition(max_parallel_calls, "_in_hash")
-    answers = prompted.withColumnRenamed("_in_hash", "_prompt_hash").mapInPandas(
-        _caller(providers), REPLY_SCHEMA).withColumnRenamed("_prompt_hash", "_in_hash")
+    answers = call_providers(agent_prompts(distinct), providers, "_in_hash", max_parallel_calls)
     if checkpoint:
         checkpoint_dir(answers.sparkSession)
         answers = answers.checkpoint(eager=True)

@@ -94,14 +94,14 @@ def findings_text(findings: Column) -> Column:
     return F.array_join(lines, "\n")
 
 
-def debug_prompts(requests: DataFrame) -> DataFrame:
-    """Prompt per debug request (code, language, optional error_message).
+def _lang() -> Column:
+    return F.coalesce(F.col("language"), F.lit("unknown"))
 
-    Adds ``findings_count``, ``prompt`` and ``prompt_tokens``.
-    """
-    lang = F.coalesce(F.col("language"), F.lit("unknown"))
-    requests = requests.withColumn("_findings", findings_of(F.col("code"), lang))
-    findings = F.col("_findings")
+
+def debug_prompt(findings: Column) -> Column:
+    """E2 text from the request columns (code, language, error_message) and
+    its finding list (an array column computed once by the caller)."""
+    lang = _lang()
     err = F.col("error_message")
     user = F.concat(
         F.lit("Debug this "), lang, F.lit(" code:\n\n"), _fenced(lang, F.col("code")),
@@ -110,19 +110,15 @@ def debug_prompts(requests: DataFrame) -> DataFrame:
         F.when(F.size(findings) > 0, F.concat(F.lit("Static checks found:\n"), findings_text(findings),
                                               F.lit("\n\n"))).otherwise(F.lit("")),
         F.lit(DEBUG_ASK))
-    prompt = F.concat(preamble("debugger"), F.lit("\n\n"), user)
-    return (requests.withColumn("findings_count", F.size(findings).cast("int"))
-            .withColumn("prompt", prompt).drop("_findings")
-            .withColumn("prompt_tokens", token_estimate(F.col("prompt"))))
+    return F.concat(preamble("debugger"), F.lit("\n\n"), user)
 
 
-def analysis_prompts(requests: DataFrame) -> DataFrame:
-    """Prompt per analysis request, with the metrics block; an unknown
-    analysis type falls back to the comprehensive section."""
-    lang = F.coalesce(F.col("language"), F.lit("unknown"))
+def analysis_prompt(functions: Column) -> Column:
+    """E3 text from the request columns (code, language, analysis_type) and
+    its function list (an array column computed once by the caller)."""
+    lang = _lang()
     atype = F.coalesce(F.col("analysis_type"), F.lit(fixed.ANALYSIS_DEFAULT))
-    requests = requests.withColumn("_fn", functions_of(F.col("code"), lang))
-    m = quality_exprs(F.col("code"), lang, F.col("_fn"))
+    m = quality_exprs(F.col("code"), lang, functions)
     metrics = F.concat(
         F.lit("Metrics:\n- Lines: "), m["total_lines"].cast("string"),
         F.lit("\n- Non-blank lines: "), m["non_empty_lines"].cast("string"),
@@ -134,15 +130,12 @@ def analysis_prompts(requests: DataFrame) -> DataFrame:
     instructions = F.concat(F.lit("Review the code below ("), atype, F.lit(" review) and report what should change."))
     user = F.concat(F.lit("Review this "), lang, F.lit(" code:\n\n"), _fenced(lang, F.col("code")),
                     metrics, section, F.lit("\n\nGive concrete, actionable feedback."))
-    prompt = F.concat(preamble("analyzer", instructions), F.lit("\n\n"), user)
-    return (requests.withColumn("prompt", prompt).drop("_fn")
-            .withColumn("prompt_tokens", token_estimate(F.col("prompt"))))
+    return F.concat(preamble("analyzer", instructions), F.lit("\n\n"), user)
 
 
-def docs_prompts(requests: DataFrame) -> DataFrame:
-    """Prompt per documentation request; an unknown doc type or style adds
-    no section."""
-    lang = F.coalesce(F.col("language"), F.lit("unknown"))
+def docs_prompt() -> Column:
+    """E4 text from the request columns (code, language, doc_type, style)."""
+    lang = _lang()
     dtype = F.coalesce(F.col("doc_type"), F.lit(fixed.DOC_TYPE_DEFAULT))
     style = F.coalesce(F.col("style"), F.lit(fixed.DOC_STYLE_DEFAULT))
     dsec = F.coalesce(F.try_element_at(_map(DOC_SECTIONS), dtype), F.lit(""))
@@ -152,11 +145,52 @@ def docs_prompts(requests: DataFrame) -> DataFrame:
     user = F.concat(F.lit("Write "), style, F.lit("-style "), dtype, F.lit(" documentation for this "),
                     lang, F.lit(" code:\n\n"), _fenced(lang, F.col("code")), dsec,
                     F.lit("\n\nUse the "), style, F.lit(" style:"), ssec)
-    prompt = F.concat(preamble("docs_generator", instructions), F.lit("\n\n"), user)
-    return (requests.withColumn("prompt", prompt)
+    return F.concat(preamble("docs_generator", instructions), F.lit("\n\n"), user)
+
+
+def debug_prompts(requests: DataFrame) -> DataFrame:
+    """Prompt per debug request (code, language, optional error_message).
+
+    Adds ``findings_count``, ``prompt`` and ``prompt_tokens``.
+    """
+    df = requests.withColumn("_findings", findings_of(F.col("code"), _lang()))
+    return (df.withColumn("findings_count", F.size("_findings").cast("int"))
+            .withColumn("prompt", debug_prompt(F.col("_findings"))).drop("_findings")
+            .withColumn("prompt_tokens", token_estimate(F.col("prompt"))))
+
+
+def analysis_prompts(requests: DataFrame) -> DataFrame:
+    """Prompt per analysis request, with the metrics block; an unknown
+    analysis type falls back to the comprehensive section."""
+    df = requests.withColumn("_fn", functions_of(F.col("code"), _lang()))
+    return (df.withColumn("prompt", analysis_prompt(F.col("_fn"))).drop("_fn")
+            .withColumn("prompt_tokens", token_estimate(F.col("prompt"))))
+
+
+def docs_prompts(requests: DataFrame) -> DataFrame:
+    """Prompt per documentation request; an unknown doc type or style adds
+    no section."""
+    return (requests.withColumn("prompt", docs_prompt())
             .withColumn("prompt_tokens", token_estimate(F.col("prompt"))))
 
 
+def agent_prompt_column(df: DataFrame, agent_type: str = "agent_type") -> DataFrame:
+    """E2-E4 in one projection: each row gets the prompt of its agent type.
+
+    The finding and function lists are computed only for the rows that need
+    them, and ``CASE`` evaluates only the matching builder, so a mixed request
+    table is read once (no union of three filtered copies).
+    """
+    kind = F.col(agent_type)
+    lang = _lang()
+    df = (df.withColumn("_findings", F.when(kind == "debugger", findings_of(F.col("code"), lang)))
+          .withColumn("_fn", F.when(kind == "analyzer", functions_of(F.col("code"), lang))))
+    prompt = (F.when(kind == "debugger", debug_prompt(F.col("_findings")))
+              .when(kind == "analyzer", analysis_prompt(F.col("_fn")))
+              .when(kind == "docs_generator", docs_prompt()))
+    return df.withColumn("prompt", prompt).drop("_findings", "_fn")
+
+
 def resolve_provider(replies: list[tuple[str, Column]]) -> tuple[Column, Column]:
     """E6 (columns): first non-empty reply in provider order and its provider
     name; nothing → ``("", "none")``."""

@@ -178,9 +178,10 @@ def batch_inference(t):
     keyed = reqs.withColumn("_in_hash", F.sha2(F.to_json(F.struct(*I.INPUT_COLUMNS)), 256))
     distinct = (keyed.select("_in_hash", *I.INPUT_COLUMNS).dropDuplicates(["_in_hash"])
                 .where(F.col("code").isNotNull()))
-    answered = I.batch_inference(I.agent_prompts(distinct), I.stub_providers(), max_parallel_calls=8)
-    return (keyed.select("request_id", "_in_hash")
-            .join(answered.select("_in_hash", "agent_type", "provider", "reply"), "_in_hash")
+    answered = I.call_providers(I.agent_prompts(distinct), I.stub_providers(), "_in_hash",
+                                max_parallel_calls=8)
+    return (keyed.select("request_id", "agent_type", "_in_hash")
+            .join(answered.select("_in_hash", "provider", "reply"), "_in_hash")
             .drop("_in_hash"))
 
 

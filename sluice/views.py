@@ -95,6 +95,11 @@ FROM {events}
 VIEW_INPUTS["cache_entries"] = ("events",)
 
 
+# Views whose consumers do heavy per-row text work (regex scans, prompt
+# assembly) before any shuffle: their base inputs are spread over the cores.
+TEXT_VIEWS = {"code_files", "chat_messages"}
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
@@ -121,7 +126,8 @@ class Tables:
             if name in BASE_TABLES:
                 df = self.spark.read.parquet(table_path(self.sf_dir, name))
             elif name in VIEW_SQL:
-                inputs = {n: self.get(n) for n in VIEW_INPUTS[name]}
+                inputs = {n: spread(self.get(n)) if name in TEXT_VIEWS and n in BASE_TABLES else self.get(n)
+                          for n in VIEW_INPUTS[name]}
                 df = self.spark.sql(VIEW_SQL[name], **inputs)
             else:
                 raise KeyError(f"unknown table or view: {name}")
@@ -129,6 +135,22 @@ class Tables:
         return self._cache[name]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a table with fewer input splits than the session has cores one
+    partition per core (round-robin, deterministic under retries).
+
+    The text operators spend CPU per row, not I/O per byte, so a small file
+    read as one split would run them in a single task. A table that already
+    has at least as many splits as cores is returned unchanged, so large
+    inputs are never shuffled for this. Used for the inputs of the text views
+    only; everything else starts with its own exchange anyway.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def view_cte(*names: str) -> str:
     """``WITH`` clause that defines the named views for a DuckDB oracle."""
     order = [n for n in VIEW_SQL if n in _closure(names)]
