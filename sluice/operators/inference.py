@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, cpu_partitions
 from . import prompts as P
 
 Provider = Callable[["object"], "object"]
@@ -140,7 +140,11 @@ def agent_job(requests: DataFrame, providers: Sequence[tuple[str, ProviderFactor
         "_in_hash", F.sha2(F.to_json(F.struct(*[F.col(c) for c in INPUT_COLUMNS])), 256))
     # filter after the de-duplication: the predicate then stays above the
     # aggregate instead of being copied into the scan below it
-    distinct = keyed.select("_in_hash", *INPUT_COLUMNS).dropDuplicates(["_in_hash"]).where(has_code)
+    # explicit hash partitioning by the key: the de-duplication reuses it, and
+    # the CPU-heavy prompt assembly after it keeps one partition per core
+    distinct = (keyed.select("_in_hash", *INPUT_COLUMNS)
+                .repartition(cpu_partitions(keyed.sparkSession), "_in_hash")
+                .dropDuplicates(["_in_hash"]).where(has_code))
     answers = call_providers(agent_prompts(distinct), providers, "_in_hash", max_parallel_calls)
     if checkpoint:
         checkpoint_dir(answers.sparkSession)

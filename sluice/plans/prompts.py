@@ -10,6 +10,7 @@ from ..operators import inference as I
 from ..operators import prompts as P
 from .chat import _REQUESTS_CTE
 from .code import _bracket_cte, _fn_ctes, _PATTERN_HITS
+from ..session import cpu_partitions
 from .registry import query
 
 
@@ -176,7 +177,8 @@ def batch_inference(t):
     """
     reqs = I.requests_from_chat(C.chat_requests(t.chat_messages))
     keyed = reqs.withColumn("_in_hash", F.sha2(F.to_json(F.struct(*I.INPUT_COLUMNS)), 256))
-    distinct = (keyed.select("_in_hash", *I.INPUT_COLUMNS).dropDuplicates(["_in_hash"])
+    distinct = (keyed.select("_in_hash", *I.INPUT_COLUMNS)
+                .repartition(cpu_partitions(t.spark), "_in_hash").dropDuplicates(["_in_hash"])
                 .where(F.col("code").isNotNull()))
     answered = I.call_providers(I.agent_prompts(distinct), I.stub_providers(), "_in_hash",
                                 max_parallel_calls=8)

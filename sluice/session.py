@@ -61,6 +61,17 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def cpu_partitions(spark: SparkSession) -> int:
+    """Partition count for CPU-bound stages whose input is small in bytes.
+
+    AQE sizes shuffle partitions by bytes and would merge such a stage into a
+    few tasks; an explicit count of at least one partition per core (or the
+    configured shuffle partitions, if larger) keeps every core busy.
+    """
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(spark.sparkContext.defaultParallelism, shuffle)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cutting lineage.
 
