@@ -87,8 +87,13 @@ def guess_language(spark: SparkSession, files: DataFrame) -> DataFrame:
     ``mapInPandas``; the guesses are joined back on the hash. Without the
     optional lexer library every guess is ``text``.
     """
+    from ..session import cpu_partitions
+
     keyed = files.withColumn("code_hash", F.sha2(F.col("code"), 256))
-    distinct = keyed.select("code_hash", "code").dropDuplicates(["code_hash"])
+    # hash-partitioned by the key so the de-duplication reuses it and the
+    # lexer (CPU-bound Python) runs on one partition per core
+    distinct = (keyed.select("code_hash", "code").repartition(cpu_partitions(spark), "code_hash")
+                .dropDuplicates(["code_hash"]))
 
     def guess(batches):
         import pandas as pd
