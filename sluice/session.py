@@ -69,7 +69,11 @@ def cpu_partitions(spark: SparkSession) -> int:
     configured shuffle partitions, if larger) keeps every core busy.
     """
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(spark.sparkContext.defaultParallelism, shuffle)
+    try:
+        cores = spark.sparkContext.defaultParallelism
+    except Exception:  # no SparkContext on this client (e.g. Spark Connect)
+        cores = shuffle
+    return max(cores, shuffle)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -145,10 +145,12 @@ def spread(df: DataFrame) -> DataFrame:
     inputs are never shuffled for this. Used for the inputs of the text views
     only; everything else starts with its own exchange anyway.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no SparkContext on this client (e.g. Spark Connect)
+        return df
+    return df.repartition(cores) if splits < cores else df
 
 
 def view_cte(*names: str) -> str:
