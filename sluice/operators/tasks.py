@@ -24,6 +24,7 @@ from pyspark.sql.types import ArrayType
 
 from .. import fixed
 from ..functions.text import fixed_digits
+from ..session import cpu_partitions
 
 ELEM = "struct<pos:int,task_id:string,task_type:string,priority:int,deps:array<string>>"
 PLAN_SCHEMA = (f"request_id bigint, n_rows int, cycle boolean, order_tasks array<{ELEM}>, "
@@ -155,7 +156,11 @@ def plan_requests(tasks: DataFrame, array_limit: int = DEFAULT_ARRAY_LIMIT) -> D
     task structs in dependency order), parallel_requested, has_dependencies
     (any listed row has a dependency).
     """
-    t = normalise_tasks(tasks)
+    # Explicit hash partitioning on the request: the groupBy reuses it (on a
+    # stored table it replaces the aggregate's own exchange), and the
+    # CPU-bound fold keeps one partition per core instead of the few that
+    # AQE's byte-based coalescing would leave.
+    t = normalise_tasks(tasks).repartition(cpu_partitions(tasks.sparkSession), "request_id")
     grouped = t.groupBy("request_id").agg(
         F.sort_array(F.collect_list(F.struct("pos", "task_id", "task_type", "priority", "deps")))
         .alias("tasks"),
