@@ -12,8 +12,10 @@ first topological order, a P-complete problem, so a request is one unit of
 work.) One ``groupBy(request_id)`` gathers each request's list once; every
 derived answer (dependency order, priority order, violations, execution mode,
 pending tasks, roll-up) is an array expression over that row — no further
-shuffle. Requests longer than ``array_limit`` take an O((n + e) log n) heap
-path in ``mapInPandas`` instead of the O(n^3) array fold.
+shuffle. A request whose listed order already satisfies every dependency
+keeps it (checked in one pass; the rule provably returns the list), other
+requests take the array fold, and requests longer than ``array_limit`` take
+an O((n + e) log n) heap path in ``mapInPandas`` instead of the O(n^3) fold.
 """
 
 from __future__ import annotations
