@@ -182,8 +182,10 @@ def batch_inference(t):
                 .where(F.col("code").isNotNull()))
     answered = I.call_providers(I.agent_prompts(distinct), I.stub_providers(), "_in_hash",
                                 max_parallel_calls=8)
-    return (keyed.select("request_id", "agent_type", "_in_hash")
-            .join(answered.select("_in_hash", "provider", "reply"), "_in_hash")
+    # a left join: an inner join would add an inferred NOT NULL filter on the
+    # hash, copying the whole input expression into the scan stage
+    return (keyed.where(F.col("code").isNotNull()).select("request_id", "agent_type", "_in_hash")
+            .join(answered.select("_in_hash", "provider", "reply"), "_in_hash", "left")
             .drop("_in_hash"))
 
 
