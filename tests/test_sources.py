@@ -86,3 +86,15 @@ def test_conform_casts_and_defaults(spark):
     df = spark.createDataFrame([(1, "s")], "id int, session_id string")
     out = T.conform(df, T.EXECUTION_DDL).first()
     assert out.status == "pending" and out.tokens_used == 0 and out.execution_time_ms == 0.0
+
+
+def test_scan_table_reads_parquet_and_conforms(spark):
+    d = _scratch()
+    spark.createDataFrame([(1, "s", "debugger", "completed")],
+                          "id int, session_id string, agent_type string, status string") \
+        .write.parquet(f"{d}/exec")
+    out = T.scan_table(spark, f"{d}/exec", ddl=T.EXECUTION_DDL)
+    assert out.columns == [f.name for f in __import__("pyspark.sql.types", fromlist=["StructType"])
+                           .StructType.fromDDL(T.EXECUTION_DDL).fields]
+    r = out.first()
+    assert (r.id, r.tokens_used, r.execution_time_ms, r.model_used) == (1, 0, 0.0, None)
