@@ -52,16 +52,16 @@ def tokens(host_: Column, path_: Column) -> Column:
 
 
 def mine(labelled: DataFrame, support: float = LEAST_SUPPORT, confidence: float = LEAST_CONFIDENCE) -> DataFrame:
-    """Association rules ``tokens, verdict, confidence, support_count`` from ``tokens, verdict`` rows.
+    """Association rules ``tokens, verdict, confidence, support_count, order`` from ``tokens, verdict`` rows.
 
     Support and confidence are counted over all rows. A rule is redundant, and
     dropped, if one with a subset of its tokens has the same verdict and no
     less confidence.
     """
-    spark = labelled.sparkSession
     items = labelled.select(F.concat("tokens", F.array(F.concat(F.lit(_LABEL), "verdict"))).alias("items"))
     if items.isEmpty():
-        return spark.createDataFrame([], "tokens array<string>, verdict string, confidence double, support_count long")
+        return labelled.select("tokens", "verdict", F.lit(0.0).alias("confidence"), F.lit(0).cast("long").alias("support_count"),
+                               F.lit(0).alias("order")).filter(F.lit(False))
     found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items).freqItemsets
     with_label = F.filter("items", lambda x: x.startswith(_LABEL))
     sets = found.select(F.array_sort(F.filter("items", lambda x: ~x.startswith(_LABEL))).alias("tokens"),

@@ -266,7 +266,7 @@ def test_mix_nears_its_targets_and_repeats(spark):
 
 
 def test_mix_prefers_quality(spark):
-    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), (F.col("id") % 2).cast("string").alias("source"),
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), (F.col("id") % 3).cast("string").alias("source"),
                                     F.when(F.col("id") % 4 < 2, 4.0).otherwise(0.5).alias("w"))
     got = mixing.mix(docs, F.lit(3).cast("long"), F.col("w")).filter("source = '1'").groupBy("w").agg(F.sum("mix.taken").alias("n")).collect()
     by = {r["w"]: r["n"] for r in got}
