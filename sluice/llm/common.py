@@ -30,7 +30,7 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     differently; a lost executor costs a re-read, not a recomputation.
     """
     path = shared_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -141,7 +141,7 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
                         if pack:
                             out.write(pack.compress(b"\r\n\r\n") + pack.flush())
                         page, link, size, digest, kind, refers, refers_row = (batch.column(k)[i].as_py() for k in range(3, 10))
-                        pack, skip, records = zlib.compressobj(3, zlib.DEFLATED, 31), kind == "revisit", records + 1
+                        pack, skip, records = zlib.compressobj(6, zlib.DEFLATED, 31), kind == "revisit", records + 1
                         out.write(pack.compress(_head(page, row, size, digest, kind, refers, refers_row, link)))
                     elif not skip:
                         out.write(pack.compress(memoryview(batch.column(2)[i].as_buffer())))
