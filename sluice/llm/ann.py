@@ -166,8 +166,11 @@ def place(rows: DataFrame, queries: Column, grid: Grid, d: int) -> DataFrame:
     return placed.select("curve", "kind", "vec_id", "v", rank.cast("long").alias("rank"))
 
 
-def _best(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best of ``v`` for each query, by exact score and id, without the query's own id."""
+def _best(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, least: np.ndarray | None = None) -> pd.DataFrame:
+    """The k best of ``v`` for each query, by exact score and id, without the query's own id.
+
+    ``least`` holds, per query, a score below which nothing can be in the result.
+    """
     rough = q @ v.T
     rough[query_ids[:, None] == ids[None, :]] = -np.inf
     out = []
@@ -176,8 +179,12 @@ def _best(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np.ndarray,
         floor = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
         # the rough product may differ in its last bits from block to block: all that may tie are scored anew
         margin = 1e-12 * float(np.sqrt((q[i] * q[i]).sum())) * float(np.abs(row[np.isfinite(row)]).max(initial=1.0)) + 1e-12
+        if least is not None:
+            floor = max(floor, least[i])
         near = np.flatnonzero((row >= floor - margin) & (row > -np.inf))
         score = (v[near] * q[i]).sum(axis=1)
+        if least is not None:
+            near, score = near[score >= least[i]], score[score >= least[i]]
         pick = np.lexsort((ids[near], -score))[:k]
         out.append(pd.DataFrame({"query_id": query_ids[i], "vec_id": ids[near][pick], "score": score[pick]}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
@@ -245,10 +252,11 @@ def search(table: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_i
     total, wanted = rows.count(), asked.count() // curves
     # queries that look at one block, in portions of bounded size
     portions = max(1, -(-int(wanted * min(1.0, (2 * reach + BLOCK) / total)) // QUERIES_AT_ONCE))
-    asked = asked.select("curve", F.col("vec_id").alias("query_id"), F.col("v").alias("q"),
-                         F.explode(F.sequence(F.floor((F.col("rank") - reach) / BLOCK), F.floor((F.col("rank") + reach) / BLOCK))).alias("block"),
-                         F.pmod(F.xxhash64("vec_id"), F.lit(portions)).alias("portion"))
-    there = placed.filter("kind = 1").select("curve", "vec_id", "v", F.floor(F.col("rank") / BLOCK).alias("block"),
+    home = F.floor(F.col("rank") / BLOCK)
+    asked = materialize(asked.select("curve", F.col("vec_id").alias("query_id"), F.col("v").alias("q"), home.alias("home"),
+                         F.floor((F.col("rank") - reach) / BLOCK).alias("from"), F.floor((F.col("rank") + reach) / BLOCK).alias("to"),
+                         F.pmod(F.xxhash64("vec_id"), F.lit(portions)).alias("portion")), "asked")
+    there = placed.filter("kind = 1").select("curve", "vec_id", "v", home.alias("block"),
                                              F.explode(F.sequence(F.lit(0).cast("long"), F.lit(portions - 1).cast("long"))).alias("portion"))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -256,11 +264,21 @@ def search(table: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_i
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         v = np.stack(right["v"].to_numpy())
         ids = right["vec_id"].to_numpy()
-        asking = left["query_id"].to_numpy()
+        asking, least = left["query_id"].to_numpy(), left["least"].to_numpy()
         q = np.stack(left["q"].to_numpy())
-        return pd.concat([_best(ids, v, asking[i:i + 256], q[i:i + 256], k) for i in range(0, len(q), 256)])
-
-    keys = ["curve", "block", "portion"]
-    found = asked.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInPandas(compare, _FOUND)
+        return pd.concat([_best(ids, v, asking[i:i + 256], q[i:i + 256], k, least[i:i + 256]) for i in range(0, len(q), 256)])
+
+    def look(queries: DataFrame) -> DataFrame:
+        keys = ["curve", "block", "portion"]
+        return queries.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInPandas(compare, _FOUND)
+
+    # first the query's own block on every curve; its k-th score is a floor for all others
+    near = _top(look(asked.withColumn("block", F.col("home")).withColumn("least", F.lit(float("-inf"))))
+                .groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)
+    near = materialize(near.select("query_id", "vec_id", "score"), "near")
+    least = near.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).filter(F.col("n") >= k).select("query_id", "least")
+    others = (asked.join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+              .withColumn("block", F.explode(F.sequence("from", "to"))).filter("block <> home"))
+    found = near.union(look(others))
     merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return _top(merged, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
