@@ -24,7 +24,7 @@ LEAF_CHARS = 1 << 14
 LEAF_BYTES = 48
 #: The longest look ahead of an alternative that is fixed text, in characters.
 LOOK_AHEAD = 3
-_CACHE = 200_000
+_CACHE = 100_000
 _NONE = 1 << 62
 
 
