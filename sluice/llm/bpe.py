@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import values
+
 LEAF_CHARS = 1 << 14
 LEAF_BYTES = 48
 #: The longest look ahead of an alternative that is fixed text, in characters.
@@ -170,16 +172,27 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+def _encode(column: pa.Array, path: str, pattern: str) -> pa.ListArray:
+    own = codec(path, pattern)
+    rows = [np.array(own.encode(x or ""), np.int32) for x in values(column)]
+    ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
+
+
+def _decode(ids: pa.ListArray, path: str, pattern: str) -> pa.Array:
+    own = codec(path, pattern)
+    ends = ids.offsets.to_numpy()
+    flat = ids.values.to_numpy(zero_copy_only=False)
+    return pa.array([own.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:])], pa.binary())
+
+
 def encode(text: Column, path: str, pattern: str) -> Column:
     """Array of token ids of each whole text; null counts as empty."""
 
     @F.arrow_udf("array<int>")
     def compute(column: pa.Array) -> pa.Array:
-        own = codec(path, pattern)
-        rows = [np.array(own.encode(x or ""), np.int32) for x in column.to_pylist()]
-        ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-        flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
+        return _encode(column, path, pattern)
 
     return compute.asNondeterministic()(text)  # evaluated once, however often it is used
 
@@ -189,10 +202,21 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
 
     @F.arrow_udf("binary")
     def compute(column: pa.Array) -> pa.Array:
-        own = codec(path, pattern)
-        column = column.fill_null(pa.scalar([], column.type)) if column.null_count else column
-        ends = column.offsets.to_numpy()
-        flat = column.values.to_numpy(zero_copy_only=False)
-        return pa.array([own.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:])], pa.binary())
+        return _decode(column.fill_null(pa.scalar([], column.type)) if column.null_count else column, path, pattern)
 
     return compute(ids)
+
+
+def round_trip(text: Column, path: str, pattern: str) -> Column:
+    """Struct of the ``ids`` of each whole text and the bytes ``decoded`` from them.
+
+    One Python worker a task does both, where ``decode(encode(...))`` keeps two
+    with a vocabulary each.
+    """
+
+    @F.arrow_udf("ids array<int>, decoded binary")
+    def compute(column: pa.Array) -> pa.Array:
+        ids = _encode(column, path, pattern)
+        return pa.StructArray.from_arrays([ids, _decode(ids, path, pattern)], names=["ids", "decoded"])
+
+    return compute.asNondeterministic()(text)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, materialize
+from .common import SPACE_RUN, materialize, values
 
 #: Chunk sizes in bytes: least, mean beyond the least (a power of two), most.
 LEAST, MEAN, MOST = 1024, 4096, 32768
@@ -61,7 +61,7 @@ def hashed(chunk: Column) -> Column:
 def _chunk_list(text: Column) -> Column:
     @F.arrow_udf("array<binary>")
     def cut(column: pa.Array) -> pa.Array:
-        return pa.array([chunks(x or b"") for x in column.cast(pa.binary()).to_pylist()], pa.list_(pa.binary()))
+        return pa.array([chunks(x or b"") for x in values(column.cast(pa.binary()))], pa.list_(pa.binary()))
 
     return cut(text)
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import share_of
+from .common import share_of, values
 
 PROFILE_SIZE = 400
 #: Bound of the training sample: about this many documents per language.
@@ -123,7 +123,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = P
     def count(batches):
         for batch in batches:
             held: dict[str, list] = {}
-            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for name, body in zip(values(batch.column(0)), values(batch.column(1))):
                 held.setdefault(name, []).append(count_grams(body))
             for name, found in held.items():
                 u, where = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
@@ -155,7 +155,7 @@ def identify(text: Column, profiles: Profiles) -> Column:
 
     @F.arrow_udf("lang string, score double")
     def classify(column: pa.Array) -> pa.Array:
-        found = [profiles.classify(x) for x in column.to_pylist()]
+        found = [profiles.classify(x) for x in values(column)]
         return pa.array([{"lang": a, "score": b} for a, b in found], kind)
 
     return classify.asNondeterministic()(text)  # so that a filter on it doesn't evaluate it twice

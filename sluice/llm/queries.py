@@ -65,9 +65,8 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encode_documents(docs: DataFrame) -> DataFrame:
     path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
-    ids = docs.select("doc_id", bpe.encode(F.col("text"), path, pattern).alias("ids"))
-    back = ids.select("doc_id", "ids", bpe.decode(F.col("ids"), path, pattern).alias("decoded"))
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+    both = docs.select("doc_id", bpe.round_trip(F.col("text"), path, pattern).alias("both")).select("doc_id", "both.ids", "both.decoded")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

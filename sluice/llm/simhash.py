@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, values
 from .components import connected
 
 SHINGLE = 3
@@ -53,7 +53,7 @@ def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
 
     @F.arrow_udf("long")
     def compute(column: pa.Array) -> pa.Array:
-        return pa.array(np.array([fingerprint_of(x, shingle) for x in column.to_pylist()], np.uint64).view(np.int64))
+        return pa.array(np.array([fingerprint_of(x, shingle) for x in values(column)], np.uint64).view(np.int64))
 
     return compute(text)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import share_of
+from .common import share_of, values
 
 #: Bounds of the training sample: documents per label.
 SAMPLE_PER_LABEL = 6_000
@@ -257,6 +257,6 @@ def score(text: Column, lexicon: Lexicon) -> Column:
 
     @F.arrow_udf("double")
     def compute(column: pa.Array) -> pa.Array:
-        return pa.array([lexicon.score(x) for x in column.to_pylist()], pa.float64())
+        return pa.array([lexicon.score(x) for x in values(column)], pa.float64())
 
     return compute.asNondeterministic()(text)

@@ -44,6 +44,8 @@ def test_encode_documents(spark):
         want.append((d, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == sorted(want, key=str)
     assert queries.encode_documents(doc_frame(spark, [])).count() == 0
+    parted = doc_frame(spark, rows).select("text", bpe.encode(F.col("text"), PATH, PATTERN).alias("ids")).select("text", bpe.decode(F.col("ids"), PATH, PATTERN).alias("back"))
+    assert all((r["text"] or "").encode() == bytes(r["back"]) for r in parted.collect())
 
 
 def test_grams_are_counted_over_blocks(monkeypatch):
