@@ -10,9 +10,10 @@ def ustrip(col: Column) -> Column:
     """Python ``str.strip()``: remove Unicode white space at both ends.
 
     Spark's ``trim`` only removes spaces; ``(?U)\\s`` also covers tabs,
-    carriage returns and the Unicode space separators.
+    carriage returns and the Unicode space separators; U+001C to U+001F are
+    white space in Python only.
     """
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(col, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
 
 
 def count_sub(col: Column, needle: str) -> Column:

@@ -94,6 +94,7 @@ def _topk_scan(queries, k: int, digits: int):
             return
         q_mat = q_mat / np.linalg.norm(q_mat, axis=1, keepdims=True)
         step = max(1, _MAX_CELLS // len(q_ids))
+        best = pd.DataFrame({"query_id": q_ids[:0], "entry_id": q_ids[:0], "score": q_mat[:0, 0]})
         for pdf in batches:
             if len(pdf) == 0:
                 continue
@@ -112,7 +113,10 @@ def _topk_scan(queries, k: int, digits: int):
                 need = kk - gt.sum(axis=1, keepdims=True)
                 sel = gt | (eq & (np.cumsum(eq, axis=1) <= need))
                 qi, ei = np.nonzero(sel)
-                yield pd.DataFrame({"query_id": q_ids[qi], "entry_id": e_ids[ei], "score": s[qi, ei]})
+                best = pd.concat([best, pd.DataFrame({"query_id": q_ids[qi], "entry_id": e_ids[ei], "score": s[qi, ei]})])
+                best = (best.sort_values(["query_id", "score", "entry_id"], ascending=[True, False, True])
+                        .groupby("query_id").head(k))
+        yield best  # k rows per query and partition at most
 
     return scan
 
@@ -128,6 +132,12 @@ def similar_entries(queries: DataFrame, entries: DataFrame, k: int = 5, digits:
     order: score (rounded to ``digits``) descending, then entry id.
     """
     spark = queries.sparkSession
+    # a vector that is null, zero, or holds a null or NaN has no cosine: it takes no part
+    def usable(v):
+        return (v.isNotNull() & F.forall(v, lambda x: F.coalesce(~F.isnan(x), F.lit(False)))
+                & F.exists(v, lambda x: x != 0))
+
+    queries, entries = queries.where(usable(F.col("embedding"))), entries.where(usable(F.col("embedding")))
     n = queries.count()
     passes = max(1, -(-n // MAX_BROADCAST_QUERIES))
     keyed = queries.select("query_id", "embedding")

@@ -63,7 +63,7 @@ def _suffix_map(pairs) -> Column:
 
 def file_language(filename: Column) -> Column:
     """Language from the lower-cased suffix; NULL when the suffix is not
-    in the table (the caller may then fall back to :func:`guess_language`)."""
+    in the table."""
     return F.try_element_at(_suffix_map(fixed.BACKEND_SUFFIXES), F.lower(file_suffix(filename)))
 
 
@@ -80,44 +80,6 @@ def with_language(files: DataFrame, default: str = "text") -> DataFrame:
     return files.withColumn("language", F.coalesce(file_language(F.col("filename")), F.lit(default)))
 
 
-def guess_language(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """D3: content-based guess for files whose suffix says nothing.
-
-    Distinct contents only (by hash) go to the lexer in Arrow batches via
-    ``mapInPandas``; the guesses are joined back on the hash. Without the
-    optional lexer library every guess is ``text``.
-    """
-    from ..session import cpu_partitions
-
-    keyed = files.withColumn("code_hash", F.sha2(F.col("code"), 256))
-    # hash-partitioned by the key so the de-duplication reuses it and the
-    # lexer (CPU-bound Python) runs on one partition per core
-    distinct = (keyed.select("code_hash", "code").repartition(cpu_partitions(spark), "code_hash")
-                .dropDuplicates(["code_hash"]))
-
-    def guess(batches):
-        import pandas as pd
-
-        try:
-            from pygments.lexers import guess_lexer
-        except ImportError:  # optional dependency
-            guess_lexer = None
-        for pdf in batches:
-            out = []
-            for text in pdf["code"]:
-                name = "text"
-                if guess_lexer is not None and text is not None:
-                    try:
-                        name = guess_lexer(text).name.lower()
-                    except Exception:
-                        name = "text"
-                out.append(name)
-            yield pd.DataFrame({"code_hash": pdf["code_hash"], "guessed": out})
-
-    guesses = distinct.mapInPandas(guess, "code_hash string, guessed string")
-    return keyed.join(guesses, "code_hash", "left").drop("code_hash")
-
-
 # ---------------------------------------------------------------- functions
 
 def _find_all(code: Column, pattern: str) -> Column:
@@ -286,9 +248,9 @@ def quality_exprs(code: Column, language: Column, functions: Column | None = Non
     space_led = F.exists(lines, lambda l: l.startswith(" "))
     return {
         "total_lines": n.cast("int"),
-        "non_empty_lines": count_matching(r"(?U)\S").cast("int"),
-        "comment_lines": F.when(language == "python", count_matching(r"(?U)^\s*#"))
-        .otherwise(count_matching(r"(?U)^\s*//")).cast("int"),
+        "non_empty_lines": count_matching(r"(?U)[^\s\x1C-\x1F]").cast("int"),
+        "comment_lines": F.when(language == "python", count_matching(r"(?U)^[\s\x1C-\x1F]*#"))
+        .otherwise(count_matching(r"(?U)^[\s\x1C-\x1F]*//")).cast("int"),
         "average_line_length": (F.length(code) - (n - 1)) / n,
         "functions": F.size(fn).cast("int"),
         "indentation_issues": F.when((language == "python") & tabs & space_led, 1).otherwise(0).cast("int"),

@@ -98,7 +98,7 @@ def _user_message(agent_type):
 
 
 def agent_prompts(requests: DataFrame) -> DataFrame:
-    """Prompt per agent request: the builder of its agent type (E2-E4), in
+    """Prompt per agent request, by its agent type (E2-E4), in
     one projection over the request table.
 
     ``requests`` columns: request_id, session_id, agent_type, code, language,
@@ -129,22 +129,21 @@ def agent_job(requests: DataFrame, providers: Sequence[tuple[str, ProviderFactor
     Returns ``(responses, history_rows, execution_rows)``. A request without
     code fails with ``No code provided``; a request without any reply fails
     with ``Failed to get response from LLM`` and, as in the service, is not
-    logged. Successful requests produce one history and one execution row.
+    logged; one with an unknown agent type fails with that message. Successful requests produce one history and one execution row.
 
     A prompt is a pure function of the request's inputs, so requests are
     de-duplicated on a hash of those inputs first: prompts are assembled and
     sent once per distinct input, and the answers join back on the hash.
     """
-    has_code = F.col("code").isNotNull() & (F.col("code") != "")
+    has_code = F.coalesce(F.col("code"), F.lit("")) != ""
     keyed = requests.withColumn(
         "_in_hash", F.sha2(F.to_json(F.struct(*[F.col(c) for c in INPUT_COLUMNS])), 256))
     # filter after the de-duplication: the predicate then stays above the
     # aggregate instead of being copied into the scan below it
-    # explicit hash partitioning by the key: the de-duplication reuses it, and
-    # the CPU-heavy prompt assembly after it keeps one partition per core
-    distinct = (keyed.select("_in_hash", *INPUT_COLUMNS)
-                .repartition(cpu_partitions(keyed.sparkSession), "_in_hash")
-                .dropDuplicates(["_in_hash"]).where(has_code))
+    # copies are combined before the shuffle; only distinct inputs are then
+    # spread, so the CPU-heavy prompt assembly keeps one partition per core
+    distinct = (keyed.select("_in_hash", *INPUT_COLUMNS).dropDuplicates(["_in_hash"])
+                .repartition(cpu_partitions(keyed.sparkSession), "_in_hash").where(has_code))
     answers = call_providers(agent_prompts(distinct), providers, "_in_hash", max_parallel_calls)
     if checkpoint:
         checkpoint_dir(answers.sparkSession)
@@ -152,7 +151,8 @@ def agent_job(requests: DataFrame, providers: Sequence[tuple[str, ProviderFactor
     # one pass over the requests: rows without code find no answer
     joined = keyed.join(answers, "_in_hash", "left").drop("_in_hash").withColumn("_has_code", has_code)
     code_ok = F.col("_has_code")
-    ok = code_ok & (F.col("reply") != "")
+    known = F.coalesce(F.col("agent_type").isin(*fixed.AGENT_SETTINGS), F.lit(False))
+    ok = code_ok & known & (F.coalesce(F.col("reply"), F.lit("")) != "")
     settings = F.create_map(*[F.lit(x) for k, (t, m) in fixed.AGENT_SETTINGS.items()
                               for x in (k, F.struct(F.lit(t).alias("temperature"), F.lit(m).alias("max_tokens")))])
     meta = F.to_json(F.struct(F.col("language"), F.col("provider"),
@@ -162,7 +162,8 @@ def agent_job(requests: DataFrame, providers: Sequence[tuple[str, ProviderFactor
     responses = joined.select(
         "request_id", "session_id", "agent_type", ok.alias("success"),
         F.when(ok, F.col("reply")).alias("result"),
-        F.when(~code_ok, F.lit("No code provided"))
+        F.when(~known, F.concat(F.lit("Unknown agent type: "), F.coalesce("agent_type", F.lit("None"))))
+        .when(~code_ok, F.lit("No code provided"))
         .when(~ok, F.lit("Failed to get response from LLM")).alias("error"),
         F.when(ok, tokens).alias("tokens_used"),
         F.when(code_ok, F.col("call_ms")).otherwise(F.lit(0.0)).alias("execution_time_ms"),

@@ -18,48 +18,35 @@ from .code import findings_of, functions_of, quality_exprs
 
 # ------------------------------------------------------------------ texts
 
+# Short defaults of this project's own; callers with house texts replace them.
 ROLES = {
-    "debugger": ("code debugger",
-                 "Find the defects in the code below and explain how to repair them."),
-    "analyzer": ("code reviewer",
-                 "Review the code below and report what should change."),
-    "docs_generator": ("documentation writer",
-                       "Write documentation that a newcomer can follow."),
+    "debugger": ("bug finder", "Say what fails and why, and give working code."),
+    "analyzer": ("code auditor", "Say what you would change, the most harmful first."),
+    "docs_generator": ("technical author", "Write the text that belongs beside this code."),
 }
 
-PREAMBLE = ("You act as a {role}. You help developers with their code.\n\n{instructions}\n\n"
-            "Be exact and practical. Put code in fenced blocks and answer in markdown.")
+PREAMBLE = "Role: {role}.\n\n{instructions}\n\nReply in markdown with fenced code."
 
-DEBUG_ASK = ("Answer with:\n1. The issues\n2. Their causes\n3. A corrected version\n"
-             "4. How to avoid them\n5. How to test the fix")
+DEBUG_ASK = "Explain each failure in one paragraph, then show the repaired code."
 
 ANALYSIS_SECTIONS = {
-    "security": "Focus on security:\n1. Vulnerabilities\n2. Input validation\n"
-                "3. Secrets and authentication\n4. Severity of each issue\n5. Fixes",
-    "performance": "Focus on performance:\n1. Hot spots\n2. Algorithmic complexity\n"
-                   "3. Memory and resource use\n4. Concrete optimisations\n5. How to measure them",
-    "quality": "Focus on quality:\n1. Structure\n2. Naming and readability\n"
-               "3. Language conventions\n4. Testability\n5. Refactoring steps",
-    "comprehensive": "Cover everything:\n1. Structure\n2. Readability\n3. Security\n"
-                     "4. Performance\n5. Conventions\n6. Bug risks\n7. Tests and documentation\n"
-                     "8. An overall score from 1 to 10",
+    "security": "Judge only what an attacker could use.",
+    "performance": "Judge only what costs time or memory.",
+    "quality": "Judge only how easy the code is to change.",
+    "comprehensive": "Judge risk, cost and clarity, each in one paragraph.",
 }
 
 DOC_SECTIONS = {
-    "function": "Document the main function: summary, description, parameters, return value, "
-                "exceptions, examples, notes.",
-    "class": "Document the main class: summary, attributes, methods, properties, examples, "
-             "patterns used, caveats.",
-    "module": "Document the module: overview, components, dependencies, usage, examples, "
-              "configuration, performance notes.",
-    "api": "Document the API: endpoints, methods, parameters, responses, errors, "
-           "authentication, rate limits, examples.",
+    "function": "Subject: the main function, from the view of its callers.",
+    "class": "Subject: the main class, from the view of its users.",
+    "module": "Subject: the module as a whole, and when to import it.",
+    "api": "Subject: the interface, request by request.",
 }
 
 STYLE_SECTIONS = {
-    "google": "- Google docstrings\n- Summary, description, Args, Returns, Raises, Examples",
-    "numpy": "- NumPy docstrings\n- Summary, description, Parameters, Returns, Raises, Examples, Notes",
-    "sphinx": "- Sphinx / reST fields\n- :param:, :type:, :returns:, :rtype:, :raises:",
+    "google": "Docstring style: Google.",
+    "numpy": "Docstring style: NumPy.",
+    "sphinx": "Docstring style: Sphinx fields.",
 }
 
 
@@ -178,7 +165,7 @@ def agent_prompt_column(df: DataFrame, agent_type: str = "agent_type") -> DataFr
     """E2-E4 in one projection: each row gets the prompt of its agent type.
 
     The finding and function lists are computed only for the rows that need
-    them, and ``CASE`` evaluates only the matching builder, so a mixed request
+    them, and ``CASE`` evaluates only the matching branch, so a mixed request
     table is read once (no union of three filtered copies).
     """
     kind = F.col(agent_type)

@@ -29,8 +29,8 @@ from ..functions.text import fixed_digits
 from ..session import cpu_partitions
 
 ELEM = "struct<pos:int,task_id:string,task_type:string,priority:int,deps:array<string>>"
-PLAN_SCHEMA = (f"request_id bigint, n_rows int, cycle boolean, order_tasks array<{ELEM}>, "
-               f"parallel_requested boolean, has_dependencies boolean")
+PLAN_SCHEMA = ("request_id {id}, n_rows int, cycle boolean, "
+               f"order_tasks array<{ELEM}>, parallel_requested boolean, has_dependencies boolean")
 
 DEFAULT_ARRAY_LIMIT = 64
 
@@ -177,7 +177,8 @@ def plan_requests(tasks: DataFrame, array_limit: int = DEFAULT_ARRAY_LIMIT) -> D
                                F.col("f.cycle").alias("cycle"),
                                F.col("f.order").alias("order_tasks"), "parallel_requested",
                                "has_dependencies")
-    large_plan = grouped.where(F.size("tasks") > array_limit).mapInPandas(_order_heap, PLAN_SCHEMA)
+    large_plan = grouped.where(F.size("tasks") > array_limit).mapInPandas(
+        _order_heap, PLAN_SCHEMA.format(id=grouped.schema["request_id"].dataType.simpleString()))
     return small_plan.unionByName(large_plan)
 
 
@@ -230,12 +231,17 @@ def dependency_violations(plan: DataFrame) -> DataFrame:
     return p.select("request_id", F.explode(bad).alias("v")).select("request_id", "v.*")
 
 
-def execution_mode(plan: DataFrame) -> DataFrame:
-    """Parallel only if asked for and no task has a dependency."""
-    has_deps = F.col("has_dependencies")
-    return plan.select(
+def execution_mode(tasks: DataFrame) -> DataFrame:
+    """Parallel only if asked for and no task has a dependency.
+
+    ``tasks`` are task rows; one grouped aggregate, combined before the shuffle.
+    """
+    per = normalise_tasks(tasks).groupBy("request_id").agg(
+        F.count("*").cast("int").alias("n_rows"), F.bool_or(F.size("deps") > 0).alias("has_dependencies"),
+        F.bool_and("parallel_requested").alias("parallel"))
+    return per.select(
         "request_id", "n_rows", "has_dependencies",
-        F.when(F.col("parallel_requested") & ~has_deps, F.lit("parallel"))
+        F.when(F.col("parallel") & ~F.col("has_dependencies"), F.lit("parallel"))
         .otherwise(F.lit("sequential")).alias("mode"))
 
 

@@ -205,10 +205,3 @@ SELECT file_id, language, {_METRICS_SQL},
 LEFT JOIN (SELECT file_id, COUNT(*) AS n FROM imps GROUP BY file_id) ni USING (file_id)""")
 def corpus_profile(t):
     return _round_len(D.corpus_profile(corpus(t)))
-
-
-@query("guess_language", ("code_files",))
-def guess_language(t):
-    """D3: content guess for files whose suffix is not in the table (rows-only check)."""
-    unknown = corpus(t).where(D.file_language(F.col("filename")).isNull())
-    return D.guess_language(t.spark, unknown).select("file_id", "filename", "guessed")

@@ -178,10 +178,9 @@ def batch_inference(t):
     reqs = I.requests_from_chat(C.chat_requests(t.chat_messages))
     keyed = reqs.withColumn("_in_hash", F.sha2(F.to_json(F.struct(*I.INPUT_COLUMNS)), 256))
     distinct = (keyed.select("_in_hash", *I.INPUT_COLUMNS)
-                .repartition(cpu_partitions(t.spark), "_in_hash").dropDuplicates(["_in_hash"])
+                .dropDuplicates(["_in_hash"]).repartition(cpu_partitions(t.spark), "_in_hash")
                 .where(F.col("code").isNotNull()))
-    answered = I.call_providers(I.agent_prompts(distinct), I.stub_providers(), "_in_hash",
-                                max_parallel_calls=8)
+    answered = I.call_providers(I.agent_prompts(distinct), I.stub_providers(), "_in_hash")
     # a left join: an inner join would add an inferred NOT NULL filter on the
     # hash, copying the whole input expression into the scan stage
     return (keyed.where(F.col("code").isNotNull()).select("request_id", "agent_type", "_in_hash")
@@ -193,5 +192,5 @@ def batch_inference(t):
 def agent_job(t):
     """Responses for every routed chat request (stub providers)."""
     reqs = I.requests_from_chat(C.chat_requests(t.chat_messages))
-    responses, _history, _executions = I.agent_job(reqs, I.stub_providers(), max_parallel_calls=8)
+    responses, _history, _executions = I.agent_job(reqs, I.stub_providers())
     return responses.drop("execution_time_ms")

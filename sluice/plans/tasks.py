@@ -93,7 +93,7 @@ SELECT request_id, CAST(COUNT(*) AS INT) AS n_rows, bool_or(depends_on IS NOT NU
 FROM tasks GROUP BY request_id""")
 def execution_mode(t):
     """G5 with parallel execution requested for every request."""
-    return G.execution_mode(G.plan_requests(t.tasks))
+    return G.execution_mode(t.tasks)
 
 
 @query("unknown_task_types", ("tasks",), f"""

@@ -9,6 +9,7 @@ what a bare ``local[N]`` session lacks.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -33,7 +34,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
                   app_name: str = "sluice") -> SparkSession:
     """Create (or reuse) a session for local runs and tests."""
     master = master or os.environ.get("SLUICE_MASTER", "local[8]")
-    builder = (
+    settings = (
         SparkSession.builder.master(master)
         .appName(app_name)
         .config("spark.ui.enabled", "false")
@@ -43,8 +44,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.files.maxPartitionBytes", str(64 * 1024 * 1024))
     )
     for key, value in {**_REQUIRED, **_SCALE_DEFAULTS}.items():
-        builder = builder.config(key, value)
-    spark = builder.getOrCreate()
+        settings = settings.config(key, value)
+    spark = settings.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     prepare(spark)
     return spark
@@ -90,6 +91,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     # no shared folder configured: a local session (tests, benchmarks)
     local = tempfile.mkdtemp(prefix="sluice-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", local)

@@ -5,11 +5,15 @@ Identifiers continue after the largest id already written (a scan of the
 ``id`` column only; with ``spark.sql.parquet.aggregatePushdown`` the parquet
 footers answer it), then grow with
 ``monotonically_increasing_id`` — unique without a global sort or a
-single-partition window.
+single-partition window. Writers that append at the same time must bring ids of
+their own. ``created_at`` is fixed when the append is called, so the returned
+rows are the stored ones.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -35,7 +39,7 @@ def _with_ids(df: DataFrame, path: str) -> DataFrame:
 
 def _append(df: DataFrame, path: str, ddl: str) -> DataFrame:
     if "created_at" not in df.columns:
-        df = df.withColumn("created_at", F.current_timestamp().cast("timestamp_ntz"))
+        df = df.withColumn("created_at", F.lit(dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)).cast("timestamp_ntz"))
     rows = conform(_with_ids(df, path), ddl).withColumn("created_date", F.to_date("created_at"))
     rows.write.mode("append").partitionBy("created_date").parquet(path)
     return rows

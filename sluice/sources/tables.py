@@ -7,6 +7,8 @@ integer primary key, so no single task pulls the whole table.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -82,4 +84,7 @@ def sql_with_params(spark: SparkSession, text: str, params: list, **relations: D
     Values are bound by Spark (never spliced into the text); ``relations``
     bind ``{name}`` placeholders to DataFrames.
     """
+    bare = re.sub(r"'(?:[^'\\\\]|\\\\.|'')*'|\"(?:[^\"\\\\]|\\\\.)*\"|`[^`]*`|--[^\\n]*|/\\*.*?\\*/", " ", text, flags=re.S).strip(" (\n\t")
+    if not re.match(r"(?i)(select|with|values|from|table)\b", bare) or re.search(r"(?i)\b(insert\s+(into|overwrite)|merge\s+into|delete\s+from|update\s+\S+\s+set)\b", bare):
+        raise ValueError("only queries are run here, not commands")
     return spark.sql(text, args=list(params), **relations)

@@ -11,6 +11,8 @@ are dropped from the windowed aggregates but still logged by J2.
 
 from __future__ import annotations
 
+import datetime as dt
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .. import fixed
+from ..sources.tables import CONVERSATION_DDL, EXECUTION_DDL, conform
 
 MESSAGE_SCHEMA = "agent_type STRING, session_id STRING, context MAP<STRING, STRING>"
 AGENT_TYPES = ["debugger", "analyzer", "docs_generator", "orchestrator"]
@@ -64,11 +67,10 @@ def split_routes(routed: DataFrame) -> tuple[DataFrame, DataFrame]:
 # ------------------------------------------------------------------ J2
 
 def idempotent_append(base_path: str, partition_by: str | None = None) -> Callable[[DataFrame, int], None]:
-    """J2 sink: ``foreachBatch`` writer that is safe to replay.
+    """``foreachBatch`` writer that is safe to replay.
 
-    Batch ``n`` always lands in ``base_path/batch_id=n`` with overwrite, so a
-    micro-batch retried after a failure replaces its own output instead of
-    appending a second copy. Readers take ``base_path`` as one table.
+    Batch ``n`` lands in ``base_path/batch_id=n`` with overwrite. Give every
+    checkpoint a ``base_path`` of its own: a new checkpoint starts at batch 0.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -80,25 +82,48 @@ def idempotent_append(base_path: str, partition_by: str | None = None) -> Callab
     return write
 
 
+def _query_id(spark, checkpoint: str) -> str:
+    """Id that Spark gave the streaming query of a checkpoint folder; a new checkpoint has a new one."""
+    return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
+
+
 def stream_log(responses: DataFrame, history_path: str, executions_path: str,
                checkpoint_root: str, trigger: dict | None = None):
-    """Log each streamed agent response as a conversation row and an
-    execution row. Both sinks are idempotent per batch id; the checkpoint
-    folders make the query restartable. Returns the two started queries."""
-    hist = responses.select("session_id", F.col("user_message"), F.col("reply").alias("agent_response"),
-                            "agent_type", F.coalesce(F.col("metadata_json"), F.lit("{}")).alias("metadata_json"),
-                            F.current_timestamp().cast("timestamp_ntz").alias("created_at"))
-    execs = responses.select("session_id", "agent_type", F.col("user_message").alias("task_description"),
-                             F.lit("completed").alias("status"),
-                             F.substring("reply", 1, fixed.RESULT_PREFIX_CHARS).alias("result"),
-                             F.col("execution_time_ms"), F.col("tokens_used"), F.col("provider").alias("model_used"),
-                             F.current_timestamp().cast("timestamp_ntz").alias("created_at"))
-    trig = trigger or {"availableNow": True}
-    q1 = (hist.writeStream.foreachBatch(idempotent_append(history_path))
-          .option("checkpointLocation", f"{checkpoint_root.rstrip('/')}/history").trigger(**trig).start())
-    q2 = (execs.writeStream.foreachBatch(idempotent_append(executions_path))
-          .option("checkpointLocation", f"{checkpoint_root.rstrip('/')}/executions").trigger(**trig).start())
-    return q1, q2
+    """Log each streamed agent response as a conversation row and an execution row.
+
+    One query, so a response is computed once and both logs agree. Rows get
+    the declared schemas of A3/A4. A batch lands in
+    ``run_id=<query>/batch_id=<n>`` of both tables with overwrite: a replayed
+    batch replaces its own output, and a fresh checkpoint never that of an
+    earlier run. Returns the started query.
+    """
+    checkpoint = f"{checkpoint_root.rstrip('/')}/log"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        run = _query_id(spark, checkpoint)
+        now = F.lit(dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)).cast("timestamp_ntz")
+        held = batch.persist()
+        try:
+            for frame, path, ddl in ((conversation_rows(held, now), history_path, CONVERSATION_DDL), (execution_log_rows(held, now), executions_path, EXECUTION_DDL)):
+                ids = frame.withColumn("id", F.monotonically_increasing_id())
+                conform(ids, ddl).write.mode("overwrite").parquet(f"{path.rstrip('/')}/run_id={run}/batch_id={batch_id}")
+        finally:
+            held.unpersist()
+
+    return (responses.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
+def conversation_rows(responses: DataFrame, now: Column) -> DataFrame:
+    return responses.select("session_id", "user_message", F.col("reply").alias("agent_response"), "agent_type",
+                            F.coalesce(F.col("metadata_json"), F.lit("{}")).alias("metadata_json"), now.alias("created_at"))
+
+
+def execution_log_rows(responses: DataFrame, now: Column) -> DataFrame:
+    return responses.select("session_id", "agent_type", F.col("user_message").alias("task_description"),
+                            F.lit("completed").alias("status"), F.substring("reply", 1, fixed.RESULT_PREFIX_CHARS).alias("result"),
+                            "execution_time_ms", "tokens_used", F.col("provider").alias("model_used"), now.alias("created_at"))
 
 
 # ------------------------------------------------------------------ J3-J5
@@ -187,11 +212,9 @@ def ttl_replay_stream(requests: DataFrame, ttl_hours: int = 24,
             pending.extend(zip(pdf["t"].astype("int64"), pdf["id"].astype("int64")))
         wm = state.getCurrentWatermarkMs() * 1000
         pending.sort()
-        if state.hasTimedOut:
-            ready, keep = pending, []
-        else:
-            ready = [p for p in pending if p[0] <= wm]
-            keep = pending[len(ready):]        # pending is sorted by time
+        # rows past the watermark wait, on a timeout too: an earlier one may still come
+        ready = [p for p in pending if p[0] <= wm]
+        keep = pending[len(ready):]            # pending is sorted by time
         out = []
         for t, rid in ready:
             if fill is not None and t < fill + ttl_us:
@@ -202,8 +225,11 @@ def ttl_replay_stream(requests: DataFrame, ttl_hours: int = 24,
         if keep:
             state.update((fill, [{"t": t, "id": i} for t, i in keep]))
             state.setTimeoutTimestamp(max(keep[0][0] // 1000, state.getCurrentWatermarkMs() + 1))
-        elif fill is not None:
-            state.update((fill, []))
+        elif fill is not None and fill + ttl_us > wm:
+            state.update((fill, []))           # needed until the fill expires
+            state.setTimeoutTimestamp(max((fill + ttl_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["id", "cache_key", "created_at", "hit"])
 
     return df.groupBy("cache_key").applyInPandasWithState(

@@ -82,17 +82,17 @@ SELECT e.event_id AS message_id, 'user-' || CAST(e.user_id AS STRING) AS session
     WHEN 'signup' THEN 'hello' ELSE 'run multiple jobs' END
   || CASE WHEN e.event_id % 4 = 3 THEN '' ELSE chr(10) || '```' || CASE c.file_id % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'javascript' WHEN 2 THEN 'java' ELSE '' END || chr(10) || c.code || chr(10) || '```' END
   || CASE WHEN e.event_type = 'error' AND e.event_id % 2 = 0 THEN chr(10) || 'error: boom ' || CAST(e.event_id AS STRING) WHEN e.event_type = 'error' THEN ' Error: X' ELSE '' END AS content
-FROM {events} e JOIN {code_files} c ON c.file_id = e.event_id % 200
+FROM (SELECT *, event_id % (SELECT COUNT(*) FROM {part}) AS file_no FROM {events}) e JOIN {code_files} c ON c.file_id = e.file_no
 """
-VIEW_INPUTS["chat_messages"] = ("events", "code_files")
+VIEW_INPUTS["chat_messages"] = ("events", "code_files", "part")
 
 VIEW_SQL["cache_entries"] = """
 SELECT event_id AS id, md5(event_type || '|' || props) AS cache_key,
   CASE event_type WHEN 'click' THEN 'debug' WHEN 'view' THEN 'analysis' WHEN 'purchase' THEN 'docs' ELSE 'embedding' END AS cache_type,
-  props AS value, event_id % 500 AS vec_id, 24 AS ttl_hours, ts AS created_at, ts + INTERVAL '24' HOUR AS expires_at
+  props AS value, event_id % (SELECT COUNT(*) FROM {embeddings}) AS vec_id, 24 AS ttl_hours, ts AS created_at, ts + INTERVAL '24' HOUR AS expires_at
 FROM {events}
 """
-VIEW_INPUTS["cache_entries"] = ("events",)
+VIEW_INPUTS["cache_entries"] = ("events", "embeddings")
 
 
 # Views whose consumers do heavy per-row text work (regex scans, prompt

@@ -122,10 +122,12 @@ def test_stream_log_writes_both_tables(spark):
         "execution_time_ms double, tokens_used long, provider string")
     rows.write.parquet(f"{d}/in")
     stream = J.read_stream_like(spark, rows, f"{d}/in")
-    for q in J.stream_log(stream, f"{d}/hist", f"{d}/exec", f"{d}/ck"):
-        q.awaitTermination(300)
+    J.stream_log(stream, f"{d}/hist", f"{d}/exec", f"{d}/ck").awaitTermination(300)
     hist = spark.read.parquet(f"{d}/hist")
     execs = spark.read.parquet(f"{d}/exec")
     assert hist.count() == 2 and execs.count() == 2
     assert {r.metadata_json for r in hist.collect()} == {"{}", '{"a": 1}'}
     assert max(len(r.result) for r in execs.collect()) == 500
+    # a fresh checkpoint restarts at batch 0 and must not replace the first run's rows
+    J.stream_log(stream, f"{d}/hist", f"{d}/exec", f"{d}/ck2").awaitTermination(300)
+    assert spark.read.parquet(f"{d}/hist").count() == 4 and spark.read.parquet(f"{d}/exec").count() == 4

@@ -61,7 +61,7 @@ def test_priority_order_is_stable_and_can_break_dependencies(spark):
 
 
 def test_execution_mode(spark):
-    modes = {r.request_id: r.mode for r in G.execution_mode(G.plan_requests(_frame(spark, HAND))).collect()}
+    modes = {r.request_id: r.mode for r in G.execution_mode(_frame(spark, HAND)).collect()}
     assert modes[6] == "parallel" and modes[1] == "sequential"
 
 
