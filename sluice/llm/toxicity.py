@@ -252,6 +252,18 @@ def train(labelled: DataFrame, text: str = "text", toxic: str = "toxic", per_lab
         sample.unpersist()
 
 
+def sample_labels(labels: DataFrame, doc_id: str = "doc_id", toxic: str = "toxic", per_label: int = SAMPLE_PER_LABEL) -> DataFrame:
+    """About ``per_label`` distinct (id, label) rows of each label, chosen by hash of the id.
+
+    Small enough to be broadcast to the documents, so that training moves no
+    texts but those of the sample.
+    """
+    rows = labels.select(F.col(doc_id).alias("doc_id"), F.col(toxic).cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").distinct()
+    totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = F.when(F.col("toxic") == 1, min(1.0, per_label / totals.get(1, 1))).otherwise(min(1.0, per_label / totals.get(0, 1)))
+    return rows.filter(share_of(F.xxhash64("doc_id", F.lit("label")), share))
+
+
 def score(text: Column, lexicon: Lexicon) -> Column:
     """Score of each whole text from 0 to 1; null, empty and unhit texts have 0."""
 
