@@ -30,7 +30,9 @@ STEM = range(3, 13)
 #: A stem needs so many different left neighbours (of 64 classes) in toxic texts,
 #: which the words of one much copied text don't have, and this share of toxic texts.
 LEAST_CONTEXTS = 8
-LEAST_PRECISION = 0.6
+LEAST_PRECISION = 0.74
+#: Share of the toxic sample that must hold a stem.
+LEAST_SHARE = 0.02
 MAX_STEMS = 20_000
 CUT = 0.7
 
@@ -205,7 +207,7 @@ def train(labelled: DataFrame, text: str = "text", toxic: str = "toxic", per_lab
         precision = (t / n[1]) / (t / n[1] + (c + 0.5) / n[0])
         stems = (sample.mapInArrow(_count_stems, "stem string, toxic long, clean long, contexts long")
                  .groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_or("contexts").alias("contexts"))
-                 .filter((F.bit_count("contexts") >= LEAST_CONTEXTS) & (precision >= LEAST_PRECISION))
+                 .filter((F.bit_count("contexts") >= LEAST_CONTEXTS) & (precision >= LEAST_PRECISION) & (t >= LEAST_SHARE * n[1]))
                  .orderBy(F.desc("toxic"), "stem").limit(MAX_STEMS).collect())
         known = {r["stem"]: r for r in stems}
         kept = {}
