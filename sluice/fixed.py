@@ -127,6 +127,13 @@ AGENT_SETTINGS = {
     "docs_generator": (0.4, 3000),
 }
 
+# --- fixed values: task text and error prefix of an agent run that raised ---
+AGENT_FAILURES = {
+    "debugger": ("Debug code", "Debugger error: "),
+    "analyzer": ("Analyze code", "Analyzer error: "),
+    "docs_generator": ("Generate documentation", "Docs generator error: "),
+}
+
 # --- fixed values: limits ---
 RESULT_PREFIX_CHARS = 500      # execution log keeps the first 500 characters of a reply
 LONG_LINE_CHARS = 100          # a line longer than this counts as long

@@ -3,7 +3,8 @@
 A provider is a plain callable ``pandas.Series[str] -> pandas.Series[str]``
 (one reply per prompt; an empty reply means "no answer"). Providers are
 passed as ``(name, factory)`` pairs: the factory runs once per task, so a
-client is built once per partition, never per row.
+client is built once per partition, never per row. A provider that raises is
+skipped; one that raises ``RunError`` ends the run of the prompts it was given.
 
 Only distinct prompts are sent (keyed by a SHA-256 of the text), and the
 number of partitions of that distinct set caps how many calls run at once.
@@ -28,7 +29,12 @@ from . import prompts as P
 Provider = Callable[["object"], "object"]
 ProviderFactory = Callable[[], Provider]
 
-REPLY_SCHEMA = "_prompt_hash string, reply string, provider string, call_ms double, prompt_chars long"
+REPLY_SCHEMA = ("_prompt_hash string, reply string, provider string, call_ms double, prompt_chars long, "
+                "details string, run_error string")
+
+
+class RunError(Exception):
+    """Raised by a provider: the run failed, and no other provider is asked."""
 
 
 def _caller(providers: Sequence[tuple[str, ProviderFactory]]):
@@ -45,6 +51,7 @@ def _caller(providers: Sequence[tuple[str, ProviderFactory]]):
             prompts = pdf["prompt"].fillna("")
             reply = pd.Series([""] * len(pdf), index=pdf.index, dtype=object)
             chosen = pd.Series(["none"] * len(pdf), index=pdf.index, dtype=object)
+            raised = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
             todo = pd.Series(True, index=pdf.index)
             t0 = time.perf_counter()
             for name, fn in clients:
@@ -53,6 +60,9 @@ def _caller(providers: Sequence[tuple[str, ProviderFactory]]):
                 ask = prompts[todo]
                 try:
                     out = pd.Series(list(fn(ask)), index=ask.index, dtype=object)
+                except RunError as error:
+                    raised.loc[ask.index] = str(error)
+                    break
                 except Exception:  # failing provider: try the next one
                     continue
                 out = out.where(out.notna(), "").astype(str)
@@ -63,7 +73,8 @@ def _caller(providers: Sequence[tuple[str, ProviderFactory]]):
             per_row = (time.perf_counter() - t0) * 1000.0 / max(len(pdf), 1)
             yield pd.DataFrame({"_prompt_hash": pdf["_prompt_hash"], "reply": reply,
                                 "provider": chosen, "call_ms": per_row,
-                                "prompt_chars": prompts.str.len().astype("int64")})
+                                "prompt_chars": prompts.str.len().astype("int64"),
+                                "details": pdf["details"], "run_error": raised})
 
     return call
 
@@ -76,25 +87,48 @@ def batch_inference(df: DataFrame, providers: Sequence[tuple[str, ProviderFactor
     skipped; nothing → ``("", "none")``.
     """
     keyed = df.withColumn("_prompt_hash", F.sha2(F.coalesce(F.col(prompt_col), F.lit("")), 256))
-    distinct = (keyed.select("_prompt_hash", F.col(prompt_col).alias("prompt"))
-                .dropDuplicates(["_prompt_hash"]))
-    if max_parallel_calls:
-        distinct = distinct.repartition(max_parallel_calls, "_prompt_hash")
-    replies = distinct.mapInPandas(_caller(providers), REPLY_SCHEMA)
-    return keyed.join(replies.drop("prompt_chars"), "_prompt_hash", "left").drop("_prompt_hash")
+    distinct = keyed.select("_prompt_hash", F.col(prompt_col).alias("prompt")).dropDuplicates(["_prompt_hash"])
+    replies = call_providers(distinct, providers, "_prompt_hash", max_parallel_calls)
+    return (keyed.join(replies.select("_prompt_hash", "reply", "provider", "call_ms"), "_prompt_hash", "left")
+            .drop("_prompt_hash"))
 
 
 # ------------------------------------------------------------------ agents
 
+def _language():
+    return F.coalesce(F.col("language"), F.lit("unknown"))
+
+
+def _or_default(name: str, default: str):
+    return F.coalesce(F.col(name), F.lit(default))
+
+
 def _user_message(agent_type):
-    lang = F.coalesce(F.col("language"), F.lit("unknown"))
+    lang = _language()
     return (F.when(agent_type == "debugger", F.concat(F.lit("Debug "), lang, F.lit(" code")))
             .when(agent_type == "analyzer",
                   F.concat(F.lit("Analyze "), lang, F.lit(" code ("),
-                           F.coalesce(F.col("analysis_type"), F.lit(fixed.ANALYSIS_DEFAULT)), F.lit(")")))
-            .otherwise(F.concat(F.lit("Generate "), F.coalesce(F.col("doc_type"), F.lit(fixed.DOC_TYPE_DEFAULT)),
+                           _or_default("analysis_type", fixed.ANALYSIS_DEFAULT), F.lit(")")))
+            .otherwise(F.concat(F.lit("Generate "), _or_default("doc_type", fixed.DOC_TYPE_DEFAULT),
                                 F.lit(" documentation ("),
-                                F.coalesce(F.col("style"), F.lit(fixed.DOC_STYLE_DEFAULT)), F.lit(" style)"))))
+                                _or_default("style", fixed.DOC_STYLE_DEFAULT), F.lit(" style)"))))
+
+
+def _metadata(details):
+    """JSON of a run: what its agent was told and found, the provider and the settings."""
+    kind = F.col("agent_type")
+    settings = F.create_map(*[F.lit(x) for k, (t, m) in fixed.AGENT_SETTINGS.items()
+                              for x in (k, F.struct(F.lit(t).alias("temperature"), F.lit(m).alias("max_tokens")))])
+    return F.to_json(F.struct(
+        _language().alias("language"),
+        F.when(kind == "debugger", F.col("error_message")).alias("error_message"),
+        details["syntax_errors_found"].alias("syntax_errors_found"),
+        F.when(kind == "analyzer", _or_default("analysis_type", fixed.ANALYSIS_DEFAULT)).alias("analysis_type"),
+        details["quality_metrics"].alias("quality_metrics"),
+        F.when(kind == "docs_generator", _or_default("doc_type", fixed.DOC_TYPE_DEFAULT)).alias("doc_type"),
+        F.when(kind == "docs_generator", _or_default("style", fixed.DOC_STYLE_DEFAULT)).alias("style"),
+        F.col("provider"),
+        F.try_element_at(settings, kind).alias("settings")))
 
 
 def agent_prompts(requests: DataFrame) -> DataFrame:
@@ -111,9 +145,12 @@ def call_providers(prompts: DataFrame, providers: Sequence[tuple[str, ProviderFa
                    key: str, max_parallel_calls: int | None = None) -> DataFrame:
     """Send already-distinct prompts (one row per ``key``) to the providers.
 
-    Returns ``key, reply, provider, call_ms, prompt_chars``.
+    Returns ``key, reply, provider, call_ms, prompt_chars, details, run_error``;
+    ``details`` is passed through (null if ``prompts`` has none), ``run_error``
+    is the message of a ``RunError``.
     """
-    src = prompts.select(F.col(key).alias("_prompt_hash"), "prompt")
+    details = F.col("details") if "details" in prompts.columns else F.lit(None).cast("string").alias("details")
+    src = prompts.select(F.col(key).alias("_prompt_hash"), "prompt", details)
     if max_parallel_calls:
         src = src.repartition(max_parallel_calls, "_prompt_hash")
     return src.mapInPandas(_caller(providers), REPLY_SCHEMA).withColumnRenamed("_prompt_hash", key)
@@ -129,7 +166,9 @@ def agent_job(requests: DataFrame, providers: Sequence[tuple[str, ProviderFactor
     Returns ``(responses, history_rows, execution_rows)``. A request without
     code fails with ``No code provided``; a request without any reply fails
     with ``Failed to get response from LLM`` and, as in the service, is not
-    logged; one with an unknown agent type fails with that message. Successful requests produce one history and one execution row.
+    logged; one with an unknown agent type fails with that message. A run that
+    raised fails with its agent's error text and leaves a ``failed`` execution
+    row. Successful requests produce one history and one execution row.
 
     A prompt is a pure function of the request's inputs, so requests are
     de-duplicated on a hash of those inputs first: prompts are assembled and
@@ -148,15 +187,18 @@ def agent_job(requests: DataFrame, providers: Sequence[tuple[str, ProviderFactor
     if checkpoint:
         checkpoint_dir(answers.sparkSession)
         answers = answers.checkpoint(eager=True)
+    answers = answers.withColumn("_details", F.from_json("details", P.DETAILS_DDL)).drop("details")
     # one pass over the requests: rows without code find no answer
     joined = keyed.join(answers, "_in_hash", "left").drop("_in_hash").withColumn("_has_code", has_code)
     code_ok = F.col("_has_code")
-    known = F.coalesce(F.col("agent_type").isin(*fixed.AGENT_SETTINGS), F.lit(False))
+    kind = F.col("agent_type")
+    known = F.coalesce(kind.isin(*fixed.AGENT_SETTINGS), F.lit(False))
+    raised = code_ok & known & F.col("run_error").isNotNull()
     ok = code_ok & known & (F.coalesce(F.col("reply"), F.lit("")) != "")
-    settings = F.create_map(*[F.lit(x) for k, (t, m) in fixed.AGENT_SETTINGS.items()
-                              for x in (k, F.struct(F.lit(t).alias("temperature"), F.lit(m).alias("max_tokens")))])
-    meta = F.to_json(F.struct(F.col("language"), F.col("provider"),
-                              F.try_element_at(settings, F.col("agent_type")).alias("settings")))
+    failure = F.create_map(*[F.lit(x) for k, (task, prefix) in fixed.AGENT_FAILURES.items()
+                             for x in (k, F.struct(F.lit(task).alias("task"), F.lit(prefix).alias("prefix")))])
+    failure = F.try_element_at(failure, kind)
+    meta = _metadata(F.col("_details"))
     tokens = (P.floor_div(F.col("prompt_chars"), fixed.CHARS_PER_TOKEN)
               + P.floor_div(F.length("reply"), fixed.CHARS_PER_TOKEN))
     responses = joined.select(
@@ -164,23 +206,26 @@ def agent_job(requests: DataFrame, providers: Sequence[tuple[str, ProviderFactor
         F.when(ok, F.col("reply")).alias("result"),
         F.when(~known, F.concat(F.lit("Unknown agent type: "), F.coalesce("agent_type", F.lit("None"))))
         .when(~code_ok, F.lit("No code provided"))
+        .when(raised, F.concat(failure["prefix"], F.col("run_error")))
         .when(~ok, F.lit("Failed to get response from LLM")).alias("error"),
         F.when(ok, tokens).alias("tokens_used"),
         F.when(code_ok, F.col("call_ms")).otherwise(F.lit(0.0)).alias("execution_time_ms"),
         F.when(code_ok, F.col("provider")).alias("provider"),
-        F.when(code_ok, meta).alias("metadata_json"))
-    answered = joined.where(code_ok)
-
-    good = answered.where(ok).withColumn("user_message", _user_message(F.col("agent_type")))
-    history_rows = good.select("session_id", "user_message", F.col("reply").alias("agent_response"),
-                               "agent_type", meta.alias("metadata_json"))
-    exec_rows = good.select(
-        "session_id", "agent_type", F.col("user_message").alias("task_description"),
-        F.lit("completed").alias("status"),
-        F.substring("reply", 1, fixed.RESULT_PREFIX_CHARS).alias("result"),
-        F.lit(None).cast("string").alias("error_message"),
-        F.col("call_ms").alias("execution_time_ms"), tokens.alias("tokens_used"),
-        F.col("provider").alias("model_used"))
+        F.when(ok, meta).alias("metadata_json"))
+
+    message = _user_message(kind)
+    history_rows = joined.where(ok).select(
+        "session_id", message.alias("user_message"), F.col("reply").alias("agent_response"),
+        "agent_type", meta.alias("metadata_json"))
+    exec_rows = joined.where(ok | raised).select(
+        "session_id", "agent_type",
+        F.when(raised, failure["task"]).otherwise(message).alias("task_description"),
+        F.when(raised, F.lit("failed")).otherwise(F.lit("completed")).alias("status"),
+        F.when(ok, F.substring("reply", 1, fixed.RESULT_PREFIX_CHARS)).alias("result"),
+        F.col("run_error").alias("error_message"),
+        F.col("call_ms").alias("execution_time_ms"),
+        F.when(ok, tokens).otherwise(F.lit(0)).alias("tokens_used"),
+        F.when(ok, F.col("provider")).alias("model_used"))
     return responses, history_rows, exec_rows
 
 
@@ -192,38 +237,3 @@ def requests_from_chat(chat_requests: DataFrame) -> DataFrame:
     return (chat_requests.where(F.col("intent").isin("debug", "analyze", "docs"))
             .select(F.col("message_id").alias("request_id"), "session_id", agent.alias("agent_type"),
                     "code", "language", "error_message", "analysis_type", "doc_type", "style"))
-
-
-# ------------------------------------------------------------------ test doubles
-
-def stub_providers() -> list[tuple[str, ProviderFactory]]:
-    """Deterministic stand-ins for two model providers (tests and benchmarks).
-
-    The first answers only prompts of even length (so the second is exercised
-    as a fallback); both read the whole prompt.
-    """
-
-    def primary():
-        import hashlib
-
-        import pandas as pd
-
-        def answer(prompts):
-            return pd.Series([
-                f"primary:{hashlib.sha1(p.encode()).hexdigest()[:12]}:{len(p)}" if len(p) % 2 == 0 else ""
-                for p in prompts], index=prompts.index)
-
-        return answer
-
-    def fallback():
-        import hashlib
-
-        import pandas as pd
-
-        def answer(prompts):
-            return pd.Series([f"fallback:{hashlib.md5(p.encode()).hexdigest()[:12]}:{p.count(chr(10))}"
-                              for p in prompts], index=prompts.index)
-
-        return answer
-
-    return [("PrimaryStub", primary), ("FallbackStub", fallback)]

@@ -14,7 +14,12 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.text import fixed_digits, floor_div
-from .code import findings_of, functions_of, quality_exprs
+from .code import findings_of, functions_of, quality_columns, quality_exprs
+
+# What agent_prompt_column tells of the code beside the prompt.
+DETAILS_DDL = ("syntax_errors_found INT, quality_metrics STRUCT<total_lines: INT, non_empty_lines: INT, "
+               "comment_lines: INT, average_line_length: DOUBLE, functions: INT, indentation_issues: INT, "
+               "long_lines: INT>")
 
 # ------------------------------------------------------------------ texts
 
@@ -100,12 +105,11 @@ def debug_prompt(findings: Column) -> Column:
     return F.concat(preamble("debugger"), F.lit("\n\n"), user)
 
 
-def analysis_prompt(functions: Column) -> Column:
+def analysis_prompt(m: dict[str, Column] | Column) -> Column:
     """E3 text from the request columns (code, language, analysis_type) and
-    its function list (an array column computed once by the caller)."""
+    its quality metrics by name (expressions, or a struct computed once)."""
     lang = _lang()
     atype = F.coalesce(F.col("analysis_type"), F.lit(fixed.ANALYSIS_DEFAULT))
-    m = quality_exprs(F.col("code"), lang, functions)
     metrics = F.concat(
         F.lit("Metrics:\n- Lines: "), m["total_lines"].cast("string"),
         F.lit("\n- Non-blank lines: "), m["non_empty_lines"].cast("string"),
@@ -150,7 +154,7 @@ def analysis_prompts(requests: DataFrame) -> DataFrame:
     """Prompt per analysis request, with the metrics block; an unknown
     analysis type falls back to the comprehensive section."""
     df = requests.withColumn("_fn", functions_of(F.col("code"), _lang()))
-    return (df.withColumn("prompt", analysis_prompt(F.col("_fn"))).drop("_fn")
+    return (df.withColumn("prompt", analysis_prompt(quality_exprs(F.col("code"), _lang(), F.col("_fn")))).drop("_fn")
             .withColumn("prompt_tokens", token_estimate(F.col("prompt"))))
 
 
@@ -166,16 +170,21 @@ def agent_prompt_column(df: DataFrame, agent_type: str = "agent_type") -> DataFr
 
     The finding and function lists are computed only for the rows that need
     them, and ``CASE`` evaluates only the matching branch, so a mixed request
-    table is read once (no union of three filtered copies).
+    table is read once (no union of three filtered copies). ``details`` is
+    what the run learned about the code, as JSON of ``DETAILS_DDL``.
     """
     kind = F.col(agent_type)
     lang = _lang()
+    metrics = F.struct(*quality_columns(F.col("code"), lang, F.col("_fn")))
     df = (df.withColumn("_findings", F.when(kind == "debugger", findings_of(F.col("code"), lang)))
-          .withColumn("_fn", F.when(kind == "analyzer", functions_of(F.col("code"), lang))))
+          .withColumn("_fn", F.when(kind == "analyzer", functions_of(F.col("code"), lang)))
+          .withColumn("_metrics", F.when(kind == "analyzer", metrics)))
     prompt = (F.when(kind == "debugger", debug_prompt(F.col("_findings")))
-              .when(kind == "analyzer", analysis_prompt(F.col("_fn")))
+              .when(kind == "analyzer", analysis_prompt(F.col("_metrics")))
               .when(kind == "docs_generator", docs_prompt()))
-    return df.withColumn("prompt", prompt).drop("_findings", "_fn")
+    details = F.to_json(F.struct(F.when(kind == "debugger", F.size("_findings")).alias("syntax_errors_found"),
+                                 F.col("_metrics").alias("quality_metrics")))
+    return df.withColumn("prompt", prompt).withColumn("details", details).drop("_findings", "_fn", "_metrics")
 
 
 def resolve_provider(replies: list[tuple[str, Column]]) -> tuple[Column, Column]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from .. import fixed
@@ -9,9 +11,10 @@ from ..operators import chat as C
 from ..operators import inference as I
 from ..operators import prompts as P
 from .chat import _REQUESTS_CTE
-from .code import _bracket_cte, _fn_ctes, _PATTERN_HITS
+from .code import _bracket_cte, _fn_ctes, _METRICS_SQL, _PATTERN_HITS
 from ..session import cpu_partitions
 from .registry import query
+from .stubs import provider_sql, reply_sql, stub_providers
 
 
 def _lit(s: str) -> str:
@@ -166,9 +169,52 @@ def docs_prompts(t):
     return P.docs_prompts(_requests("docs")(t)).select("message_id", "prompt", "prompt_tokens")
 
 
-# ------------------------------------------------------------------ E5, E7 (rows-only)
-
-@query("batch_inference", ("chat_messages",))
+# ------------------------------------------------------------------ E5, E7
+
+# Every agent request with its prompt, and what the run learned about its code as JSON members.
+_METRIC_NAMES = re.findall(r"AS (\w+),?$", _METRICS_SQL, re.M)
+_METRICS_JSON = " || ',' || ".join(f"'\"{n}\":' || CAST({'avg_length' if n == 'average_line_length' else n} AS VARCHAR)" for n in _METRIC_NAMES)
+_ALL_PROMPTS = _REQUESTS_CTE.rstrip() + f""",
+prompted AS (
+  (WITH {_CHAT_CORPUS.format(intent="debug")}, {_bracket_cte()}, {_PATTERN_HITS}, {_FINDINGS_LIST}
+   SELECT c.file_id AS message_id, 'debugger' AS agent_type, {_DEBUG_PROMPT_SQL} AS prompt,
+     CASE WHEN c.error_message IS NULL THEN '' ELSE ',"error_message":' || CAST(to_json(c.error_message) AS VARCHAR) END
+       || ',"syntax_errors_found":' || CAST(COALESCE(fl.n, 0) AS VARCHAR) AS details
+   FROM corpus c LEFT JOIN flist fl USING (file_id))
+  UNION ALL
+  (WITH {_CHAT_CORPUS.format(intent="analyze")}, {_fn_ctes()},
+   measured AS (
+     SELECT c.*, nf.n, (length(code) - (len(ls) - 1)) / len(ls) AS avg_length, {_METRICS_SQL}
+     FROM (SELECT *, string_split(code, chr(10)) AS ls FROM corpus) c
+     LEFT JOIN (SELECT file_id, COUNT(*) AS n FROM fns GROUP BY file_id) nf USING (file_id))
+   SELECT c.file_id, 'analyzer', {_ANALYSIS_PROMPT_SQL.replace("nf.n", "c.n")},
+     ',"analysis_type":' || CAST(to_json({_ATYPE}) AS VARCHAR) || ',"quality_metrics":{{' || {_METRICS_JSON} || '}}'
+   FROM measured c)
+  UNION ALL
+  (WITH {_CHAT_CORPUS.format(intent="docs")}
+   SELECT c.file_id, 'docs_generator', {_DOCS_PROMPT_SQL},
+     ',"doc_type":' || CAST(to_json({_DTYPE}) AS VARCHAR) || ',"style":' || CAST(to_json({_STYLE}) AS VARCHAR)
+   FROM corpus c)),
+answered AS (
+  SELECT message_id AS request_id, agent_type, prompt, details, {provider_sql("prompt")} AS provider, {reply_sql("prompt")} AS reply
+  FROM prompted)
+"""
+
+_SETTINGS_CASE = " ".join(f"WHEN '{k}' THEN '{{\"temperature\":{t},\"max_tokens\":{m}}}'" for k, (t, m) in fixed.AGENT_SETTINGS.items())
+_AGENT_JOB_SQL = _ALL_PROMPTS + f"""
+SELECT r.message_id AS request_id, r.session_id,
+  CASE r.intent WHEN 'debug' THEN 'debugger' WHEN 'analyze' THEN 'analyzer' ELSE 'docs_generator' END AS agent_type,
+  a.reply IS NOT NULL AS success, a.reply AS result,
+  CASE WHEN a.reply IS NULL THEN 'No code provided' END AS error,
+  {_tokens_sql("a.prompt")} + {_tokens_sql("a.reply")} AS tokens_used, a.provider,
+  '{{"language":' || CAST(to_json(COALESCE(r.language, 'unknown')) AS VARCHAR) || a.details || ',"provider":"' || a.provider
+    || '","settings":' || CASE a.agent_type {_SETTINGS_CASE} END || '}}' AS metadata_json
+FROM req r LEFT JOIN answered a ON a.request_id = r.message_id
+WHERE r.intent IN ('debug', 'analyze', 'docs')"""
+
+
+@query("batch_inference", ("chat_messages",), _ALL_PROMPTS + """
+SELECT request_id, agent_type, provider, reply FROM answered""")
 def batch_inference(t):
     """E5 over every routed chat request's prompt, with the stub providers.
 
@@ -180,7 +226,7 @@ def batch_inference(t):
     distinct = (keyed.select("_in_hash", *I.INPUT_COLUMNS)
                 .dropDuplicates(["_in_hash"]).repartition(cpu_partitions(t.spark), "_in_hash")
                 .where(F.col("code").isNotNull()))
-    answered = I.call_providers(I.agent_prompts(distinct), I.stub_providers(), "_in_hash")
+    answered = I.call_providers(I.agent_prompts(distinct), stub_providers(), "_in_hash")
     # a left join: an inner join would add an inferred NOT NULL filter on the
     # hash, copying the whole input expression into the scan stage
     return (keyed.where(F.col("code").isNotNull()).select("request_id", "agent_type", "_in_hash")
@@ -188,9 +234,9 @@ def batch_inference(t):
             .drop("_in_hash"))
 
 
-@query("agent_job", ("chat_messages",))
+@query("agent_job", ("chat_messages",), _AGENT_JOB_SQL)
 def agent_job(t):
     """Responses for every routed chat request (stub providers)."""
     reqs = I.requests_from_chat(C.chat_requests(t.chat_messages))
-    responses, _history, _executions = I.agent_job(reqs, I.stub_providers())
+    responses, _history, _executions = I.agent_job(reqs, stub_providers())
     return responses.drop("execution_time_ms")

@@ -1,8 +1,11 @@
 """Provider fallback semantics of batch inference."""
 
+import json
+
 import pandas as pd
 
 from sluice.operators import inference as I
+from sluice.plans.stubs import stub_providers
 
 
 def _const(text):
@@ -41,10 +44,42 @@ def test_agent_job_outputs(spark):
          (3, "s", "docs_generator", "x = 1", "python", None, None, "class", "numpy")],
         "request_id long, session_id string, agent_type string, code string, language string, "
         "error_message string, analysis_type string, doc_type string, style string")
-    resp, hist, execs = I.agent_job(reqs, I.stub_providers())
+    resp, hist, execs = I.agent_job(reqs, stub_providers())
     r = {x.request_id: x for x in resp.collect()}
     assert r[2].success is False and r[2].error == "No code provided"
     assert r[1].success and r[3].success
     assert hist.count() == 2 and execs.count() == 2
     assert {x.task_description for x in execs.collect()} == {
         "Debug python code", "Generate class documentation (numpy style)"}
+
+
+def test_run_that_raises_leaves_a_failed_row(spark):
+    reqs = spark.createDataFrame(
+        [(1, "s", "debugger", "x = (1", "python", 'say "no"', None, None, None),
+         (2, "s", "analyzer", "x = 1\n", "python", None, None, None, None),
+         (3, "s", "docs_generator", "x = 1", None, None, None, None, None)],
+        "request_id long, session_id string, agent_type string, code string, language string, "
+        "error_message string, analysis_type string, doc_type string, style string")
+
+    def quota():
+        def fn(prompts):
+            raise I.RunError("no quota")
+        return fn
+
+    resp, hist, execs = I.agent_job(reqs, [("Quota", quota), ("Last", _const("z"))])
+    assert {x.error for x in resp.collect()} == {"Debugger error: no quota", "Analyzer error: no quota",
+                                                 "Docs generator error: no quota"}
+    assert hist.count() == 0
+    assert {(x.task_description, x.status, x.result, x.error_message, x.tokens_used) for x in execs.collect()} == {
+        (t, "failed", None, "no quota", 0) for t in ("Debug code", "Analyze code", "Generate documentation")}
+
+    resp, hist, _ = I.agent_job(reqs, [("Last", _const("z"))])
+    meta = {x.agent_type: json.loads(x.metadata_json) for x in hist.collect()}
+    settings = {k: v.pop("settings") for k, v in meta.items()}
+    assert settings["debugger"] == {"temperature": 0.3, "max_tokens": 2048}
+    assert meta["debugger"] == {"language": "python", "error_message": 'say "no"', "syntax_errors_found": 1, "provider": "Last"}
+    assert meta["analyzer"] == {
+        "language": "python", "analysis_type": "comprehensive", "provider": "Last",
+        "quality_metrics": {"total_lines": 2, "non_empty_lines": 1, "comment_lines": 0, "average_line_length": 2.5,
+                            "functions": 0, "indentation_issues": 0, "long_lines": 0}}
+    assert meta["docs_generator"] == {"language": "unknown", "doc_type": "function", "style": "google", "provider": "Last"}

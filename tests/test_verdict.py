@@ -7,6 +7,7 @@ from sluice.functions.text import ustrip
 from sluice.operators import cache as H
 from sluice.operators import inference as I
 from sluice.operators import tasks as G
+from sluice.plans.stubs import stub_providers
 from sluice.sources.tables import sql_with_params
 
 
@@ -31,7 +32,7 @@ def test_string_request_ids_and_both_ordering_paths(spark, limit):
 def test_unknown_agent_type_gets_an_error(spark):
     reqs = spark.createDataFrame([(1, "s", "planner", "x = 1", "python", None, None, None, None), (2, "s", "debugger", "x = 1", "python", None, None, None, None)],
                                  "request_id long, session_id string, agent_type string, code string, language string, error_message string, analysis_type string, doc_type string, style string")
-    responses, history, _ = I.agent_job(reqs, I.stub_providers())
+    responses, history, _ = I.agent_job(reqs, stub_providers())
     got = {r["request_id"]: r for r in responses.collect()}
     assert got[1]["success"] is False and got[1]["error"] == "Unknown agent type: planner"
     assert got[2]["success"] and history.count() == 1
