@@ -1,5 +1,6 @@
 """Streaming operators equal their batch twins on closed windows."""
 
+import datetime as dt
 import tempfile
 
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ def test_stats_stream_equals_batch_on_closed_windows(spark):
     last = t.executions.agg(F.max("created_at")).first()[0]
     batch = {(r.window_start, r.total_executions, r.total_tokens)
              for r in J.stream_stats(t.executions).collect()
-             if r.window_end <= last - __import__("datetime").timedelta(minutes=10)}
+             if r.window_end <= last - dt.timedelta(minutes=10)}
     assert streamed and streamed == batch
 
 
@@ -59,15 +60,37 @@ def test_late_rows_are_dropped_from_windows(spark):
     assert out.where("window_start < TIMESTAMP_NTZ '2024-01-05 00:00:00'").count() == 0
 
 
-def test_rate_limit_stream_equals_batch(spark):
+def test_limit_streams_equal_batch_on_closed_windows(spark):
     t = Tables(spark, SMOKE_DIR)
     d = _scratch()
-    t.executions.write.parquet(f"{d}/in")
+    t.executions.repartition(6, "session_id").write.parquet(f"{d}/in")
     stream = J.read_stream_like(spark, t.executions, f"{d}/in")
-    _run_to_memory(J.token_budget(stream, budget=300), "j5_out")
-    streamed = {tuple(r) for r in spark.sql("SELECT * FROM j5_out").collect()}
-    batch = {tuple(r) for r in J.token_budget(t.executions, budget=300).collect()}
-    assert streamed and streamed <= batch
+    closed = t.executions.agg(F.max("created_at")).first()[0] - dt.timedelta(minutes=10)
+    for name, limit in (("j4_out", lambda df: J.rate_limit(df, threshold=0)), ("j5_out", lambda df: J.token_budget(df, budget=300))):
+        _run_to_memory(limit(stream), name)
+        streamed = {tuple(r) for r in spark.table(name).collect()}
+        batch = {tuple(r) for r in limit(t.executions).collect() if r.window_end <= closed}
+        assert streamed and streamed == batch
+
+
+def test_ttl_replay_stream_takes_rows_in_time_order(spark):
+    from sluice.operators import cache as H
+
+    d = _scratch()
+    at = dt.datetime(2024, 1, 1)
+    # 3 comes after 2 but is earlier, inside the watermark delay; 4 and 5 move the watermark on
+    rows = [(1, "k", at), (2, "k", at + dt.timedelta(days=2, minutes=8)), (3, "k", at + dt.timedelta(days=2, minutes=4)),
+            (4, "z", at + dt.timedelta(days=2, minutes=30)), (5, "z", at + dt.timedelta(days=9))]
+    reqs = spark.createDataFrame(rows, "id long, cache_key string, created_at timestamp_ntz")
+    for i, _, _ in rows:
+        reqs.where(F.col("id") == i).coalesce(1).write.parquet(f"{d}/in/p{i}")
+    stream = J.read_stream_like(spark, reqs, f"{d}/in/*", max_files_per_trigger=1)
+    q = (J.ttl_replay_stream(stream).writeStream.format("parquet").option("path", f"{d}/out")
+         .option("checkpointLocation", f"{d}/ck").outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    got = sorted((r.id, r.hit) for r in spark.read.parquet(f"{d}/out").collect())
+    assert got == [(1, False), (2, True), (3, False), (4, False)]
+    assert got == sorted((r.id, r.hit) for r in H.ttl_replay(reqs, 24).collect() if r.id != 5)
 
 
 def test_route_stream_and_replayable_sink(spark):
@@ -89,8 +112,6 @@ def test_route_stream_and_replayable_sink(spark):
 
 
 def test_ttl_replay_stream_equals_batch_on_passed_rows(spark):
-    import datetime as dt
-
     from sluice.operators import cache as H
 
     t = Tables(spark, SMOKE_DIR)
