@@ -12,6 +12,7 @@ up the same tree.
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,7 +21,7 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import values
+from .common import slices, values
 
 LEAF_CHARS = 1 << 14
 LEAF_BYTES = 48
@@ -211,12 +212,13 @@ def round_trip(text: Column, path: str, pattern: str) -> Column:
     """Struct of the ``ids`` of each whole text and the bytes ``decoded`` from them.
 
     One Python worker a task does both, where ``decode(encode(...))`` keeps two
-    with a vocabulary each.
+    with a vocabulary each. Results leave it a slice of a batch at a time.
     """
 
     @F.arrow_udf("ids array<int>, decoded binary")
-    def compute(column: pa.Array) -> pa.Array:
-        ids = _encode(column, path, pattern)
-        return pa.StructArray.from_arrays([ids, _decode(ids, path, pattern)], names=["ids", "decoded"])
+    def compute(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in slices(batches):
+            ids = _encode(column, path, pattern)
+            yield pa.StructArray.from_arrays([ids, _decode(ids, path, pattern)], names=["ids", "decoded"])
 
     return compute.asNondeterministic()(text)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +41,13 @@ def values(column) -> Iterator:
     return (x.as_py() for x in column)
 
 
+def slices(batches: Iterator[pa.Array], rows: int = 512) -> Iterator[pa.Array]:
+    """Batches in pieces of at most ``rows`` values, so that results as large as their input leave a worker early."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def words(text: Column) -> Column:
     """Number of words of a text; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

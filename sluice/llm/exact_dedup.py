@@ -9,12 +9,14 @@ shuffle at most (as distinct chunks), the lists do the rest.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, materialize, values
+from .common import SPACE_RUN, materialize, slices, values
 
 #: Chunk sizes in bytes: least, mean beyond the least (a power of two), most.
 LEAST, MEAN, MOST = 1024, 4096, 32768
@@ -60,8 +62,9 @@ def hashed(chunk: Column) -> Column:
 
 def _chunk_list(text: Column) -> Column:
     @F.arrow_udf("array<binary>")
-    def cut(column: pa.Array) -> pa.Array:
-        return pa.array([chunks(x or b"") for x in values(column.cast(pa.binary()))], pa.list_(pa.binary()))
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in slices(batches):
+            yield pa.array([chunks(x or b"") for x in values(column.cast(pa.binary()))], pa.list_(pa.binary()))
 
     return cut(text)
 
