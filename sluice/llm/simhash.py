@@ -194,7 +194,7 @@ def links(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) ->
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
-                    distance: int = DISTANCE) -> DataFrame:
+                    distance: int = DISTANCE, mark: Column | None = None) -> DataFrame:
     """``doc_id, fp, component_id, row_id, keep_row`` for every row.
 
     ``fp`` is the SimHash of the whole text's word shingles, ``component_id``
@@ -203,9 +203,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ids are passed over for ``component_id`` (null if there is no other).
     ``keep_row`` is the ``row_id`` of the component's representative: the row
     with the smallest id, one of them if rows repeat. An empty table gives an
-    empty result; other columns are ignored.
+    empty result; other columns are ignored. A ``mark`` is returned with its
+    row under that name, to find the row again.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), shingle).alias("fp"))
+    marks = [] if mark is None else [mark.alias("mark")]
+    rows = docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), shingle).alias("fp"), *marks)
     rows = materialize(rows.withColumn("row_id", F.monotonically_increasing_id()), "fingerprints")
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_id")
     prints = materialize(rows.groupBy("fp").agg(F.min(first).alias("first")), "prints")
@@ -215,4 +217,4 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     leaders = rooted.groupBy("root").agg(F.min("first").alias("leader"))
     classes = rooted.join(leaders, "root").select(
         F.col("fp").alias("class_fp"), F.col("leader.doc_id").alias("component_id"), F.col("leader.row_id").alias("keep_row"))
-    return rows.join(classes, rows["fp"] == classes["class_fp"]).select("doc_id", "fp", "component_id", "row_id", "keep_row")
+    return rows.join(classes, rows["fp"] == classes["class_fp"]).select("doc_id", "fp", "component_id", "row_id", "keep_row", *(["mark"] if marks else []))
