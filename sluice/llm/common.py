@@ -66,6 +66,28 @@ def share_of(key: Column, fraction: Column) -> Column:
     return (F.pmod(key, F.lit(1 << 40)) / F.lit(float(1 << 40))) < fraction
 
 
+def distinct_texts(rows: DataFrame, label: str) -> DataFrame:
+    """``label, text`` of ``rows`` once for each label and text (by a 64-bit hash).
+
+    Tasks drop their own repeats before anything is moved, so a text with many
+    copies sends one row a task. For samples: a task holds the hashes it met.
+    """
+    marked = rows.select(label, "text", F.xxhash64("text").alias("mark"))
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            new = []
+            for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+                if key not in seen:
+                    seen.add(key)
+                    new.append(i)
+            if new:
+                yield batch.take(pa.array(new))
+
+    return marked.mapInArrow(once, marked.schema).dropDuplicates([label, "mark"]).select(label, "text")
+
+
 def keep_rows(docs: DataFrame, mark: Column, kept: DataFrame) -> DataFrame:
     """The rows of ``docs`` named by ``kept`` (doc_id, mark), one row for each, all columns.
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import share_of, values
+from .common import distinct_texts, share_of, values
 
 PROFILE_SIZE = 400
 #: Bound of the training sample: about this many documents per language.
@@ -107,18 +107,20 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = P
     """Learn one profile per non-null value of ``lang``.
 
     Counts cover the whole texts of a sample of about ``per_language``
-    documents of each language (the documented bound), chosen by hash. Rows
-    with a null text or language are ignored; no rows at all give profiles
-    without languages, which classify everything as ``und``.
+    different texts of each language (the documented bound), or all it has,
+    chosen by hash; copies of a text count once, in the share and in the
+    profile. Rows with a null text or language are ignored; no rows at all
+    give profiles without languages, which classify everything as ``und``.
     """
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
-    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    different = rows.select("lang", F.xxhash64("text").alias("mark")).distinct()
+    totals = {r["lang"]: r["n"] for r in different.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(totals) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not totals:
         return Profiles((), np.empty(0, np.int64), np.empty((0, 0), np.int64), size)
     share = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, min(1.0, per_language / n))])
-    sample = rows.filter(share_of(F.xxhash64("text", "lang"), share[F.col("lang")]))
+    sample = distinct_texts(rows.filter(share_of(F.xxhash64("text", "lang"), share[F.col("lang")])), "lang")
 
     def count(batches):
         for batch in batches:

@@ -97,6 +97,21 @@ def test_language_edge_rows(spark):
     assert none.classify("abc") == ("und", 0.0)
 
 
+def test_copies_of_a_text_do_not_thin_the_profile(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(80)) for _ in range(200)]
+    once = spark.createDataFrame([(t, "xx") for t in texts] + [("zq zq", "xx")], "text string, lang string")
+    copied = once.unionAll(spark.range(20_000).select(F.lit("zq zq").alias("text"), F.lit("xx").alias("lang")))
+    got, want = langid.train(copied, per_language=1000), langid.train(once, per_language=1000)
+    counts = Counter()
+    for t in [*texts, "zq zq"]:
+        codes, n = langid.count_grams(t)
+        counts.update(dict(zip(codes.tolist(), n.tolist())))
+    plain = sorted(counts, key=lambda g: (-counts[g], g))[:langid.PROFILE_SIZE]
+    for p in (got, want):
+        assert p.languages == ("xx",) and [g for _, g in sorted(zip(p.rank[:, 0].tolist(), p.grams.tolist()))] == plain
+
+
 def test_held_out_rule(spark):
     got = spark.range(50).select("id", held_out(F.col("id"), 3, 1).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 3 == 1) for r in got)
