@@ -37,8 +37,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
     test = held_out(F.col("doc_id"), 3, 1)
-    sample = toxicity.sample_labels(labels.filter(~test))
-    lexicon = toxicity.train(docs.filter(~test).join(F.broadcast(sample), "doc_id"))  # about 2 * SAMPLE_PER_LABEL rows
+    fold = docs.filter(~test)
+    sample = toxicity.sample_labels(fold, labels)
+    # about 2 * SAMPLE_PER_LABEL different texts
+    lexicon = toxicity.train(fold.withColumn("mark", F.xxhash64("text")).join(F.broadcast(sample), "mark"))
     return docs.select("doc_id", test.alias("held_out"), toxicity.score(F.col("text"), lexicon).alias("score")).withColumn(
         "predicted", (F.col("score") >= toxicity.CUT).cast("int"))
 

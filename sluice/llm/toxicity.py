@@ -22,17 +22,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import share_of, values
+from .common import distinct_texts, share_of, values
 
 #: Bounds of the training sample: documents per label.
 SAMPLE_PER_LABEL = 6_000
 STEM = range(3, 13)
 #: A stem needs so many different left neighbours (of 64 classes) in toxic texts,
-#: which the words of one much copied text don't have, and this share of toxic texts.
+#: which the words of one much copied text don't have, and this precision.
 LEAST_CONTEXTS = 8
 LEAST_PRECISION = 0.74
-#: Share of the toxic sample that must hold a stem.
-LEAST_SHARE = 0.02
+#: Share of the stems taken that may be no more frequent in toxic texts than in others (false discovery rate).
+FALSE_SHARE = 0.05
 MAX_STEMS = 20_000
 CUT = 0.7
 
@@ -125,7 +125,7 @@ class Lexicon:
 
 
 def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``stem, toxic, clean, contexts``: documents by label, and classes of left neighbours in toxic ones."""
+    """``stem, toxic, clean, contexts, spots``: documents by label, classes of left neighbours in toxic ones, and their number summed over these documents."""
     for batch in batches:
         counts: dict[str, list[int]] = {}
         for body, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -139,13 +139,15 @@ def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if n <= len(word) and n >= STEM[0]:
                         seen[word[:n]] = seen.get(word[:n], 0) | bit
             for stem, bits in seen.items():
-                row = counts.setdefault(stem, [0, 0, 0])
+                row = counts.setdefault(stem, [0, 0, 0, 0])
                 row[0 if toxic else 1] += 1
                 row[2] |= bits
+                row[3] += bits.bit_count()
         if counts:
-            t, c, x = np.array(list(counts.values()), dtype=object).T
+            t, c, x, s = np.array(list(counts.values()), dtype=object).T
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(t.tolist(), pa.int64()), pa.array(c.tolist(), pa.int64()),
-                                              pa.array([int(v) - (1 << 64) if int(v) >> 63 else int(v) for v in x], pa.int64())], names=["stem", "toxic", "clean", "contexts"])
+                                              pa.array([int(v) - (1 << 64) if int(v) >> 63 else int(v) for v in x], pa.int64()),
+                                              pa.array(s.tolist(), pa.int64())], names=["stem", "toxic", "clean", "contexts", "spots"])
 
 
 def _phrases(lexicon: Lexicon, toxic: bool, text: str) -> Iterator[tuple[str, bool]]:
@@ -187,17 +189,23 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 def train(labelled: DataFrame, text: str = "text", toxic: str = "toxic", per_label: int = SAMPLE_PER_LABEL) -> Lexicon:
     """Learn stems, weights, exception phrases and scales from labelled texts (0 or 1).
 
-    Uses about ``per_label`` documents of each label (the documented bound),
-    chosen by hash, with their whole texts. Rows with a null text or label are
-    ignored. Without documents of both labels the lexicon is empty and every
-    score 0.
+    Uses about ``per_label`` different texts of each label (the documented
+    bound), chosen by hash, whole; copies of a text count once. A stem is taken
+    on evidence, not on a share of the sample: the one-sided binomial test that
+    it is no more frequent in toxic texts, by Chernoff's bound and corrected
+    for the number of stems (Benjamini and Hochberg), must fail. Near copies
+    count as far as their contexts differ. Rows with a null text or label are ignored. Without
+    documents of both labels the lexicon is empty and every score 0.
     """
     rows = labelled.select(F.col(text).alias("text"), F.col(toxic).cast("int").alias("toxic")).filter("text is not null and toxic in (0, 1)")
-    totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    different = rows.select("toxic", F.xxhash64("text").alias("mark")).distinct()
+    totals = {r["toxic"]: r["n"] for r in different.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
         return Lexicon((), (), (0.0, 0.0, 0.0))
     share = F.when(F.col("toxic") == 1, min(1.0, per_label / totals[1])).otherwise(min(1.0, per_label / totals[0]))
-    sample = rows.filter(share_of(F.xxhash64("text"), share)).repartition(F.xxhash64("text")).cache()
+    sample = distinct_texts(rows.filter(share_of(F.xxhash64("text"), share)), "toxic").select("text", "toxic").cache()
+    counted = (sample.mapInArrow(_count_stems, "stem string, toxic long, clean long, contexts long, spots long").groupBy("stem")
+               .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_or("contexts").alias("contexts"), F.sum("spots").alias("spots")).cache())
     try:
         n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
         if len(n) < 2:
@@ -205,9 +213,20 @@ def train(labelled: DataFrame, text: str = "text", toxic: str = "toxic", per_lab
         t, c = F.col("toxic"), F.col("clean")
         # rates, so that the sample's shares of the labels don't matter
         precision = (t / n[1]) / (t / n[1] + (c + 0.5) / n[0])
-        stems = (sample.mapInArrow(_count_stems, "stem string, toxic long, clean long, contexts long")
-                 .groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_or("contexts").alias("contexts"))
-                 .filter((F.bit_count("contexts") >= LEAST_CONTEXTS) & (precision >= LEAST_PRECISION) & (t >= LEAST_SHARE * n[1]))
+        even = n[1] / (n[0] + n[1])
+        # near copies repeat their contexts: documents count as far as the contexts they bring are new (classes met by linear counting)
+        met = F.bit_count("contexts")
+        new = F.when(met < 64, F.least(F.lit(1.0), 64 * F.log(F.lit(64.0) / (64 - met)) / F.col("spots"))).otherwise(1.0)
+        evidence = new * (t * F.log(t / ((t + c) * even)) + F.when(c > 0, c * F.log(c / ((t + c) * (1 - even)))).otherwise(0.0))
+        evidence = F.when(t > (t + c) * even, evidence).otherwise(0.0)
+        # stems too rare to be told at all are no tests; tenths of evidence, so that the driver sees few rows
+        tested = counted.filter(-log(even) * (t + c) >= -log(FALSE_SHARE))
+        level, above, tests = float("inf"), 0, tested.groupBy(F.floor(10 * evidence).alias("tenth")).count().orderBy(F.desc("tenth")).collect()
+        for r in tests:
+            above += r["count"]
+            if r["tenth"] / 10 >= log(sum(x["count"] for x in tests) / (FALSE_SHARE * above)):
+                level = r["tenth"] / 10
+        stems = (tested.filter("toxic > 0").filter((met >= LEAST_CONTEXTS) & (precision >= LEAST_PRECISION) & (evidence >= level))
                  .orderBy(F.desc("toxic"), "stem").limit(MAX_STEMS).collect())
         known = {r["stem"]: r for r in stems}
         kept = {}
@@ -251,19 +270,23 @@ def train(labelled: DataFrame, text: str = "text", toxic: str = "toxic", per_lab
         x, y = np.vstack([x[some], np.zeros((int((~some & (y == 0)).sum() > 0), 2))]), np.concatenate([y[some], [0.0] * int((~some & (y == 0)).sum() > 0)])
         return Lexicon(draft.stems, draft.exceptions, _fit(x, y))
     finally:
+        counted.unpersist()
         sample.unpersist()
 
 
-def sample_labels(labels: DataFrame, doc_id: str = "doc_id", toxic: str = "toxic", per_label: int = SAMPLE_PER_LABEL) -> DataFrame:
-    """About ``per_label`` distinct (id, label) rows of each label, chosen by hash of the id.
+def sample_labels(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> DataFrame:
+    """About ``per_label`` distinct (mark, label) rows of each label; ``mark`` is a text's xxhash64, which draws it.
 
-    Small enough to be broadcast to the documents, so that training moves no
-    texts but those of the sample.
+    ``docs`` and ``labels`` meet on ``doc_id`` without their texts. The result
+    is small enough to be broadcast to the documents, so that training moves
+    no texts but those of the sample.
     """
-    rows = labels.select(F.col(doc_id).alias("doc_id"), F.col(toxic).cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").distinct()
+    marks = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("mark"))
+    told = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)")
+    rows = marks.join(told, "doc_id").select("mark", "toxic").distinct()
     totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("toxic") == 1, min(1.0, per_label / totals.get(1, 1))).otherwise(min(1.0, per_label / totals.get(0, 1)))
-    return rows.filter(share_of(F.xxhash64("doc_id", F.lit("label")), share))
+    return rows.filter(share_of(F.xxhash64("mark", F.lit("label")), share))
 
 
 def score(text: Column, lexicon: Lexicon) -> Column:

@@ -160,6 +160,25 @@ def test_lexicon_learns_stems_and_exceptions(spark):
     assert toxicity.train(spark.createDataFrame([], "text string, toxic int")).score("vile") == 0.0
 
 
+def test_lexicon_learns_a_tail_of_rare_words(spark):
+    rng = random.Random(9)
+    filler = ["".join(rng.choice("abcdefghijklm") for _ in range(6)) for _ in range(300)]
+    rare = ["q" + "".join(rng.choice("nopqrstuvwxyz") for _ in range(7)) for _ in range(150)]  # each in about 1.3% of the toxic texts
+    def text(extra):
+        w = [rng.choice(filler) for _ in range(30)]
+        for e in extra:
+            w.insert(rng.randrange(len(w)), e)
+        return " ".join(w)
+    rows = [(text(rng.sample(rare, 2)), 1) for _ in range(3000)] + [(text([]), 0) for _ in range(3000)]
+    frame = spark.createDataFrame(rows, "text string, toxic int")
+    copies = spark.range(20_000).select(F.lit(text([])).alias("text"), F.lit(1).alias("toxic"))
+    for labelled in (frame, frame.unionAll(copies)):
+        lexicon = toxicity.train(labelled)
+        assert all(s[0] == "q" for s, _ in lexicon.stems)  # no filler
+        assert sum(lexicon.score(text([w, w])) >= toxicity.CUT for w in rare) > 0.95 * len(rare)
+        assert all(lexicon.score(text([])) < toxicity.CUT for _ in range(200))
+
+
 def test_toxicity_on_held_out_documents(spark):
     found = queries.op4_toxicity(spark, "/root/testdata/sf0.1")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select(F.col("doc_id").alias("id"), "toxic")
