@@ -4,7 +4,7 @@ Listed rules (a host with its subdomains, and a path prefix) judge what they
 fit; the longest wins. They also label the urls that Spark's FP-growth mines
 for token combinations. Combinations that speak for one verdict with enough
 support and confidence become association rules, redundant ones are pruned,
-and an inverted index from token to rule matches them to the other urls.
+and an index from each rule's rarest token matches them to the other urls.
 """
 
 from __future__ import annotations
@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 ALLOW, BLOCK = "allow", "block"
 LEAST_SUPPORT, LEAST_CONFIDENCE = 0.005, 0.8
-#: Longest combination a rule may have, and the bound of the rule table, which is broadcast.
-MAX_TOKENS, MAX_RULES = 2, 2000
 _LABEL = "verdict="
 
 
@@ -51,34 +49,68 @@ def tokens(host_: Column, path_: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.concat(labels, folders), lambda x: F.length(x) > 2)))
 
 
+def _merged(labelled: DataFrame, support: float) -> DataFrame:
+    """``token, name, total`` of the tokens with enough support; tokens of exactly the same rows share a name.
+
+    Such tokens stand for each other in a rule. Mined once for all, a much
+    repeated url costs one item and not every subset of its tokens.
+    """
+    whole = labelled.select("tokens").groupBy("tokens").agg(F.count("*").alias("n"))
+    least = labelled.count() * support
+    parts = whole.select(F.explode("tokens").alias("token"), "n", F.xxhash64("tokens").alias("a"), F.xxhash64("tokens", F.lit(1)).alias("b"))
+    found = (parts.groupBy("token").agg(F.sum("n").alias("total"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
+             .filter(F.col("total") >= least))
+    names = found.groupBy("total", "a", "b").agg(F.min("token").alias("name"))
+    return found.join(names, ["total", "a", "b"]).select("token", "name", "total")
+
+
 def mine(labelled: DataFrame, support: float = LEAST_SUPPORT, confidence: float = LEAST_CONFIDENCE) -> DataFrame:
-    """Association rules ``tokens, verdict, confidence, support_count, order`` from ``tokens, verdict`` rows.
+    """Association rules ``tokens, verdict, confidence, support_count, order, anchor`` from ``tokens, verdict`` rows.
 
-    Support and confidence are counted over all rows. A rule is redundant, and
-    dropped, if one with a subset of its tokens has the same verdict and no
-    less confidence.
+    Combinations of any size are mined. Support and confidence are counted over
+    all rows. A rule is redundant, and dropped, if one with a proper subset of
+    its tokens has the same verdict and no less confidence. ``anchor`` is the
+    rule's rarest token.
     """
-    items = labelled.select(F.concat("tokens", F.array(F.concat(F.lit(_LABEL), "verdict"))).alias("items"))
-    if items.isEmpty():
+    if labelled.isEmpty():
         return labelled.select("tokens", "verdict", F.lit(0.0).alias("confidence"), F.lit(0).cast("long").alias("support_count"),
-                               F.lit(0).alias("order")).filter(F.lit(False))
+                               F.lit(0).alias("order"), F.lit("").alias("anchor")).filter(F.lit(False))
+    known = _merged(labelled, support).cache()
+    rows = labelled.groupBy("tokens", "verdict").agg(F.count("*").alias("n"))
+    named = (rows.select("tokens", "verdict", "n", F.explode("tokens").alias("token")).join(known, "token")
+             .groupBy("tokens", "verdict", "n").agg(F.collect_set("name").alias("names")))
+    label = F.concat(F.lit(_LABEL), "verdict")
+    items = (rows.join(named, ["tokens", "verdict", "n"], "left")
+             .select(F.concat(F.coalesce("names", F.array().cast("array<string>")), F.array(label)).alias("items"),
+                     F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).select("items"))
     found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items).freqItemsets
     with_label = F.filter("items", lambda x: x.startswith(_LABEL))
-    sets = found.select(F.array_sort(F.filter("items", lambda x: ~x.startswith(_LABEL))).alias("tokens"),
-                        F.get(with_label, F.lit(0)).alias("label"), "freq")
-    sets = sets.filter(F.size("tokens").between(1, MAX_TOKENS))
-    whole = sets.filter("label is null").select("tokens", F.col("freq").alias("total"))
-    rules = (sets.filter("label is not null").join(whole, "tokens")
-             .select("tokens", F.substring("label", len(_LABEL) + 1, 100).alias("verdict"),
+    sets = found.select(F.array_sort(F.filter("items", lambda x: ~x.startswith(_LABEL))).alias("names"),
+                        F.get(with_label, F.lit(0)).alias("label"), "freq").filter(F.size("names") > 0)
+    whole = sets.filter("label is null").select("names", F.col("freq").alias("total"))
+    rules = (sets.filter("label is not null").join(whole, "names")
+             .select("names", F.substring("label", len(_LABEL) + 1, 100).alias("verdict"),
                      (F.col("freq") / F.col("total")).alias("confidence"), F.col("freq").alias("support_count"))
              .filter(F.col("confidence") >= confidence))
-    single = rules.filter(F.size("tokens") == 1).select(F.element_at("tokens", 1).alias("token"), F.col("verdict").alias("v"), F.col("confidence").alias("c"))
-    parts = rules.select("tokens", "verdict", "confidence", F.explode("tokens").alias("token")).filter(F.size("tokens") > 1)
-    redundant = (parts.join(single, (parts["token"] == single["token"]) & (parts["verdict"] == single["v"]) & (single["c"] >= parts["confidence"]))
-                 .select("tokens").distinct())
+    smaller = rules.select(F.col("names").alias("part"), F.col("verdict").alias("v"), F.col("confidence").alias("c"))
+    masks = F.expr("sequence(1L, shiftleft(1L, size(names)) - 2)")
+    parts = (rules.filter(F.size("names") > 1).select("names", "verdict", "confidence", F.explode(masks).alias("mask"))
+             .withColumn("part", F.expr("filter(names, (x, i) -> shiftright(mask, i) % 2 = 1)")))
+    redundant = (parts.join(smaller, (parts["part"] == smaller["part"]) & (parts["verdict"] == smaller["v"]) & (smaller["c"] >= parts["confidence"]))
+                 .select("names", "verdict").distinct())
+    least = rules.join(redundant, ["names", "verdict"], "left_anti")
+    alike = known.groupBy("name").agg(F.collect_list("token").alias("alike"), F.min("total").alias("total"))
+    choices = (least.select("names", "verdict", "confidence", "support_count", F.explode("names").alias("name")).join(alike, "name")
+               .groupBy("names", "verdict", "confidence", "support_count")
+               .agg(F.collect_list("alike").alias("alike"), F.min_by("name", "total").alias("rarest")))
+    # each choice of one token of each name is a rule
+    none = F.array(F.array().cast("array<string>"))
+    every = F.reduce("alike", none, lambda done, some: F.flatten(F.transform(done, lambda d: F.transform(some, lambda x: F.array_append(d, x)))))
+    spread = choices.select("verdict", "confidence", "support_count", "rarest", F.explode(every).alias("tokens")).withColumn("tokens", F.array_sort("tokens"))
+    spread = (spread.select("*", F.explode("tokens").alias("token")).join(known, "token").filter("name = rarest")
+              .select("tokens", "verdict", "confidence", "support_count", F.col("token").alias("anchor")))
     best = Window.orderBy(F.desc("confidence"), F.desc("support_count"), F.array_join("tokens", " "), "verdict")
-    return (rules.join(redundant, "tokens", "left_anti").withColumn("order", F.row_number().over(best))
-            .filter(F.col("order") <= MAX_RULES))
+    return spread.select("tokens", "verdict", "confidence", "support_count", F.row_number().over(best).alias("order"), "anchor")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], page_id: str = "page_id", url: str = "url") -> DataFrame:
@@ -99,12 +131,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], page_id: str = "p
     rule, says = listed(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), says.alias("listed"), tokens(F.col("host"), F.col("path")).alias("tokens"))
     learned = mine(rows.filter("listed is not null").select("tokens", F.col("listed").alias("verdict"))).select(
-        "tokens", "verdict", "order", F.size("tokens").alias("needed")).cache()
-    index = learned.select(F.explode("tokens").alias("token"), "order", "needed", "verdict")  # MAX_TOKENS * MAX_RULES rows at most
+        F.col("tokens").alias("needed"), F.col("verdict").alias("v"), "order", F.col("anchor").alias("token")).cache()
     asked = rows.filter("listed is null").select("tokens").distinct()
     matched = (asked.select(F.col("tokens").alias("key"), F.explode("tokens").alias("token"))
-               .join(F.broadcast(index), "token")
-               .groupBy("key", "order").agg(F.count("*").alias("met"), F.first("needed").alias("needed"), F.first("verdict").alias("v"))
-               .filter("met = needed").groupBy("key").agg(F.min_by("v", "order").alias("learned")))
+               .join(learned, "token").filter(F.size(F.array_except("needed", "key")) == 0)
+               .groupBy("key").agg(F.min_by("v", "order").alias("learned")))
     return (rows.join(matched, rows["tokens"] == matched["key"], "left")
             .select("page_id", "host", "path", "rule", F.coalesce("listed", "learned", F.lit(ALLOW)).alias("verdict")))

@@ -109,6 +109,30 @@ def test_association_rules_match_brute_force(spark):
     assert any(r["rule"] is None and r["verdict"] == "block" for r in got.values())
 
 
+def test_rules_of_three_and_more_tokens_match_brute_force(spark):
+    made = [("h:www h:foo h:net p:es", "block"), ("h:m h:foo h:com p:es", "allow"), ("h:www h:bar h:com p:es", "allow"), ("h:www h:foo h:com p:de", "allow")]
+    rng = random.Random(2)
+    some = [(" ".join(["a", "twin"] * rng.randint(0, 1) + rng.sample("bcdef", rng.randint(0, 5))), rng.choice(("allow", "block"))) for _ in range(60)]
+    wide = [(" ".join(f"t{i}" for i in range(60)), "block")] * 9  # one much repeated url
+    for listed in ([(t, v) for t, v in made for _ in range(5)], some, wide):
+        rows = [(sorted(set(t.split())), v) for t, v in listed]
+        got = urls.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.05, 0.8).collect()
+        got = {(frozenset(r["tokens"]), r["verdict"]): (r["confidence"], r["support_count"]) for r in got}
+        if listed is wide:
+            assert got == {(frozenset([f"t{i}"]), "block"): (1.0, 9) for i in range(60)}
+            continue
+        total, said = defaultdict(int), defaultdict(int)
+        for t, v in rows:
+            for k in range(1, 1 << len(t)):
+                c = frozenset(x for i, x in enumerate(t) if k >> i & 1)
+                total[c] += 1
+                said[c, v] += 1
+        rules = {(c, v): (n / total[c], n) for (c, v), n in said.items() if n >= 0.05 * len(rows) and n / total[c] >= 0.8}
+        assert got == {(c, v): x for (c, v), x in rules.items() if not any(d < c and w == v and y[0] >= x[0] for (d, w), y in rules.items())}
+        if listed[0][0] == made[0][0]:
+            assert (frozenset(("h:www", "h:foo", "p:es")), "block") in got
+
+
 def test_url_filter_runs_no_python(spark):
     plan = queries.op3_url_filter(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
