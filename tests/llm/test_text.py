@@ -7,6 +7,7 @@ import public_tokenizers
 import tiktoken
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from sluice.llm import bpe, langid, queries, toxicity
 from sluice.llm.common import held_out
 
@@ -112,6 +113,18 @@ def test_copies_of_a_text_do_not_thin_the_profile(spark):
         assert p.languages == ("xx",) and [g for _, g in sorted(zip(p.rank[:, 0].tolist(), p.grams.tolist()))] == plain
 
 
+def test_short_documents_of_a_large_alphabet_are_kept(spark):
+    rng = random.Random(10)
+    letters = [chr(0x4E00 + i) for i in range(3000)]
+    weights = [1 / (i + 1) for i in range(3000)]
+    rows = [(i, "".join(rng.choices(letters, weights, k=rng.choice((5, 20, 100, 200)))), "zh") for i in range(300)]
+    rows += [(1000, "12 !", "zh"), (1001, None, "zh"), (1002, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.language_id(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(300))
+
+
 def test_held_out_rule(spark):
     got = spark.range(50).select("id", held_out(F.col("id"), 3, 1).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 3 == 1) for r in got)
