@@ -5,8 +5,9 @@ split into pieces by the pattern; neighbours are joined by splitting again from
 the last piece on the left that cannot change until a piece start on the right
 is met again. A long piece is halved down to short byte runs; neighbours are
 joined by encoding a growing window around the seam until the tokens at the
-window's edges are unaffected by their outer neighbours. Decoding concatenates
-up the same tree.
+window's edges are unaffected by their outer neighbours. Decoding does not go
+up a tree: concatenation is associative, so one flat join over the ids stands
+in for it, with the same bytes.
 """
 
 from __future__ import annotations
