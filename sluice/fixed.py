@@ -120,6 +120,10 @@ DOC_STYLE_DEFAULT = "google"
 # --- fixed values: agent registry for orchestrated tasks ---
 TASK_TYPES = ["debugger", "analyzer", "docs_generator"]
 
+# --- fixed values: agent types of the message stream, and the error of any other ---
+AGENT_TYPES = ["debugger", "analyzer", "docs_generator", "orchestrator"]
+UNKNOWN_AGENT = "Unknown agent type: "
+
 # --- fixed values: agent sampling settings (temperature, max tokens) ---
 AGENT_SETTINGS = {
     "debugger": (0.3, 2048),
@@ -132,8 +136,14 @@ AGENT_FAILURES = {
     "debugger": ("Debug code", "Debugger error: "),
     "analyzer": ("Analyze code", "Analyzer error: "),
     "docs_generator": ("Generate documentation", "Docs generator error: "),
+    "orchestrator": ("Task orchestration", "Orchestrator error: "),
 }
 
+# --- fixed values: log rows of an orchestrated request ({} is the number of tasks) ---
+ORCHESTRATION_MESSAGE = "Execute {} tasks"
+ORCHESTRATION_TASK = "Execute {} tasks orchestration"
+UNKNOWN_TASK = "Unknown task type: "
+
 # --- fixed values: limits ---
 RESULT_PREFIX_CHARS = 500      # execution log keeps the first 500 characters of a reply
 LONG_LINE_CHARS = 100          # a line longer than this counts as long

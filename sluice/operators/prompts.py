@@ -3,12 +3,15 @@
 Prompts are built per row with ``concat``/``array_join`` — no Python. The
 wording is this project's own; the structure follows the agents: a role
 preamble, the code, then the request-specific blocks (error, findings,
-metrics, sections). Section texts are small literal maps looked up with
-``element_at``, so there is no join at all.
+metrics, sections). The default section texts are small literal maps looked up
+with ``element_at``, so there is no join at all; a caller's own texts come as a
+table (``Texts``) that joins on its names, broadcast only up to a checked size.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +58,43 @@ STYLE_SECTIONS = {
 }
 
 
+#: Kinds of section texts, and the request column that names the section.
+SECTION_KINDS = {"analysis": "analysis_type", "doc": "doc_type", "style": "style"}
+#: Bytes of one kind's texts up to which they are broadcast; larger ones join by shuffle.
+BROADCAST_BYTES = 8 << 20
+
+
+@dataclass(frozen=True)
+class Texts:
+    """Section texts of a caller: a table ``kind, name, text``.
+
+    ``kind`` is a key of ``SECTION_KINDS``. A row without a name is the kind's
+    default, for requests whose name has no row. A kind without any row keeps
+    the texts of this module. Of rows that repeat a kind and name the smallest
+    text counts.
+    """
+
+    table: DataFrame
+
+    def join(self, requests: DataFrame) -> DataFrame:
+        """``requests`` with ``_section_<kind>`` for each kind that has rows."""
+        named = self.table.where("kind is not null and text is not null").groupBy("kind", "name").agg(F.min("text").alias("text"))
+        # one row a kind comes to the driver: its default text and its size
+        sizes = named.groupBy("kind").agg(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("name"), F.lit(0))).alias("bytes"),
+                                          F.max(F.when(F.col("name").isNull(), F.col("text"))).alias("default"))
+        for row in sizes.where(F.col("kind").isin(*SECTION_KINDS)).collect():
+            kind, column = row["kind"], f"_section_{row['kind']}"
+            names = named.where((F.col("kind") == kind) & F.col("name").isNotNull()).select(
+                F.col("name").alias("_name"), F.col("text").alias(column))
+            if row["bytes"] <= BROADCAST_BYTES:
+                names = F.broadcast(names)
+            default = {"analysis": fixed.ANALYSIS_DEFAULT, "doc": fixed.DOC_TYPE_DEFAULT, "style": fixed.DOC_STYLE_DEFAULT}[kind]
+            wanted = F.coalesce(F.col(SECTION_KINDS[kind]), F.lit(default))
+            requests = (requests.join(names, wanted == F.col("_name"), "left").drop("_name")
+                        .withColumn(column, F.coalesce(F.col(column), F.lit(row["default"]))))
+        return requests
+
+
 def _map(d: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
 
@@ -105,9 +145,12 @@ def debug_prompt(findings: Column) -> Column:
     return F.concat(preamble("debugger"), F.lit("\n\n"), user)
 
 
-def analysis_prompt(m: dict[str, Column] | Column) -> Column:
+def analysis_prompt(m: dict[str, Column] | Column, section: Column | None = None) -> Column:
     """E3 text from the request columns (code, language, analysis_type) and
-    its quality metrics by name (expressions, or a struct computed once)."""
+    its quality metrics by name (expressions, or a struct computed once).
+
+    ``section`` is a caller's text; the default texts stand in where it is absent.
+    """
     lang = _lang()
     atype = F.coalesce(F.col("analysis_type"), F.lit(fixed.ANALYSIS_DEFAULT))
     metrics = F.concat(
@@ -116,21 +159,22 @@ def analysis_prompt(m: dict[str, Column] | Column) -> Column:
         F.lit("\n- Functions: "), m["functions"].cast("string"),
         F.lit("\n- Lines over 100 characters: "), m["long_lines"].cast("string"),
         F.lit("\n- Mean line length: "), fixed_digits(m["average_line_length"], 1), F.lit("\n\n"))
-    section = F.coalesce(F.try_element_at(_map(ANALYSIS_SECTIONS), atype),
-                         F.lit(ANALYSIS_SECTIONS[fixed.ANALYSIS_DEFAULT]))
+    if section is None:
+        section = F.coalesce(F.try_element_at(_map(ANALYSIS_SECTIONS), atype),
+                             F.lit(ANALYSIS_SECTIONS[fixed.ANALYSIS_DEFAULT]))
     instructions = F.concat(F.lit("Review the code below ("), atype, F.lit(" review) and report what should change."))
     user = F.concat(F.lit("Review this "), lang, F.lit(" code:\n\n"), _fenced(lang, F.col("code")),
-                    metrics, section, F.lit("\n\nGive concrete, actionable feedback."))
+                    metrics, F.coalesce(section, F.lit("")), F.lit("\n\nGive concrete, actionable feedback."))
     return F.concat(preamble("analyzer", instructions), F.lit("\n\n"), user)
 
 
-def docs_prompt() -> Column:
-    """E4 text from the request columns (code, language, doc_type, style)."""
+def docs_prompt(doc_section: Column | None = None, style_section: Column | None = None) -> Column:
+    """E4 text from the request columns (code, language, doc_type, style), with a caller's section texts or the default ones."""
     lang = _lang()
     dtype = F.coalesce(F.col("doc_type"), F.lit(fixed.DOC_TYPE_DEFAULT))
     style = F.coalesce(F.col("style"), F.lit(fixed.DOC_STYLE_DEFAULT))
-    dsec = F.coalesce(F.try_element_at(_map(DOC_SECTIONS), dtype), F.lit(""))
-    ssec = F.coalesce(F.concat(F.lit("\n"), F.try_element_at(_map(STYLE_SECTIONS), style)), F.lit(""))
+    dsec = F.coalesce(F.try_element_at(_map(DOC_SECTIONS), dtype) if doc_section is None else doc_section, F.lit(""))
+    ssec = F.coalesce(F.concat(F.lit("\n"), F.try_element_at(_map(STYLE_SECTIONS), style) if style_section is None else style_section), F.lit(""))
     instructions = F.concat(F.lit("Write "), style, F.lit("-style "), dtype,
                             F.lit(" documentation that a newcomer can follow."))
     user = F.concat(F.lit("Write "), style, F.lit("-style "), dtype, F.lit(" documentation for this "),
@@ -150,22 +194,33 @@ def debug_prompts(requests: DataFrame) -> DataFrame:
             .withColumn("prompt_tokens", token_estimate(F.col("prompt"))))
 
 
-def analysis_prompts(requests: DataFrame) -> DataFrame:
+def _section(df: DataFrame, kind: str) -> Column | None:
+    return F.col(f"_section_{kind}") if f"_section_{kind}" in df.columns else None
+
+
+def _without_sections(df: DataFrame) -> DataFrame:
+    return df.drop(*[f"_section_{kind}" for kind in SECTION_KINDS])
+
+
+def analysis_prompts(requests: DataFrame, texts: Texts | None = None) -> DataFrame:
     """Prompt per analysis request, with the metrics block; an unknown
-    analysis type falls back to the comprehensive section."""
-    df = requests.withColumn("_fn", functions_of(F.col("code"), _lang()))
-    return (df.withColumn("prompt", analysis_prompt(quality_exprs(F.col("code"), _lang(), F.col("_fn")))).drop("_fn")
+    analysis type falls back to the comprehensive section, or to the default
+    row of ``texts``."""
+    df = (texts.join(requests) if texts else requests).withColumn("_fn", functions_of(F.col("code"), _lang()))
+    prompt = analysis_prompt(quality_exprs(F.col("code"), _lang(), F.col("_fn")), _section(df, "analysis"))
+    return (_without_sections(df.withColumn("prompt", prompt).drop("_fn"))
             .withColumn("prompt_tokens", token_estimate(F.col("prompt"))))
 
 
-def docs_prompts(requests: DataFrame) -> DataFrame:
+def docs_prompts(requests: DataFrame, texts: Texts | None = None) -> DataFrame:
     """Prompt per documentation request; an unknown doc type or style adds
-    no section."""
-    return (requests.withColumn("prompt", docs_prompt())
+    no section, or the default row of ``texts``."""
+    df = texts.join(requests) if texts else requests
+    return (_without_sections(df.withColumn("prompt", docs_prompt(_section(df, "doc"), _section(df, "style"))))
             .withColumn("prompt_tokens", token_estimate(F.col("prompt"))))
 
 
-def agent_prompt_column(df: DataFrame, agent_type: str = "agent_type") -> DataFrame:
+def agent_prompt_column(df: DataFrame, agent_type: str = "agent_type", texts: Texts | None = None) -> DataFrame:
     """E2-E4 in one projection: each row gets the prompt of its agent type.
 
     The finding and function lists are computed only for the rows that need
@@ -175,16 +230,17 @@ def agent_prompt_column(df: DataFrame, agent_type: str = "agent_type") -> DataFr
     """
     kind = F.col(agent_type)
     lang = _lang()
+    df = texts.join(df) if texts else df
     metrics = F.struct(*quality_columns(F.col("code"), lang, F.col("_fn")))
     df = (df.withColumn("_findings", F.when(kind == "debugger", findings_of(F.col("code"), lang)))
           .withColumn("_fn", F.when(kind == "analyzer", functions_of(F.col("code"), lang)))
           .withColumn("_metrics", F.when(kind == "analyzer", metrics)))
     prompt = (F.when(kind == "debugger", debug_prompt(F.col("_findings")))
-              .when(kind == "analyzer", analysis_prompt(F.col("_metrics")))
-              .when(kind == "docs_generator", docs_prompt()))
+              .when(kind == "analyzer", analysis_prompt(F.col("_metrics"), _section(df, "analysis")))
+              .when(kind == "docs_generator", docs_prompt(_section(df, "doc"), _section(df, "style"))))
     details = F.to_json(F.struct(F.when(kind == "debugger", F.size("_findings")).alias("syntax_errors_found"),
                                  F.col("_metrics").alias("quality_metrics")))
-    return df.withColumn("prompt", prompt).withColumn("details", details).drop("_findings", "_fn", "_metrics")
+    return _without_sections(df.withColumn("prompt", prompt).withColumn("details", details).drop("_findings", "_fn", "_metrics"))
 
 
 def resolve_provider(replies: list[tuple[str, Column]]) -> tuple[Column, Column]:

@@ -37,6 +37,22 @@ def cache_lookup(t):
     return H.cache_lookup(_requests(t), H.cache_upsert(t.cache_entries), AS_OF)
 
 
+@query("cache_lookup_at", ("cache_entries",), """
+WITH req AS (SELECT event_id AS request_id, md5(event_type || '|' || props) AS cache_key, ts + INTERVAL 6 HOUR AS requested_at FROM events),
+found AS (
+  SELECT r.*, c.id, c.value, c.expires_at,
+    ROW_NUMBER() OVER (PARTITION BY r.request_id ORDER BY c.created_at DESC, c.id DESC) AS place
+  FROM req r LEFT JOIN cache_entries c ON c.cache_key = r.cache_key AND c.created_at <= r.requested_at)
+SELECT request_id, cache_key, requested_at, COALESCE(expires_at > requested_at, false) AS hit,
+  CASE WHEN expires_at > requested_at THEN id END AS entry_id, CASE WHEN expires_at > requested_at THEN value END AS value
+FROM found WHERE place = 1""")
+def cache_lookup_at(t):
+    """Every event's key is asked for six hours after the event, against every other write that has an entry by then."""
+    asked = t.events.select(F.col("event_id").alias("request_id"), F.md5(F.concat_ws("|", "event_type", "props")).alias("cache_key"),
+                            (F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("requested_at"))
+    return H.cache_lookup_at(asked, t.cache_entries)
+
+
 @query("cache_hits", ("cache_entries",), _LOOKUP_CTE + """
 SELECT c.cache_key, c.id AS entry_id, CAST(COALESCE(h.hits, 0) AS BIGINT) AS hit_count
 FROM cur c LEFT JOIN (SELECT cache_key, COUNT(*) AS hits FROM look WHERE hit GROUP BY cache_key) h USING (cache_key)""")
@@ -54,6 +70,14 @@ def cache_evict(t):
     return counts
 
 
+@query("cache_evict_kept", ("cache_entries",), _UPSERT_CTE + f"""
+SELECT * FROM cur WHERE expires_at > {AS_OF_SQL}""")
+def cache_evict_kept(t):
+    """The entries that eviction leaves."""
+    kept, _counts = H.cache_evict(H.cache_upsert(t.cache_entries), AS_OF)
+    return kept
+
+
 @query("similar_entries", ("cache_entries",), _UPSERT_CTE.rstrip() + """,
 ent AS (SELECT c.id AS entry_id, CAST(e.embedding AS DOUBLE[]) AS v FROM cur c JOIN embeddings e ON e.vec_id = c.vec_id),
 qs AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
@@ -89,3 +113,12 @@ def ttl_replay(t):
                            F.md5(F.concat_ws("|", "event_type", "props")).alias("cache_key"),
                            F.col("ts").alias("created_at"))
     return H.ttl_replay(reqs, ttl_hours=24).select("id", "cache_key", "hit")
+
+
+@query("similar_entries_lsh")
+def similar_entries_lsh(t):
+    """The same question through hash tables; approximate, so without an oracle (recall is tested)."""
+    entries = (H.cache_upsert(t.cache_entries).join(t.embeddings, "vec_id")
+               .select(F.col("id").alias("entry_id"), "embedding"))
+    queries = t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding")
+    return H.similar_entries_lsh(queries, entries, k=5)

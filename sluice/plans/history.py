@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import history as H
 from ..sources import tables as S
-from ..views import AS_OF, AS_OF_SQL
+from ..views import AS_OF, AS_OF_SQL, table_path
 from .registry import query
 
 # Parameters of the registered questions.
@@ -115,11 +115,23 @@ def sql_with_params(t):
     return S.sql_with_params(t.spark, PARAM_SQL, ["completed", 350], executions=t.executions)
 
 
+# The execution log as the event table stores it.
+STORED_EXECUTIONS = {
+    "id": "event_id", "session_id": "'user-' || CAST(user_id AS STRING)",
+    "agent_type": "CASE event_type WHEN 'click' THEN 'debugger' WHEN 'view' THEN 'analyzer' WHEN 'purchase' THEN 'docs_generator' "
+                  "WHEN 'signup' THEN 'orchestrator' ELSE 'debugger' END",
+    "status": "CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'signup' AND event_id % 4 = 0 THEN 'partial' ELSE 'completed' END",
+    "execution_time_ms": "value * 10", "tokens_used": "CAST(event_id % 700 AS INT)",
+    "model_used": "CASE WHEN event_type = 'error' THEN NULL WHEN event_id % 3 = 0 THEN 'MistralProvider' ELSE 'OllamaProvider' END",
+    "created_at": "ts",
+}
+
+
 @query("scan_tables", ("executions",), """
 SELECT id, session_id, agent_type, CAST(NULL AS VARCHAR) AS task_description, status,
   CAST(NULL AS VARCHAR) AS result, CAST(NULL AS VARCHAR) AS error_message, execution_time_ms,
   tokens_used, model_used, created_at, CAST(NULL AS TIMESTAMP) AS updated_at
 FROM executions""")
 def scan_tables(t):
-    """Read the execution log and conform it to the declared table schema."""
-    return S.conform(t.executions, S.EXECUTION_DDL)
+    """Read the stored execution log through the reader, in the declared schema."""
+    return S.scan_table(t.spark, table_path(t.sf_dir, "events"), ddl=S.EXECUTION_DDL, columns=STORED_EXECUTIONS)

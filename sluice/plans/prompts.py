@@ -226,7 +226,7 @@ def batch_inference(t):
     distinct = (keyed.select("_in_hash", *I.INPUT_COLUMNS)
                 .dropDuplicates(["_in_hash"]).repartition(cpu_partitions(t.spark), "_in_hash")
                 .where(F.col("code").isNotNull()))
-    answered = I.call_providers(I.agent_prompts(distinct), stub_providers(), "_in_hash")
+    answered = I.batch_inference(I.agent_prompts(distinct), stub_providers(), key="_in_hash")
     # a left join: an inner join would add an inferred NOT NULL filter on the
     # hash, copying the whole input expression into the scan stage
     return (keyed.where(F.col("code").isNotNull()).select("request_id", "agent_type", "_in_hash")

@@ -1,13 +1,12 @@
 """Sinks for the two log tables (A3, A4) and the session delete (A5).
 
-Appends are partitioned by day so "last N days" reads prune partitions.
-Identifiers continue after the largest id already written (a scan of the
-``id`` column only; with ``spark.sql.parquet.aggregatePushdown`` the parquet
-footers answer it), then grow with
-``monotonically_increasing_id`` — unique without a global sort or a
-single-partition window. Writers that append at the same time must bring ids of
-their own. ``created_at`` is fixed when the append is called, so the returned
-rows are the stored ones.
+Identifiers come from an epoch that the append reserves (``sources.ids``):
+unique over appends and concurrent writers, without reading the table. An
+append lands in a folder of its own, ``append_id=<epoch>/created_date=<day>``:
+writers cannot disturb each other's commits, a repeated one replaces what it
+wrote, and "last N days" reads prune by day. ``created_at`` is fixed when the
+append is called, and the returned rows are read back, so they are the stored
+ones.
 """
 
 from __future__ import annotations
@@ -16,40 +15,33 @@ import datetime as dt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
+from . import ids
 from .tables import CONVERSATION_DDL, EXECUTION_DDL, conform
 
 
-def _next_id_base(df: DataFrame, path: str) -> int:
-    spark = df.sparkSession
-    try:
-        top = spark.read.parquet(path).agg(F.max("id")).first()[0]
-    except AnalysisException:  # nothing written yet
-        top = None
-    return 0 if top is None else int(top) + 1
-
-
-def _with_ids(df: DataFrame, path: str) -> DataFrame:
-    if "id" in df.columns:
-        return df
-    base = _next_id_base(df, path)
-    return df.withColumn("id", F.lit(base).cast("bigint") + F.monotonically_increasing_id())
+def append_rows(df: DataFrame, path: str, ddl: str, name: str | None = None) -> DataFrame:
+    """Append rows to a log table of a declared schema; returns them as stored.
 
-
-def _append(df: DataFrame, path: str, ddl: str) -> DataFrame:
+    ``id`` is always given here, also where the input has one: that could be in
+    use already. ``name`` makes the append repeatable: the same name writes the
+    same folder and ids again.
+    """
+    spark = df.sparkSession
+    epoch = ids.reserve(spark, path, name)
     if "created_at" not in df.columns:
         df = df.withColumn("created_at", F.lit(dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)).cast("timestamp_ntz"))
-    rows = conform(_with_ids(df, path), ddl).withColumn("created_date", F.to_date("created_at"))
-    rows.write.mode("append").partitionBy("created_date").parquet(path)
-    return rows
+    rows = conform(df.withColumn("id", ids.row_ids(epoch)), ddl).withColumn("created_date", F.to_date("created_at"))
+    folder = f"{path.rstrip('/')}/append_id={epoch}"
+    rows.write.mode("overwrite").partitionBy("created_date").parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)
 
 
 def append_conversations(df: DataFrame, path: str) -> DataFrame:
     """A3: append conversation rows; metadata defaults to ``{}``, created_at to now."""
     if "metadata_json" in df.columns:
         df = df.withColumn("metadata_json", F.coalesce(F.col("metadata_json"), F.lit("{}")))
-    return _append(df, path, CONVERSATION_DDL)
+    return append_rows(df, path, CONVERSATION_DDL)
 
 
 def append_executions(df: DataFrame, path: str) -> DataFrame:
@@ -58,7 +50,7 @@ def append_executions(df: DataFrame, path: str) -> DataFrame:
     for name, default in (("execution_time_ms", 0.0), ("tokens_used", 0)):
         if name in df.columns:
             df = df.withColumn(name, F.coalesce(F.col(name), F.lit(default)))
-    return _append(df, path, EXECUTION_DDL)
+    return append_rows(df, path, EXECUTION_DDL)
 
 
 def rewrite_without_sessions(history_path: str, session_ids: DataFrame, out_path: str) -> None:

@@ -7,8 +7,6 @@ integer primary key, so no single task pulls the whole table.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -51,12 +49,15 @@ def conform(df: DataFrame, ddl: str) -> DataFrame:
 
 def scan_table(spark: SparkSession, location: str, table: str | None = None,
                ddl: str | None = None, num_partitions: int = 64,
-               properties: dict | None = None) -> DataFrame:
+               properties: dict | None = None, columns: dict[str, str] | None = None) -> DataFrame:
     """A1: read a history table.
 
     ``location`` is a parquet path, or a ``jdbc:`` URL with ``table``. A JDBC
     read is partitioned on ``id`` between its min and max so the database is
-    read by ``num_partitions`` tasks in parallel.
+    read by ``num_partitions`` tasks in parallel. ``columns`` gives declared
+    columns as SQL expressions over the stored ones, for tables that store them
+    under other names. Filters on declared columns that are stored as they are
+    declared (also under another name) reach the scan.
     """
     if location.startswith("jdbc:"):
         if table is None:
@@ -75,16 +76,43 @@ def scan_table(spark: SparkSession, location: str, table: str | None = None,
         df = reader.load()
     else:
         df = spark.read.parquet(location)
+    if columns:
+        df = df.select(*[F.expr(text).alias(name) for name, text in columns.items()])
     return conform(df, ddl) if ddl else df
 
 
+# Nodes of a parsed text that do something else than read (Catalyst class names).
+_NOT_QUERIES = ("org.apache.spark.sql.catalyst.plans.logical.Command",
+                "org.apache.spark.sql.catalyst.plans.logical.ParsedStatement")
+
+
+def _is_query(spark: SparkSession, text: str) -> bool:
+    """True if the parsed text, with everything in its tree, only reads.
+
+    The text is parsed as Spark will parse it, and not run: comments, strings
+    and arithmetic cannot hide a command, and a word in them is none.
+    """
+    loader = spark._jvm.java.lang.Thread.currentThread().getContextClassLoader()
+    classes = [spark._jvm.java.lang.Class.forName(name, False, loader) for name in _NOT_QUERIES]
+    todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(text)]
+    while todo:
+        node = todo.pop()
+        if any(c.isInstance(node) for c in classes) or "ExecuteImmediate" in node.getClass().getSimpleName():
+            return False
+        for below in (node.children(), node.innerChildren()):
+            todo.extend(below.apply(i) for i in range(below.size()))
+    return True
+
+
 def sql_with_params(spark: SparkSession, text: str, params: list, **relations: DataFrame) -> DataFrame:
     """Run read-only SQL with positional ``?`` parameters.
 
     Values are bound by Spark (never spliced into the text); ``relations``
-    bind ``{name}`` placeholders to DataFrames.
+    bind ``{name}`` placeholders to DataFrames. Anything but a query raises
+    ``ValueError`` before it runs: commands, inserts in any form (also behind
+    ``FROM`` or ``WITH``), scripts and ``EXECUTE IMMEDIATE``.
     """
-    bare = re.sub(r"'(?:[^'\\\\]|\\\\.|'')*'|\"(?:[^\"\\\\]|\\\\.)*\"|`[^`]*`|--[^\\n]*|/\\*.*?\\*/", " ", text, flags=re.S).strip(" (\n\t")
-    if not re.match(r"(?i)(select|with|values|from|table)\b", bare) or re.search(r"(?i)\b(insert\s+(into|overwrite)|merge\s+into|delete\s+from|update\s+\S+\s+set)\b", bare):
+    bare = text.format(**{name: f"`{name}`" for name in relations}) if relations else text
+    if not _is_query(spark, bare):
         raise ValueError("only queries are run here, not commands")
     return spark.sql(text, args=list(params), **relations)

@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .. import fixed
-from ..sources.tables import CONVERSATION_DDL, EXECUTION_DDL, conform
+from ..sources.sinks import append_rows
+from ..sources.tables import CONVERSATION_DDL, EXECUTION_DDL
 
 MESSAGE_SCHEMA = "agent_type STRING, session_id STRING, context MAP<STRING, STRING>"
-AGENT_TYPES = ["debugger", "analyzer", "docs_generator", "orchestrator"]
 DEFAULT_WATERMARK = "10 minutes"
 
 
@@ -49,7 +49,7 @@ def stream_route(messages: DataFrame, payload: str = "payload") -> DataFrame:
     """
     parsed = messages.withColumn("_m", F.from_json(F.col(payload), MESSAGE_SCHEMA))
     agent = F.col("_m.agent_type")
-    known = agent.isin(*AGENT_TYPES) & agent.isNotNull()
+    known = agent.isin(*fixed.AGENT_TYPES) & agent.isNotNull()
     keep = [c for c in messages.columns if c != payload]
     return parsed.select(
         *keep, agent.alias("agent_type"),
@@ -57,7 +57,7 @@ def stream_route(messages: DataFrame, payload: str = "payload") -> DataFrame:
         F.col("_m.context").alias("context"),
         F.coalesce(known, F.lit(False)).alias("routed"),
         F.when(~F.coalesce(known, F.lit(False)),
-               F.concat(F.lit("Unknown agent type: "), F.coalesce(agent, F.lit("None")))).alias("error"))
+               F.concat(F.lit(fixed.UNKNOWN_AGENT), F.coalesce(agent, F.lit("None")))).alias("error"))
 
 
 def split_routes(routed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -91,39 +91,65 @@ def stream_log(responses: DataFrame, history_path: str, executions_path: str,
                checkpoint_root: str, trigger: dict | None = None):
     """Log each streamed agent response as a conversation row and an execution row.
 
-    One query, so a response is computed once and both logs agree. Rows get
-    the declared schemas of A3/A4. A batch lands in
-    ``run_id=<query>/batch_id=<n>`` of both tables with overwrite: a replayed
-    batch replaces its own output, and a fresh checkpoint never that of an
-    earlier run. Returns the started query.
+    A response whose ``run_error`` (if there is that column) is not null is a
+    run that raised: it leaves a ``failed`` execution row and no conversation.
+    One without a reply leaves nothing, as in the service. ``created_at`` is
+    the response's own where it has one, else the time of logging.
+
+    One query, so a response is computed once: a batch is first written as it
+    came, and both tables are made from what was written. Rows get the declared
+    schemas of A3/A4 and ids that no other batch, run or append has. A batch is
+    an append named after the run and its number: a replayed batch replaces
+    what it wrote, with the same ids, and a fresh checkpoint never what an
+    earlier run wrote. Returns the started query.
     """
     checkpoint = f"{checkpoint_root.rstrip('/')}/log"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         run = _query_id(spark, checkpoint)
+        held = f"{checkpoint_root.rstrip('/')}/responses/{run}-{batch_id}"
         now = F.lit(dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)).cast("timestamp_ntz")
-        held = batch.persist()
-        try:
-            for frame, path, ddl in ((conversation_rows(held, now), history_path, CONVERSATION_DDL), (execution_log_rows(held, now), executions_path, EXECUTION_DDL)):
-                ids = frame.withColumn("id", F.monotonically_increasing_id())
-                conform(ids, ddl).write.mode("overwrite").parquet(f"{path.rstrip('/')}/run_id={run}/batch_id={batch_id}")
-        finally:
-            held.unpersist()
+        own = F.col("created_at").cast("timestamp_ntz") if "created_at" in batch.columns else F.lit(None).cast("timestamp_ntz")
+        kept = batch.withColumn("created_at", F.coalesce(own, now))
+        kept.write.mode("overwrite").parquet(held)
+        logged = spark.read.schema(kept.schema).parquet(held)
+        for rows, path, ddl in ((conversation_rows(logged), history_path, CONVERSATION_DDL), (execution_log_rows(logged), executions_path, EXECUTION_DDL)):
+            append_rows(rows, path, ddl, name=f"{run}-{batch_id}")
+        remove_folder(spark, held)
 
     return (responses.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
-def conversation_rows(responses: DataFrame, now: Column) -> DataFrame:
-    return responses.select("session_id", "user_message", F.col("reply").alias("agent_response"), "agent_type",
-                            F.coalesce(F.col("metadata_json"), F.lit("{}")).alias("metadata_json"), now.alias("created_at"))
+def remove_folder(spark, path: str) -> None:
+    """Delete a folder this module wrote, through the file system of its path."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def execution_log_rows(responses: DataFrame, now: Column) -> DataFrame:
-    return responses.select("session_id", "agent_type", F.col("user_message").alias("task_description"),
-                            F.lit("completed").alias("status"), F.substring("reply", 1, fixed.RESULT_PREFIX_CHARS).alias("result"),
-                            "execution_time_ms", "tokens_used", F.col("provider").alias("model_used"), now.alias("created_at"))
+def _run_error(responses: DataFrame) -> Column:
+    return F.col("run_error") if "run_error" in responses.columns else F.lit(None).cast("string")
+
+
+def conversation_rows(responses: DataFrame) -> DataFrame:
+    answered = _run_error(responses).isNull() & (F.coalesce("reply", F.lit("")) != "")
+    return responses.where(answered).select("session_id", "user_message", F.col("reply").alias("agent_response"), "agent_type",
+                                            F.coalesce(F.col("metadata_json"), F.lit("{}")).alias("metadata_json"), "created_at")
+
+
+def execution_log_rows(responses: DataFrame) -> DataFrame:
+    error = _run_error(responses)
+    tasks = F.create_map(*[F.lit(x) for agent, (task, _) in fixed.AGENT_FAILURES.items() for x in (agent, task)])
+    ok = error.isNull()
+    return responses.where(error.isNotNull() | (F.coalesce("reply", F.lit("")) != "")).select(
+        "session_id", "agent_type",
+        F.when(ok, F.col("user_message")).otherwise(F.coalesce(F.try_element_at(tasks, F.col("agent_type")), F.col("user_message"))).alias("task_description"),
+        F.when(ok, F.lit("completed")).otherwise(F.lit("failed")).alias("status"),
+        F.when(ok, F.substring("reply", 1, fixed.RESULT_PREFIX_CHARS)).alias("result"), error.alias("error_message"),
+        F.coalesce("execution_time_ms", F.lit(0.0)).alias("execution_time_ms"),
+        F.when(ok, F.coalesce("tokens_used", F.lit(0))).otherwise(F.lit(0)).alias("tokens_used"),
+        F.when(ok, F.col("provider")).alias("model_used"), "created_at")
 
 
 # ------------------------------------------------------------------ J3-J5

@@ -83,3 +83,120 @@ def test_run_that_raises_leaves_a_failed_row(spark):
         "quality_metrics": {"total_lines": 2, "non_empty_lines": 1, "comment_lines": 0, "average_line_length": 2.5,
                             "functions": 0, "indentation_issues": 0, "long_lines": 0}}
     assert meta["docs_generator"] == {"language": "unknown", "doc_type": "function", "style": "google", "provider": "Last"}
+
+
+def _picky(error, bad):
+    def factory():
+        def fn(s):
+            if any(p in bad for p in s):
+                raise error("boom")
+            return pd.Series([f"ok {p}" for p in s], index=s.index)
+        return fn
+    return factory
+
+
+def test_one_bad_prompt_spoils_only_itself(spark):
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(20)], "id long, prompt string")
+    for parts in (1, 7):
+        out = I.batch_inference(df, [("Picky", _picky(I.RunError, {"p3"})), ("Last", _const("z"))], max_parallel_calls=parts)
+        got = {r.id: (r.reply, r.provider, r.run_error) for r in out.collect()}
+        assert got == {i: ("", "none", "boom") if i == 3 else (f"ok p{i}", "Picky", None) for i in range(20)}
+        # any other error: the next provider answers that prompt
+        out = I.batch_inference(df, [("Picky", _picky(ValueError, {"p3", "p11"})), ("Last", _const("z"))], max_parallel_calls=parts)
+        got = {r.id: (r.reply, r.provider, r.run_error) for r in out.collect()}
+        assert got == {i: ("z", "Last", None) if i in (3, 11) else (f"ok p{i}", "Picky", None) for i in range(20)}
+
+
+def test_calls_of_a_halved_batch():
+    calls = []
+
+    def fn(s):
+        calls.append(len(s))
+        if "p5" in set(s):
+            raise I.RunError("boom")
+        return s
+
+    prompts = pd.Series([f"p{i}" for i in range(64)])
+    replies, errors = I.ask(fn, prompts)
+    assert errors.dropna().to_dict() == {5: "boom"} and replies.drop(5).tolist() == prompts.drop(5).tolist()
+    assert len(calls) == 1 + 2 * 6
+
+    def down(s):
+        calls.append(0)
+        raise I.ProviderDown
+
+    calls.clear()
+    assert I.ask(down, prompts)[0].isna().all() and calls == [0]
+
+
+REQUEST = ("request_id long, session_id string, agent_type string, code string, language string, "
+           "error_message string, analysis_type string, doc_type string, style string")
+
+
+def test_agent_job_one_failing_prompt(spark):
+    reqs = spark.createDataFrame([(i, "s", "debugger", f"x = {i}", "python", "BAD" if i == 2 else None, None, None, None) for i in range(5)], REQUEST)
+
+    def factory():
+        def fn(s):
+            if s.str.contains("BAD").any():
+                raise I.RunError("no quota")
+            return pd.Series(["fine"] * len(s), index=s.index)
+        return fn
+
+    resp, hist, execs = I.agent_job(reqs, [("One", factory)])
+    assert {r.request_id: (r.success, r.error) for r in resp.collect()} == {
+        i: (False, "Debugger error: no quota") if i == 2 else (True, None) for i in range(5)}
+    assert hist.count() == 4 and sorted(r.status for r in execs.collect()) == ["completed"] * 4 + ["failed"]
+
+
+def test_fourth_agent_and_own_texts(spark):
+    """A registered agent with a prompt function of its own, and section texts from a table."""
+    from pyspark.sql import functions as F
+
+    from sluice.operators import prompts as P
+
+    texts = P.Texts(spark.createDataFrame(
+        [("analysis", "security", "OWN SECURITY"), ("analysis", None, "OWN DEFAULT"), ("doc", "class", "OWN CLASS"), ("doc", "class", "OWN CLASS, later"),
+         ("other", "x", "unused"), (None, "x", "unused")], "kind string, name string, text string"))
+
+    def translate(requests):
+        return (requests.withColumn("prompt", F.concat(F.lit("Translate to Go: "), F.col("code")))
+                .withColumn("details", F.length("code").cast("string")))
+
+    agents = I.default_agents(texts) | {"translator": I.Agent(
+        translate, lambda: F.lit("Translate code"), lambda details: {"chars": details.cast("int")}, (0.1, 99), ("Translate code", "Translator error: "))}
+    reqs = spark.createDataFrame(
+        [(1, "s", "translator", "x = 1", "python", None, None, None, None), (2, "s", "analyzer", "x = 1", "python", None, "security", None, None),
+         (3, "s", "analyzer", "x = 2", "python", None, "unheard of", None, None), (4, "s", "docs_generator", "x = 3", None, None, None, "class", "numpy"),
+         (5, "s", "docs_generator", "x = 4", None, None, None, "module", None), (6, "s", "planner", "x = 5", None, None, None, None, None)], REQUEST)
+    got = {r.request_id: r.prompt for r in I.agent_prompts(reqs, agents).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5] and got[1] == "Translate to Go: x = 1"
+    assert "OWN SECURITY" in got[2] and "OWN DEFAULT" in got[3]
+    assert "OWN CLASS\n" in got[4] and "later" not in got[4] and P.STYLE_SECTIONS["numpy"] in got[4] and "OWN" not in got[5]
+    resp, hist, execs = I.agent_job(reqs, [("Last", _const("z"))], agents=agents)
+    out = {r.request_id: r for r in resp.collect()}
+    assert out[1].success and json.loads(out[1].metadata_json) == {
+        "language": "python", "chars": 5, "provider": "Last", "settings": {"temperature": 0.1, "max_tokens": 99}}
+    assert out[6].error == "Unknown agent type: planner"
+    assert {r.user_message for r in hist.where("agent_type = 'translator'").collect()} == {"Translate code"}
+
+    def quota():
+        def fn(prompts):
+            raise I.RunError("no quota")
+        return fn
+
+    resp, _, execs = I.agent_job(reqs, [("Quota", quota)], agents=agents)
+    assert {r.error for r in resp.where("request_id = 1").collect()} == {"Translator error: no quota"}
+    assert execs.where("agent_type = 'translator' AND status = 'failed'").count() == 1
+
+
+def test_own_texts_beyond_the_broadcast_bound_join_by_shuffle(spark, monkeypatch):
+    from sluice.operators import prompts as P
+
+    texts = P.Texts(spark.createDataFrame([("doc", "class", "OWN CLASS")], "kind string, name string, text string"))
+    reqs = spark.createDataFrame([(4, "s", "docs_generator", "x = 3", None, None, None, "class", "numpy")], REQUEST)
+    small = P.docs_prompts(reqs, texts)
+    monkeypatch.setattr(P, "BROADCAST_BYTES", 1)
+    large = P.docs_prompts(reqs, texts)
+    hinted = [d._jdf.queryExecution().analyzed().toString().count("ResolvedHint") for d in (small, large)]
+    assert hinted == [1, 0] and small.first().prompt == large.first().prompt and "OWN CLASS" in large.first().prompt

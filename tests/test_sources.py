@@ -98,3 +98,38 @@ def test_scan_table_reads_parquet_and_conforms(spark):
                            .StructType.fromDDL(T.EXECUTION_DDL).fields]
     r = out.first()
     assert (r.id, r.tokens_used, r.execution_time_ms, r.model_used) == (1, 0, 0.0, None)
+
+
+def test_ids_are_unique_over_appends_and_concurrent_writers(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    d = _scratch()
+    rows = spark.range(40).selectExpr("CONCAT('s', id) AS session_id", "'hi' AS user_message", "'yo' AS agent_response", "'debugger' AS agent_type").repartition(3)
+    with ThreadPoolExecutor(6) as pool:
+        stored = list(pool.map(lambda _: S.append_conversations(rows, f"{d}/conv"), range(6)))
+    every = [r.id for r in spark.read.parquet(f"{d}/conv").collect()]
+    assert len(every) == len(set(every)) == 240
+    # what an append returns is what it stored
+    returned = [[r.id for r in s.collect()] for s in stored]
+    assert all(len(r) == 40 for r in returned) and sorted(sum(returned, [])) == sorted(every)
+    last = S.append_conversations(rows.limit(1), f"{d}/conv").first()
+    assert last.id > max(every)  # later appends have larger ids
+
+
+def test_first_free_number_needs_few_looks():
+    from sluice.sources.ids import first_free
+
+    for n in (0, 1, 2, 3, 7, 8, 1000, 123_456):
+        looks = []
+        assert first_free(lambda i: looks.append(i) or i < n) == n
+        assert len(looks) <= 40
+
+
+def test_scan_table_pushes_filters_of_renamed_columns(spark):
+    d = _scratch()
+    spark.sql("SELECT id AS event_id, TIMESTAMP_NTZ '2024-01-01 00:00:00' AS ts, 'x' AS unused FROM range(9)").write.parquet(f"{d}/t")
+    out = T.scan_table(spark, f"{d}/t", ddl=T.EXECUTION_DDL, columns={"id": "event_id", "created_at": "ts"})
+    out = out.where("created_at >= TIMESTAMP_NTZ '2023-12-31 00:00:00' AND id > 3").select("id", "status")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts," in plan and "GreaterThan(event_i" in plan and "unused" not in plan
+    assert sorted(map(tuple, out.collect())) == [(i, "pending") for i in range(4, 9)]

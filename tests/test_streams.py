@@ -152,3 +152,32 @@ def test_stream_log_writes_both_tables(spark):
     # a fresh checkpoint restarts at batch 0 and must not replace the first run's rows
     J.stream_log(stream, f"{d}/hist", f"{d}/exec", f"{d}/ck2").awaitTermination(300)
     assert spark.read.parquet(f"{d}/hist").count() == 4 and spark.read.parquet(f"{d}/exec").count() == 4
+
+
+def test_stream_log_ids_are_unique_over_batches_and_runs_and_failed_runs_are_logged(spark):
+    d = _scratch()
+    at = dt.datetime(2024, 3, 1, 12)
+    kind = ("session_id string, user_message string, reply string, agent_type string, metadata_json string, "
+            "execution_time_ms double, tokens_used long, provider string, run_error string, created_at timestamp_ntz")
+    for i in range(3):
+        spark.createDataFrame([(f"s{i}", "Debug python code", f"reply {i}", "debugger", None, 1.0, 4, "Stub", None, at + dt.timedelta(days=i)),
+                               (f"s{i}", "Debug python code", "", "debugger", None, 2.0, None, None, "no quota", at + dt.timedelta(days=i)),
+                               (f"s{i}", "Debug python code", "", "debugger", None, 2.0, None, None, None, at)], kind) \
+            .coalesce(1).write.parquet(f"{d}/in/p{i}")
+    stream = J.read_stream_like(spark, spark.createDataFrame([], kind), f"{d}/in/*", max_files_per_trigger=1)
+    J.stream_log(stream, f"{d}/hist", f"{d}/exec", f"{d}/ck").awaitTermination(300)
+    J.stream_log(stream, f"{d}/hist", f"{d}/exec", f"{d}/ck2").awaitTermination(300)
+    hist, execs = spark.read.parquet(f"{d}/hist").collect(), spark.read.parquet(f"{d}/exec").collect()
+    assert len({r.append_id for r in hist}) == 6
+    assert len(hist) == len({r.id for r in hist}) == 6 and len(execs) == len({r.id for r in execs}) == 12
+    assert {r.created_date for r in hist} == {(at + dt.timedelta(days=i)).date() for i in range(3)}
+    failed = [r for r in execs if r.status == "failed"]
+    assert len(failed) == 6
+    assert {(r.task_description, r.error_message, r.result, r.tokens_used, r.model_used) for r in failed} == {("Debug code", "no quota", None, 0, None)}
+
+
+def test_replayed_batch_keeps_its_ids(spark):
+    from sluice.sources import ids
+
+    d = _scratch()
+    assert [ids.reserve(spark, d, name) for name in ("run-0", None, "run-1", "run-0", None)] == [0, 1, 2, 0, 3]

@@ -40,11 +40,20 @@ def test_unknown_agent_type_gets_an_error(spark):
 
 def test_sql_is_read_only(spark):
     assert sql_with_params(spark, "WITH a AS (SELECT ? AS x) SELECT 'insert into' AS t, x FROM a", [1]).count() == 1
-    for text in ("DROP TABLE x", "INSERT INTO x VALUES (1)", "WITH a AS (SELECT 1) INSERT INTO x SELECT * FROM a", "-- select\nCREATE TABLE x (a INT)", "SET a=b"):
+    spark.range(1).createOrReplaceTempView("tt")
+    for text in ("FROM (SELECT 4/2 AS a) INSERT INTO tt SELECT a/2", "EXECUTE IMMEDIATE 'DROP VIEW tt'", "BEGIN DROP VIEW tt; END",
+                 "FROM tt INSERT INTO tt SELECT id INSERT INTO tt SELECT id + 1", "DROP TABLE x", "INSERT INTO x VALUES (1)", "WITH a AS (SELECT 1) INSERT INTO x SELECT * FROM a", "-- select\nCREATE TABLE x (a INT)", "SET a=b"):
         with pytest.raises(ValueError):
             sql_with_params(spark, text, [])
 
 
+def test_words_of_commands_are_no_commands(spark):
+    got = spark.range(3).withColumnRenamed("id", "update")
+    assert sql_with_params(spark, "SELECT 1 AS x -- not insert into anything", []).first()[0] == 1
+    assert sql_with_params(spark, "SELECT `update` /* delete from x */ FROM {t} WHERE 'insert into' <> ?", ["merge into"], t=got).count() == 3
+    assert sql_with_params(spark, "FROM {t} SELECT count(*)", [], t=got).first()[0] == 3
+
+
 def test_strip_covers_information_separators(spark):
     df = spark.createDataFrame([("\x1c\t a\x1d b \x1f\u2003",)], "t string")
     assert df.select(ustrip(F.col("t"))).first()[0] == "\x1c\t a\x1d b \x1f\u2003".strip()
