@@ -110,10 +110,14 @@ def _unit_vectors(df: DataFrame, key: str) -> DataFrame:
     finite = F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     rows = df.select(F.col(key), v.alias("v")).where(F.col("v").isNotNull() & F.col(key).isNotNull())
     rows = rows.where(finite & F.exists("v", lambda x: x != 0))
+    def bind(value: Column, use) -> Column:
+        """``use(value)`` with the value computed once, not for each component."""
+        return F.transform(F.array(value), use)[0]
+
     # divided by the largest component first, so that no square overflows
-    scaled = rows.withColumn("v", F.transform("v", lambda x: x / F.array_max(F.transform("v", F.abs))))
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    return scaled.select(key, F.transform("v", lambda x: x / length).alias("v"))
+    unit = bind(F.array_max(F.transform("v", F.abs)), lambda m: bind(
+        F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / m) * (x / m))), lambda n: F.transform("v", lambda x: x / m / n)))
+    return rows.select(key, unit.alias("v"))
 
 
 def _score_block(k: int, digits: int):
@@ -194,20 +198,22 @@ def collision(distance: float, width: float) -> float:
     return math.erf(t / math.sqrt(2)) - math.sqrt(2 / math.pi) / t * (1 - math.exp(-t * t / 2))
 
 
-def hash_tables(n: int, near: float, recall: float) -> tuple[int, int]:
+def hash_tables(n: int, near: float, recall: float) -> tuple[int, int] | None:
     """``(tables, bits)`` that find neighbours at distance ``near`` with chance ``recall``.
 
     Bits grow with the logarithm of the number of entries, so that a bucket
     holds ``ENTRIES_IN_BUCKET`` unrelated ones whatever the table; where
-    neighbours are too far for that, fewer bits keep the recall and buckets grow.
+    neighbours are too far for that, fewer bits keep the recall and buckets
+    grow. None where the tables together would look at as much as a scan does:
+    neighbours that are hardly nearer than strangers cannot be told by hashing.
     """
     far = collision(math.sqrt(2), BUCKET_WIDTH)
     for bits in range(min(MOST_BITS, max(1, math.ceil(math.log(max(n / ENTRIES_IN_BUCKET, 1)) / -math.log(far)))), 0, -1):
         found = collision(near, BUCKET_WIDTH) ** bits
         tables = 1 if found >= recall else math.ceil(math.log(1 - recall) / math.log(1 - found))
         if tables <= MOST_TABLES:
-            return tables, bits
-    return MOST_TABLES, 1
+            return (tables, bits) if tables * far ** bits < 1 else None
+    return None
 
 
 def similar_entries_lsh(queries: DataFrame, entries: DataFrame, k: int = 5, digits: int = 9, recall: float = 0.95,
@@ -223,21 +229,31 @@ def similar_entries_lsh(queries: DataFrame, entries: DataFrame, k: int = 5, digi
     into pieces, so that no bucket is one task and no pair becomes a row. Edge
     rows as in ``similar_entries``; each length of vectors has tables of its
     own. A query finds fewer than ``k`` entries if its buckets hold fewer.
+    Where hashing would look at as much as a scan, the exact search answers.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
 
-    asked = _unit_vectors(queries, "query_id").withColumnRenamed("v", "q")
+    from ..session import checkpoint_dir
+
+    checkpoint_dir(queries.sparkSession)
+    asked = _unit_vectors(queries, "query_id").withColumnRenamed("v", "q").checkpoint()
     held = _unit_vectors(entries, "entry_id").withColumnRenamed("v", "e")
     # of equal entries only the first k by id can be in a result
     first = F.row_number().over(Window.partitionBy("e").orderBy("entry_id"))
-    held = held.withColumn("place", first).where(F.col("place") <= k).drop("place")
+    held = held.withColumn("place", first).where(F.col("place") <= k).drop("place").checkpoint()
     found = None
     for row in asked.groupBy(F.size("q").alias("d")).count().collect():  # lengths, not vectors
         n = held.where(F.size("e") == row["d"]).count()
         if not n:
             continue
-        tables, bits = shape or hash_tables(n, _nearness(asked.where(F.size("q") == row["d"]), row["count"], held, k), recall)
+        plan = shape or hash_tables(n, _nearness(asked.where(F.size("q") == row["d"]), row["count"], held, k), recall)
+        if plan is None:
+            scanned = similar_entries(asked.where(F.size("q") == row["d"]).withColumnRenamed("q", "embedding"),
+                                      held.withColumnRenamed("e", "embedding"), k, digits).drop("rank")
+            found = scanned if found is None else found.unionByName(scanned)
+            continue
+        tables, bits = plan
         hasher = BucketedRandomProjectionLSH(inputCol="_vector", outputCol="_hashes", numHashTables=tables * bits,
                                              bucketLength=BUCKET_WIDTH / math.sqrt(row["d"]), seed=seed)
         # draws the projections; of the data only the length counts
@@ -246,9 +262,8 @@ def similar_entries_lsh(queries: DataFrame, entries: DataFrame, k: int = 5, digi
         def hashed(df: DataFrame, vector: str) -> DataFrame:
             """One row a table, with the key of its bucket."""
             own = df.where(F.size(vector) == row["d"]).withColumn("_vector", array_to_vector(vector))
-            values = [vector_to_array(F.col("_hashes")[i])[0].cast("long") for i in range(tables * bits)]
-            keys = [F.xxhash64(F.lit(t), *values[t * bits:(t + 1) * bits]) for t in range(tables)]
-            return model.transform(own).select(f"{'query' if vector == 'q' else 'entry'}_id", vector, F.explode(F.array(*keys)).alias("key"))
+            keys = F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.xxhash64(t, F.slice("_hashes", t * bits + 1, F.lit(bits))))
+            return model.transform(own).select(f"{'query' if vector == 'q' else 'entry'}_id", vector, F.explode(keys).alias("key"))
 
         part = _search_buckets(hashed(asked, "q"), hashed(held, "e"), k, digits)
         found = part if found is None else found.unionByName(part)

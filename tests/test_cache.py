@@ -100,7 +100,8 @@ def test_hash_tables_follow_size_and_nearness():
     for n, (tables, bits) in zip((10**3, 10**6, 10**9), shapes):
         assert 1 - (1 - H.collision(0.3, H.BUCKET_WIDTH) ** bits) ** tables >= 0.95
         assert n * H.collision(2 ** 0.5, H.BUCKET_WIDTH) ** bits <= H.ENTRIES_IN_BUCKET
-    assert H.hash_tables(10**9, 1.3, 0.95)[0] <= H.MOST_TABLES               # far neighbours: fewer bits, larger buckets
+    assert H.hash_tables(10**9, 0.6, 0.95)[1] < shapes[2][1]                  # far neighbours: fewer bits, larger buckets
+    assert H.hash_tables(10**9, 1.3, 0.95) is None                            # hardly nearer than strangers: a scan
     # the chance itself, against draws
     rnd = np.random.default_rng(1)
     x, shift = rnd.normal(size=200_000) * 0.7, rnd.random(200_000) * 1.2
@@ -142,10 +143,10 @@ def test_lsh_hot_bucket_is_dealt_out(spark, monkeypatch):
     v = np.vstack([np.ones((100, 8)), np.ones((100, 8)) + 0.01 * rnd.normal(size=(100, 8)), rnd.normal(size=(100, 8))])
     e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "entry_id long, embedding array<double>")
     q = e.where("entry_id % 5 = 0").withColumnRenamed("entry_id", "query_id")
-    whole = sorted(map(tuple, H.similar_entries_lsh(q, e, k=5).collect()))
+    whole = sorted(map(tuple, H.similar_entries_lsh(q, e, k=5, shape=(6, 3)).collect()))
     monkeypatch.setattr(H, "ENTRIES_A_BLOCK", 10)
     monkeypatch.setattr(H, "QUERIES_A_PORTION", 7)
-    assert sorted(map(tuple, H.similar_entries_lsh(q, e, k=5).collect())) == whole
+    assert sorted(map(tuple, H.similar_entries_lsh(q, e, k=5, shape=(6, 3)).collect())) == whole
     exact = {(r.query_id, r.rank, r.entry_id) for r in H.similar_entries(q, e, k=5).collect() if r.query_id < 100}
     assert exact <= {(r[0], r[3], r[1]) for r in whole}
 
