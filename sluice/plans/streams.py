@@ -74,3 +74,30 @@ GROUP BY window_start, session_id HAVING SUM(tokens_used) > 500""")
 def token_budget(t):
     """J5 with a budget of 500 tokens an hour (the fixtures stay far below 10,000)."""
     return J.token_budget(t.executions, budget=500)
+
+
+@query("burst_limit", (), """
+WITH RECURSIVE r AS (
+  SELECT event_id AS id, 'user-' || CAST(user_id AS VARCHAR) AS session_id, ts AS created_at, epoch_us(ts) AS t,
+    ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+  FROM events),
+walk AS (
+  SELECT session_id, rn, id, created_at, t, CAST(3 AS BIGINT) * 86400000000 AS level FROM r WHERE rn = 1
+  UNION ALL
+  SELECT n.session_id, n.rn, n.id, n.created_at, n.t,
+    LEAST(CAST(4 AS BIGINT) * 86400000000, w.level + 3 * (n.t - w.t)) - 86400000000
+  FROM walk w JOIN r n ON n.session_id = w.session_id AND n.rn = w.rn + 1)
+SELECT id, session_id, created_at, level / 86400000000.0::DOUBLE AS tokens_left, level >= 0 AS allowed FROM walk""")
+def burst_limit(t):
+    """J4's token bucket: three requests a day, four at once (fixture sessions ask about three times a day)."""
+    return J.burst_limit(t.executions, refill=3, per_seconds=86_400, burst=4, bucket_hours=24)
+
+
+@query("pending_within", (), """
+SELECT o_orderkey AS request_id, o_orderdate AS queued_at FROM orders
+WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 30 DAY)""")
+def pending_within(t):
+    """G7 in time: orders are the queue, shipped lines acknowledge them; those not shipped from within 30 days."""
+    queue = t.orders.select(F.col("o_orderkey").alias("request_id"), F.col("o_orderdate").alias("queued_at"))
+    acks = t.lineitem.select(F.col("l_orderkey").alias("request_id"), F.col("l_shipdate").alias("acked_at"))
+    return J.unacknowledged(queue, acks, "30 days", keys=("request_id",))

@@ -12,6 +12,7 @@ import os
 import re
 import tempfile
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
 
 # Settings every query relies on for correct results.
@@ -27,6 +28,8 @@ _SCALE_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # state on disk instead of the heap; also what list state and timers need
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -34,18 +37,14 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
                   app_name: str = "sluice") -> SparkSession:
     """Create (or reuse) a session for local runs and tests."""
     master = master or os.environ.get("SLUICE_MASTER", "local[8]")
-    settings = (
-        SparkSession.builder.master(master)
-        .appName(app_name)
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.driver.memory", os.environ.get("SLUICE_DRIVER_MEMORY", "16g"))
-        .config("spark.sql.files.maxPartitionBytes", str(64 * 1024 * 1024))
-    )
-    for key, value in {**_REQUIRED, **_SCALE_DEFAULTS}.items():
-        settings = settings.config(key, value)
-    spark = settings.getOrCreate()
+    conf = SparkConf().setMaster(master).setAppName(app_name).setAll([
+        ("spark.ui.enabled", "false"),
+        ("spark.ui.showConsoleProgress", "false"),
+        ("spark.sql.shuffle.partitions", str(shuffle_partitions)),
+        ("spark.driver.memory", os.environ.get("SLUICE_DRIVER_MEMORY", "16g")),
+        ("spark.sql.files.maxPartitionBytes", str(64 * 1024 * 1024)),
+        *{**_REQUIRED, **_SCALE_DEFAULTS}.items()])
+    spark = SparkSession(SparkContext.getOrCreate(conf))
     spark.sparkContext.setLogLevel("ERROR")
     prepare(spark)
     return spark

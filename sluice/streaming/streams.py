@@ -1,4 +1,4 @@
-"""Structured Streaming operators (J1-J5) and their batch twins.
+"""Structured Streaming operators (J1-J5, G7 and H6 on streams) and their batch twins.
 
 Every transformation here is written once and applied to either a static or
 a streaming DataFrame. Event time must be a ``TIMESTAMP`` for watermarks, so
@@ -14,12 +14,14 @@ from __future__ import annotations
 import datetime as dt
 import json
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .. import fixed
+from ..operators.timeline import ROWS_A_BUCKET, Buckets, micros
 from ..sources.sinks import append_rows
 from ..sources.tables import CONVERSATION_DDL, EXECUTION_DDL
 
@@ -203,60 +205,251 @@ def read_stream_like(spark, df: DataFrame, path: str, fmt: str = "parquet",
     return reader.load(path)
 
 
-# ------------------------------------------------------------------ H6 (stream)
+# ------------------------------------------------------------------ J4 (burst)
 
-TTL_OUT_SCHEMA = "id long, cache_key string, created_at timestamp_ntz, hit boolean"
-TTL_STATE_SCHEMA = "fill_us long, pending array<struct<t:long,id:long>>"
+def _units(refill: int, per_seconds: float, burst: int) -> tuple[int, int, int]:
+    """``(token, refill a microsecond, burst)`` in whole units, so that levels are exact."""
+    token = int(per_seconds * 1_000_000)
+    return token, refill, burst * token
+
+
+def burst_limit(requests: DataFrame, refill: int = 100, per_seconds: float = 60, burst: int = 200,
+                bucket_hours: float = 1, rows_a_bucket: int = ROWS_A_BUCKET) -> DataFrame:
+    """Each request against its session's token bucket.
+
+    A bucket holds ``burst`` tokens, is full at the session's first request and
+    gains ``refill`` tokens in ``per_seconds``, never above ``burst``. Every
+    request takes one, refused ones too, so a session that keeps asking stays
+    refused: the level may be negative, and a request is allowed if it is not.
+    ``requests(id, session_id, created_at)``, taken by (time, id); adds
+    ``tokens_left`` and ``allowed``. A request without a time takes no part.
+
+    The level after request n is ``burst - 1 - (c_n - min(c_1..c_n))`` with
+    ``c_i = i - refill * t_i``: a running minimum, whose parts combine in any
+    grouping. It is taken inside (session, bucket of time) and one row a bucket
+    carries count and minimum on, so a hot session is many tasks.
+    """
+    token, rate, full = _units(refill, per_seconds, burst)
+    rows = requests.select("id", "session_id", "created_at", micros("created_at").alias("t")).where("t is not null")
+    dealt = Buckets(rows.select("session_id", "t"), "session_id", int(bucket_hours * 3600 * 1_000_000), rows_a_bucket).put(rows)
+    place = Window.partitionBy("session_id", "bucket").orderBy("t", "id")
+    upto = place.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = (dealt.withColumn("c", F.row_number().over(place).cast("bigint") * F.lit(token) - F.lit(rate) * F.col("t"))
+              .withColumn("least", F.min("c").over(upto)))
+    parts = inside.groupBy("session_id", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("m"))
+    before = Window.partitionBy("session_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0)) * F.lit(token))
+    parts = parts.withColumn("carried", F.min(F.col("ahead") + F.col("m")).over(before)).select(
+        F.col("session_id").alias("_session"), F.col("bucket").alias("_bucket"), "ahead", "carried")
+    joined = inside.join(parts, F.col("session_id").eqNullSafe(F.col("_session")) & (F.col("bucket") == F.col("_bucket")))
+    level = F.lit(full - token) - (F.col("ahead") + F.col("c") - F.least(F.col("ahead") + F.col("least"), F.col("carried")))
+    return joined.select("id", "session_id", "created_at", (level / F.lit(float(token))).alias("tokens_left"), (level >= 0).alias("allowed"))
+
+
+# ------------------------------------------------------------------ in-order state
+
+def _in_order(rows: DataFrame, key: str, fold, state_schema: str, out_schema: str, hold_us: int, watermark: str) -> DataFrame:
+    """Fold each key's rows in (time, id) order over a stream.
+
+    Rows wait in a list state until the watermark has passed them; a timer a
+    key takes out the passed ones, folds them and puts back the rest, so the
+    answer does not depend on arrival order within the watermark delay. Rows
+    later than the watermark are dropped by Spark before they reach the state.
+    ``fold(state, t, id) -> (state, values)`` gives the columns after ``id, key,
+    created_at``. A state is forgotten ``hold_us`` after its last fold, when the
+    fold would not tell it from none. Needs the RocksDB state store.
+    """
+    from pyspark.sql.streaming import StatefulProcessor
+
+    spark = rows.sparkSession
+    if "RocksDB" not in (spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) or ""):
+        raise ValueError("set spark.sql.streaming.stateStore.providerClass to the RocksDB provider")
+    df = (rows.withColumn("event_time", event_time("created_at")).withWatermark("event_time", watermark)
+          .select(key, "event_time", "id", F.unix_micros(F.col("event_time")).alias("t")))
+
+    class Replay(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.waiting = handle.getListState("waiting", "t long, id long")
+            self.state = handle.getValueState("state", state_schema)
+            self.last = handle.getValueState("last", "t long")
+
+        def _wake(self, at_ms: int, now_ms: int) -> None:
+            """One timer a key, at the earliest moment asked for; those that are due now don't count."""
+            for timer in list(self.handle.listTimers()):
+                if now_ms < timer <= at_ms:
+                    return
+                if timer > at_ms:
+                    self.handle.deleteTimer(timer)
+            self.handle.registerTimer(at_ms)
+
+        def handleInputRows(self, key, rows, timerValues):
+            import pandas as pd
+
+            first = None
+            for pdf in rows:
+                new = list(zip(pdf["t"].astype("int64").tolist(), pdf["id"].astype("int64").tolist()))
+                self.waiting.appendList(new)
+                first = min([first] * (first is not None) + [t for t, _ in new])
+            if first is not None:
+                self._wake(first // 1000 + 1, timerValues.getCurrentWatermarkInMs())
+            yield pd.DataFrame()
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            import pandas as pd
+
+            now = timerValues.getCurrentWatermarkInMs()
+            passed = now * 1000
+            held = sorted(self.waiting.get())
+            ready = [r for r in held if r[0] <= passed]
+            state = self.state.get() if self.state.exists() else None
+            last = self.last.get()[0] if self.last.exists() else None
+            out = []
+            for t, row in ready:
+                state, values = fold(state, t, row)
+                last = t
+                out.append((row, key[0], dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=t), *values))
+            if ready:
+                self.state.update(tuple(state))
+                self.last.update((last,))
+                rest = held[len(ready):]
+                if rest:
+                    self.waiting.put(rest)
+                else:
+                    self.waiting.clear()
+            rest = held[len(ready):]
+            if rest:
+                self._wake(rest[0][0] // 1000 + 1, now)
+            elif last is not None and last + hold_us > passed:
+                self._wake((last + hold_us) // 1000 + 1, now)
+            else:
+                self.state.clear()
+                self.last.clear()
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in out_schema.split(", ")])
+
+        def close(self) -> None:
+            pass
+
+    return df.groupBy(key).transformWithStateInPandas(Replay(), out_schema, "Append", "EventTime")
 
 
 def ttl_replay_stream(requests: DataFrame, ttl_hours: int = 24,
                       watermark: str = DEFAULT_WATERMARK) -> DataFrame:
-    """H6 on a stream: per key, the fill time lives in the state store.
+    """H6 on a stream: per key, the time of the last fill lives in the state store (``_in_order``)."""
+    ttl_us = int(ttl_hours * 3600 * 1_000_000)
+
+    def fold(state, t, row):
+        hit = state is not None and t < state[0] + ttl_us
+        return (state if hit else (t,)), (hit,)
+
+    return _in_order(requests, "cache_key", fold, "fill long", "id long, cache_key string, created_at timestamp_ntz, hit boolean", ttl_us, watermark)
 
-    Rows are buffered in the key's state until the watermark passes them and
-    are then replayed in (time, id) order, so the answer does not depend on
-    arrival order within the watermark delay. Rows later than the watermark
-    are dropped by Spark before they reach the state. Output is append-only.
+
+def burst_limit_stream(requests: DataFrame, refill: int = 100, per_seconds: float = 60, burst: int = 200,
+                       watermark: str = DEFAULT_WATERMARK, hold: float | None = None) -> DataFrame:
+    """J4's token bucket on a stream: time and level of each session's last request are its state.
+
+    A session's state is kept for ``hold`` seconds after its last request, by
+    default the time that fills a bucket which is ``burst`` tokens in debt.
     """
-    from pyspark.sql.streaming.state import GroupStateTimeout
+    token, rate, full = _units(refill, per_seconds, burst)
 
-    ttl_us = int(ttl_hours * 3600 * 1_000_000)
-    df = (requests.withColumn("event_time", event_time("created_at"))
-          .withWatermark("event_time", watermark)
-          .select("cache_key", "event_time", "id",
-                  F.unix_micros(F.col("event_time")).alias("t")))
-
-    def replay(key, batches, state):
-        import datetime as dt
-
-        import pandas as pd
-
-        fill, pending = (state.get if state.exists else (None, []))
-        pending = [(int(p["t"]) if isinstance(p, dict) else int(p[0]),
-                    int(p["id"]) if isinstance(p, dict) else int(p[1])) for p in (pending or [])]
-        for pdf in batches:
-            pending.extend(zip(pdf["t"].astype("int64"), pdf["id"].astype("int64")))
-        wm = state.getCurrentWatermarkMs() * 1000
-        pending.sort()
-        # rows past the watermark wait, on a timeout too: an earlier one may still come
-        ready = [p for p in pending if p[0] <= wm]
-        keep = pending[len(ready):]            # pending is sorted by time
-        out = []
-        for t, rid in ready:
-            if fill is not None and t < fill + ttl_us:
-                out.append((rid, key[0], dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=t), True))
-            else:
-                fill = t
-                out.append((rid, key[0], dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=t), False))
-        if keep:
-            state.update((fill, [{"t": t, "id": i} for t, i in keep]))
-            state.setTimeoutTimestamp(max(keep[0][0] // 1000, state.getCurrentWatermarkMs() + 1))
-        elif fill is not None and fill + ttl_us > wm:
-            state.update((fill, []))           # needed until the fill expires
-            state.setTimeoutTimestamp(max((fill + ttl_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["id", "cache_key", "created_at", "hit"])
-
-    return df.groupBy("cache_key").applyInPandasWithState(
-        replay, TTL_OUT_SCHEMA, TTL_STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    def fold(state, t, row):
+        level = (full if state is None else min(full, state[1] + rate * (t - state[0]))) - token
+        return (t, level), (level / float(token), level >= 0)
+
+    hold_us = int((hold if hold is not None else 2 * burst / refill * per_seconds) * 1_000_000)
+    return _in_order(requests, "session_id", fold, "t long, level long",
+                     "id long, session_id string, created_at timestamp_ntz, tokens_left double, allowed boolean", hold_us, watermark)
+
+
+# ------------------------------------------------------------------ G7 (stream)
+
+def unacknowledged(queue: DataFrame, acks: DataFrame, within: str = "1 hour", keys: tuple[str, ...] = ("request_id", "pos"),
+                   queued_at: str = "queued_at", acked_at: str = "acked_at", watermark: str = DEFAULT_WATERMARK) -> DataFrame:
+    """G7 in time: queued tasks that nobody acknowledged within ``within`` of their queueing.
+
+    The same outer join for tables and streams. On streams both sides have a
+    watermark, so the state of a task ends, and the task comes out, once the
+    watermark has passed the last moment an acknowledgement could have.
+    """
+    tasks = queue.withColumn("_queued", event_time(queued_at)).withWatermark("_queued", watermark)
+    seen = (acks.select(*[F.col(k).alias(f"_ack_{k}") for k in keys], event_time(acked_at).alias("_acked"))
+            .withWatermark("_acked", watermark))
+    same = [F.col(k) == F.col(f"_ack_{k}") for k in keys]
+    in_time = (F.col("_acked") >= F.col("_queued")) & (F.col("_acked") <= F.col("_queued") + F.expr(f"INTERVAL {within}"))
+    joined = tasks.join(seen, reduce(lambda a, b: a & b, same) & in_time, "left_outer")
+    return joined.where(F.col("_acked").isNull()).select(*queue.columns)
+
+
+# ------------------------------------------------------------------ keyed sink
+
+def upsert_changes(path: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` writer of an update-mode stream into a keyed table.
+
+    A batch holds the new values of the keys it changed and lands in
+    ``path/batch_id=<n>`` with overwrite: a replayed batch replaces itself and
+    nothing that is read is overwritten. ``read_upserted`` gives the newest row
+    of each key, ``compact`` folds old batches into one. Give every checkpoint
+    a path of its own.
+    """
+    return idempotent_append(path)
+
+
+def _compacted(spark, path: str) -> int:
+    """Number of the newest complete compaction, or -1."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = -1
+    for status in fs.listStatus(root):
+        name = status.getPath().getName()
+        if name.startswith("_upto-") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/_SUCCESS")):
+            done = max(done, int(name.removeprefix("_upto-")))
+    return done
+
+
+def read_upserted(spark, path: str, keys: list[str], schema: StructType, upto: int | None = None) -> DataFrame:
+    """The newest row of each key (columns of ``schema``); one grouped maximum, combined before the shuffle."""
+    path = path.rstrip("/")
+    done = _compacted(spark, path)
+    batches = spark.read.schema(StructType([*schema.fields, StructField("batch_id", LongType())])).parquet(path).where(F.col("batch_id") > done)
+    if upto is not None:
+        batches = batches.where(F.col("batch_id") <= upto)
+    if done >= 0:
+        batches = batches.unionByName(spark.read.schema(schema).parquet(f"{path}/_upto-{done}").withColumn("batch_id", F.lit(done).cast("bigint")))
+    rest = [f.name for f in schema.fields if f.name not in keys]
+    newest = batches.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch_id")).alias("row"))
+    return newest.select(*[F.col(f.name) if f.name in keys else F.col(f"row.{f.name}") for f in schema.fields])
+
+
+def compact(spark, path: str, keys: list[str], schema: StructType, upto: int) -> None:
+    """Fold the batches up to ``upto`` into one folder and delete them; call it between batches.
+
+    The folder counts once its ``_SUCCESS`` file is there, and the batches go
+    only then, so a reader finds every key at any moment.
+    """
+    path = path.rstrip("/")
+    before = _compacted(spark, path)
+    if upto <= before:
+        return
+    read_upserted(spark, path, keys, schema, upto).write.mode("overwrite").parquet(f"{path}/_upto-{upto}")
+    for n in range(before + 1, upto + 1):
+        remove_folder(spark, f"{path}/batch_id={n}")
+    if before >= 0:
+        remove_folder(spark, f"{path}/_upto-{before}")
+
+
+def keep_stats(executions: DataFrame, path: str, checkpoint: str, watermark: str = DEFAULT_WATERMARK, by_session: bool = False,
+               trigger: dict | None = None):
+    """J3 kept current: C1's windows in a keyed table that is right after every batch.
+
+    Update mode sends the windows that a batch changed, open ones too, to
+    ``upsert_changes``. Read the table with ``read_upserted`` and
+    ``STATS_KEYS`` (and ``session_id`` if ``by_session``). Returns the started query.
+    """
+    stats = stream_stats(executions, watermark, by_session=by_session)
+    return (stats.writeStream.outputMode("update").foreachBatch(upsert_changes(path)).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
+STATS_KEYS = ["window_start", "window_end"]
