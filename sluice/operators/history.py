@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import iso_text
+from ..sources.tables import CONVERSATION_DDL, EXECUTION_DDL, conform
 
 HISTORY_COLUMNS = ["id", "session_id", "user_message", "agent_response",
                    "agent_type", "created_at", "metadata_json"]
@@ -28,8 +29,9 @@ def _newest_first() -> list[Column]:
     return [F.col("created_at").desc(), F.col("id").desc()]
 
 
-def _present(df: DataFrame, cols: list[str]) -> list[str]:
-    return [c for c in cols if c in df.columns]
+def _declared(df: DataFrame, cols: list[str], ddl: str) -> DataFrame:
+    """The declared columns, in their declared types; one that the table lacks has its declared default."""
+    return conform(df, ddl).select(*cols)
 
 
 def conversation_history(history: DataFrame, session_id: str, limit: int = 50) -> DataFrame:
@@ -39,7 +41,7 @@ def conversation_history(history: DataFrame, session_id: str, limit: int = 50) -
     keeps its own top ``limit`` and only those reach the final merge.
     """
     return (history.where(F.col("session_id") == F.lit(session_id))
-            .select(*_present(history, HISTORY_COLUMNS))
+            .transform(_declared, HISTORY_COLUMNS, CONVERSATION_DDL)
             .orderBy(*_newest_first())
             .limit(limit))
 
@@ -56,8 +58,7 @@ def execution_history(executions: DataFrame, session_id: str | None = None,
                         ("status", status)):
         if value:
             df = df.where(F.col(name) == F.lit(value))
-    cols = _present(df, EXECUTION_COLUMNS)
-    top = df.select(*cols).orderBy(*_newest_first()).limit(limit)
+    top = _declared(df, EXECUTION_COLUMNS, EXECUTION_DDL).orderBy(*_newest_first()).limit(limit)
     return top.withColumn("created_at", iso_text(F.col("created_at")))
 
 
@@ -69,7 +70,7 @@ def latest_per_session(history: DataFrame, n: int = 50) -> DataFrame:
     ``n`` rows per input partition to the exchange.
     """
     w = Window.partitionBy("session_id").orderBy(*_newest_first())
-    return (history.select(*_present(history, HISTORY_COLUMNS))
+    return (_declared(history, HISTORY_COLUMNS, CONVERSATION_DDL)
             .withColumn("rn", F.row_number().over(w))
             .where(F.col("rn") <= n))
 

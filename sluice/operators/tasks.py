@@ -14,23 +14,22 @@ derived answer (dependency order, priority order, violations, execution mode,
 pending tasks, roll-up) is an array expression over that row — no further
 shuffle. A request whose listed order already satisfies every dependency
 keeps it (checked in one pass; the rule provably returns the list), other
-requests take the array fold, and requests longer than ``array_limit`` take
-an O((n + e) log n) heap path in ``mapInPandas`` instead of the O(n^3) fold.
+requests take the array fold, and those longer than ``array_limit`` an
+O((n + e) log n) heap in a pandas UDF instead of the O(n^3) fold.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from .. import fixed
 from ..functions.text import fixed_digits
-from ..session import cpu_partitions
+from ..session import checkpoint_dir, cpu_partitions
 
 ELEM = "struct<pos:int,task_id:string,task_type:string,priority:int,deps:array<string>>"
-PLAN_SCHEMA = ("request_id {id}, n_rows int, cycle boolean, "
-               f"order_tasks array<{ELEM}>, parallel_requested boolean, has_dependencies boolean")
 
 DEFAULT_ARRAY_LIMIT = 64
 
@@ -55,12 +54,17 @@ def unfold_requests(requests: DataFrame) -> DataFrame:
             .select("request_id", (F.col("p") + 1).cast("int").alias("pos"), "t.*"))
 
 
-def _order_fold(tasks: Column, ids: Column | None = None) -> Column:
-    """The ordering rule as a fold over ``sequence(1, n)`` on a sorted array.
+def _in_order(tasks: Column, ids: Column) -> Column:
+    """True where the list is its own order, exactly: with unique ids and every
+    dependency listed before its task, task i is always the first ready one at
+    step i, so the rule returns the list unchanged and no cycle."""
+    return (F.size(F.array_distinct(ids)) == F.size(tasks)) & F.forall(
+        F.transform(tasks, lambda x, i: F.struct(x["deps"].alias("deps"), i.alias("i"))),
+        lambda y: F.forall(y["deps"], lambda d: F.array_position(ids, d).between(1, y["i"])))
 
-    ``ids`` (the task ids in list order) may be passed as a column so the
-    lambdas below read it instead of rebuilding it.
-    """
+
+def _order_fold(tasks: Column) -> Column:
+    """The ordering rule as a fold over ``sequence(1, n)`` on a sorted array: ``struct(order, cycle)``."""
     n = F.size(tasks)
     init = F.struct(F.array().cast("array<string>").alias("taken"),
                     F.array().cast(f"array<{ELEM}>").alias("order"),
@@ -88,67 +92,50 @@ def _order_fold(tasks: Column, ids: Column | None = None) -> Column:
         moved = F.aggregate(F.array(first_ready), acc, advance)
         return F.when(acc["done"] | (F.size(acc["order"]) >= n), acc).otherwise(moved)
 
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), init, step)
-    # Fast path, exact: with unique ids and every dependency listed before
-    # its task, task i is always the first ready one at step i, so the rule
-    # returns the list unchanged and no cycle.
-    if ids is None:
-        ids = F.transform(tasks, lambda x: x["task_id"])
-    in_order = (F.size(F.array_distinct(ids)) == n) & F.forall(
-        F.transform(tasks, lambda x, i: F.struct(x["deps"].alias("deps"), i.alias("i"))),
-        lambda y: F.forall(y["deps"], lambda d: F.array_position(ids, d).between(1, y["i"])))
-    listed = F.struct(F.array().cast("array<string>").alias("taken"), tasks.alias("order"),
-                      F.lit(True).alias("done"), F.lit(False).alias("cycle"))
-    return F.when(in_order, listed).otherwise(folded)
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), init, step,
+                       lambda acc: F.struct(acc["order"].alias("order"), acc["cycle"].alias("cycle")))
 
 
-def _order_heap(batches):
-    """Large requests: same rule with a min-heap of ready positions."""
+def _order_heap(rows: list) -> tuple[list, bool]:
+    """The same rule for a large request, with a min-heap of ready positions."""
     import heapq
 
-    import pandas as pd
-
-    for pdf in batches:
-        out = []
-        for rid, tasks, par, has_deps in zip(pdf["request_id"], pdf["tasks"], pdf["parallel_requested"],
-                                             pdf["has_dependencies"]):
-            rows = sorted(tasks, key=lambda r: r["pos"])
-            waiting = []           # unmet dependency count per row
-            dependants: dict[str, set[int]] = {}
-            for i, r in enumerate(rows):
-                deps = list(r["deps"]) if r["deps"] is not None else []
-                waiting.append(len(deps))
-                for d in deps:
-                    dependants.setdefault(d, set()).add(i)
-            heap = [i for i, w in enumerate(waiting) if w == 0]
-            heapq.heapify(heap)
-            taken: set[str] = set()
-            order = []
-            cycle = False
-            while len(order) < len(rows):
-                pick = None
-                while heap:
-                    i = heapq.heappop(heap)
-                    if rows[i]["task_id"] not in taken:
-                        pick = i
-                        break
-                if pick is None:
-                    cycle = True
-                    order.extend(r for r in rows if r["task_id"] not in taken)
-                    break
-                tid = rows[pick]["task_id"]
-                taken.add(tid)
-                order.append(rows[pick])
-                for j in sorted(dependants.get(tid, ())):
-                    # a dependency is met once, when its id is first taken
-                    waiting[j] -= sum(1 for d in rows[j]["deps"] if d == tid)
-                    if waiting[j] == 0:
-                        heapq.heappush(heap, j)
-            out.append((rid, len(rows), cycle,
-                        [{k: r[k] for k in ("pos", "task_id", "task_type", "priority", "deps")} for r in order],
-                        par, has_deps))
-        yield pd.DataFrame(out, columns=["request_id", "n_rows", "cycle", "order_tasks",
-                                         "parallel_requested", "has_dependencies"])
+    waiting = []           # unmet dependency count per row
+    dependants: dict[str, set[int]] = {}
+    for i, r in enumerate(rows):
+        deps = list(r["deps"]) if r["deps"] is not None else []
+        waiting.append(len(deps))
+        for d in deps:
+            dependants.setdefault(d, set()).add(i)
+    heap = [i for i, w in enumerate(waiting) if w == 0]
+    heapq.heapify(heap)
+    taken: set[str] = set()
+    order = []
+    while len(order) < len(rows):
+        while heap and rows[heap[0]]["task_id"] in taken:
+            heapq.heappop(heap)
+        if not heap:
+            return order + [r for r in rows if r["task_id"] not in taken], True
+        pick = rows[heapq.heappop(heap)]
+        taken.add(pick["task_id"])
+        order.append(pick)
+        for j in sorted(dependants.get(pick["task_id"], ())):
+            # a dependency is met once, when its id is first taken
+            waiting[j] -= sum(1 for d in rows[j]["deps"] if d == pick["task_id"])
+            if waiting[j] == 0:
+                heapq.heappush(heap, j)
+    return order, False
+
+
+def _large_order(tasks: Column) -> Column:
+    """``struct(order, cycle)`` of the requests that are not null, by the heap."""
+    @F.pandas_udf(f"order array<{ELEM}>, cycle boolean")
+    def heap(lists: pd.Series) -> pd.DataFrame:
+        found = [(None, None) if rows is None else _order_heap(list(rows)) for rows in lists]
+        return pd.DataFrame({"order": [o for o, _ in found], "cycle": pd.Series([c for _, c in found], dtype=object)})
+
+    # kept out of the expressions that read its result, where it could not be evaluated
+    return heap.asNondeterministic()(tasks)
 
 
 def plan_requests(tasks: DataFrame, array_limit: int = DEFAULT_ARRAY_LIMIT) -> DataFrame:
@@ -156,7 +143,9 @@ def plan_requests(tasks: DataFrame, array_limit: int = DEFAULT_ARRAY_LIMIT) -> D
 
     Columns: request_id, n_rows (all listed rows), cycle, order_tasks (array of
     task structs in dependency order), parallel_requested, has_dependencies
-    (any listed row has a dependency).
+    (any listed row has a dependency). Requests of more than ``array_limit``
+    rows that are not listed in order go through the heap, which sees null for
+    all others: one aggregation, whatever the sizes.
     """
     # Explicit hash partitioning on the request: the groupBy reuses it (on a
     # stored table it replaces the aggregate's own exchange), and the
@@ -168,18 +157,15 @@ def plan_requests(tasks: DataFrame, array_limit: int = DEFAULT_ARRAY_LIMIT) -> D
         .alias("tasks"),
         F.bool_and("parallel_requested").alias("parallel_requested"),
         F.bool_or(F.size("deps") > 0).alias("has_dependencies"))
-    small = grouped.where(F.size("tasks") <= array_limit)
-    folded = (small.withColumn("_ids", F.transform("tasks", lambda x: x["task_id"]))
-              .select("request_id", F.size("tasks").alias("n_rows"),
-                      _order_fold(F.col("tasks"), F.col("_ids")).alias("f"), "parallel_requested",
-                      "has_dependencies"))
-    small_plan = folded.select("request_id", F.col("n_rows").cast("int").alias("n_rows"),
-                               F.col("f.cycle").alias("cycle"),
-                               F.col("f.order").alias("order_tasks"), "parallel_requested",
-                               "has_dependencies")
-    large_plan = grouped.where(F.size("tasks") > array_limit).mapInPandas(
-        _order_heap, PLAN_SCHEMA.format(id=grouped.schema["request_id"].dataType.simpleString()))
-    return small_plan.unionByName(large_plan)
+    listed = grouped.withColumn("_ids", F.transform("tasks", lambda x: x["task_id"]))
+    listed = listed.withColumn("_listed", _in_order(F.col("tasks"), F.col("_ids")))
+    large = (F.size("tasks") > array_limit) & ~F.col("_listed")
+    sent = listed.withColumn("_heap", _large_order(F.when(large, F.col("tasks"))))
+    fold = F.when(F.col("_listed"), F.struct(F.col("tasks").alias("order"), F.lit(False).alias("cycle"))).when(
+        F.col("_heap.order").isNull(), _order_fold(F.col("tasks"))).otherwise(F.col("_heap"))
+    planned = sent.withColumn("f", fold)
+    return planned.select("request_id", F.size("tasks").cast("int").alias("n_rows"), F.col("f.cycle").alias("cycle"),
+                          F.col("f.order").alias("order_tasks"), "parallel_requested", "has_dependencies")
 
 
 def with_priority_order(plan: DataFrame) -> DataFrame:
@@ -254,7 +240,7 @@ def unknown_task_types(tasks: DataFrame) -> DataFrame:
     bad = ~F.col("task_type").isin(*fixed.TASK_TYPES)
     return tasks.where(bad).select(
         "request_id", "pos", "task_id", "task_type", F.lit("failed").alias("status"),
-        F.concat(F.lit("Unknown task type: "), F.col("task_type")).alias("error"))
+        F.concat(F.lit(fixed.UNKNOWN_TASK), F.col("task_type")).alias("error"))
 
 
 def pending_tasks(queue: DataFrame, acks: DataFrame, keys=("request_id", "pos")) -> DataFrame:
@@ -266,45 +252,84 @@ def pending_tasks(queue: DataFrame, acks: DataFrame, keys=("request_id", "pos"))
     return queue.join(acks.select(*keys).distinct(), on=list(keys), how="left_anti")
 
 
-def task_results(plan: DataFrame) -> DataFrame:
-    """Outcome of each ordered task without calling a model: unknown types
-    fail with the registry message; known types complete. The time is a
-    deterministic stand-in (100 ms per priority level plus the list place)."""
-    p = plan if "exec_tasks" in plan.columns else with_priority_order(plan)
-
-    def outcome(x):
-        known = x["task_type"].isin(*fixed.TASK_TYPES)
-        return F.struct(
-            x["exec_ord"].alias("exec_ord"), x["pos"].alias("pos"), x["task_id"].alias("task_id"),
-            F.when(known, F.lit("completed")).otherwise(F.lit("failed")).alias("status"),
-            F.when(known, F.concat(F.lit("done: "), x["task_type"])).alias("result"),
-            F.when(~known, F.concat(F.lit("Unknown task type: "), x["task_type"])).alias("error"),
-            (x["priority"] * 100.0 + x["pos"]).alias("execution_time_ms"))
-
-    return p.withColumn("results", F.transform("exec_tasks", outcome))
+def orchestrate(tasks: DataFrame, providers, agents=None, timed: bool = True):
+    """Run orchestration requests through the agent job.
 
+    ``tasks`` are task rows with the inputs of their run: code, language,
+    error_message, analysis_type, doc_type, style, and session_id (equal within
+    a request). Returns ``(results, histories, executions)``: a result row for
+    each ordered task in its place, and the history and execution rows of the
+    agents' own runs. A task of an unknown type fails with the registry
+    message. As in the service a task gets its own inputs only, never another
+    task's output, and no failure keeps another task from running: order is the
+    order of the results, and all tasks of all requests run in one pass. Times
+    are measured; ``timed=False`` gives 0.0, for results that reruns repeat.
 
-def orchestration_rollup(plan: DataFrame) -> DataFrame:
+    The ordered tasks and the replies are checkpointed, so all rows agree.
+    """
+    from .inference import INPUT_COLUMNS, agent_job, default_agents
+
+    agents = agents or default_agents()
+    checkpoint_dir(tasks.sparkSession)
+    ordered = with_priority_order(plan_requests(tasks)).select(
+        "request_id", "n_rows", "parallel_requested", F.explode("exec_tasks").alias("t")).select(
+        "request_id", "n_rows", "parallel_requested", "t.exec_ord", "t.pos", "t.task_id", "t.task_type")
+    inputs = tasks.select("request_id", F.col("pos").cast("int").alias("pos"), "session_id", *[c for c in INPUT_COLUMNS if c != "agent_type"])
+    run = ordered.join(inputs, ["request_id", "pos"]).checkpoint()
+    responses, histories, executions = agent_job(
+        run.select(F.struct("request_id", "pos").alias("request_id"), "session_id", F.col("task_type").alias("agent_type"),
+                   *[c for c in INPUT_COLUMNS if c != "agent_type"]), providers, agents=agents)
+    known = F.coalesce(F.col("task_type").isin(*agents), F.lit(False))
+    answered = responses.select(F.col("request_id.request_id").alias("request_id"), F.col("request_id.pos").alias("pos"),
+                                "success", "result", "error", "execution_time_ms")
+    results = run.join(answered, ["request_id", "pos"]).select(
+        "request_id", "session_id", "n_rows", "parallel_requested", "exec_ord", "pos", "task_id", "task_type",
+        F.when(F.col("success"), F.lit("completed")).otherwise(F.lit("failed")).alias("status"), "result",
+        F.when(known, F.col("error")).otherwise(F.concat(F.lit(fixed.UNKNOWN_TASK), F.coalesce("task_type", F.lit("None")))).alias("error"),
+        (F.col("execution_time_ms") if timed else F.lit(0.0)).alias("execution_time_ms"))
+    return results, histories, executions
+
+
+def orchestration_rollup(results: DataFrame) -> DataFrame:
     """Per request totals, overall status and the summary text.
 
-    Reads the per-request ``results`` array (in execution order), so the
-    roll-up adds no shuffle. ``pseudo_tokens`` is the sum of time // 10.
+    ``results`` are the rows of ``orchestrate``. ``pseudo_tokens`` is the sum
+    of time // 10. One grouped aggregate; the summary takes the results in
+    execution order.
     """
-    p = plan if "results" in plan.columns else task_results(plan)
-    r = F.col("results")
-    summary = F.array_join(F.transform(r, lambda x, i: F.concat(
-        F.lit("### Task "), (i + 1).cast("string"), F.lit(": "), x["task_id"],
-        F.lit("\nStatus: "), x["status"],
-        F.lit("\nTime: "), fixed_digits(x["execution_time_ms"], 2), F.lit("ms"),
-        F.lit("\nResult:\n"), F.coalesce(x["result"], x["error"], F.lit("None")))), "\n\n")
-    completed = F.size(F.filter(r, lambda x: x["status"] == "completed"))
-    failed = F.size(F.filter(r, lambda x: x["status"] == "failed"))
-    success = F.forall(r, lambda x: x["status"] == "completed")
-    return p.select(
-        "request_id", F.col("n_rows").alias("total_tasks"),
-        completed.cast("int").alias("completed"), failed.cast("int").alias("failed"),
-        success.alias("success"),
-        F.when(success, F.lit("completed")).otherwise(F.lit("partial")).alias("status"),
-        F.aggregate(r, F.lit(0.0), lambda a, x: a + x["execution_time_ms"]).alias("total_time_ms"),
-        F.aggregate(r, F.lit(0.0), lambda a, x: a + F.floor(x["execution_time_ms"] / 10)).alias("pseudo_tokens"),
-        summary.alias("summary"))
+    text = F.concat(
+        F.lit("### Task "), F.col("exec_ord").cast("string"), F.lit(": "), F.col("task_id"),
+        F.lit("\nStatus: "), F.col("status"),
+        F.lit("\nTime: "), fixed_digits(F.col("execution_time_ms"), 2), F.lit("ms"),
+        F.lit("\nResult:\n"), F.coalesce(F.nullif(F.col("result"), F.lit("")), F.col("error"), F.lit("None")))
+    ok = F.col("status") == "completed"
+    per = results.groupBy("request_id").agg(
+        F.max("n_rows").alias("total_tasks"), F.count_if(ok).cast("int").alias("completed"), F.count_if(F.col("status") == "failed").cast("int").alias("failed"),
+        F.bool_and(ok).alias("success"), F.sum("execution_time_ms").alias("total_time_ms"),
+        F.sum(F.floor(F.col("execution_time_ms") / 10)).cast("double").alias("pseudo_tokens"),
+        F.sort_array(F.collect_list(F.struct("exec_ord", text.alias("text")))).alias("_texts"),
+        F.min("session_id").alias("session_id"), F.bool_and("parallel_requested").alias("parallel"))
+    return per.select(
+        "request_id", "session_id", "parallel", "total_tasks", "completed", "failed", "success",
+        F.when(F.col("success"), F.lit("completed")).otherwise(F.lit("partial")).alias("status"),
+        "total_time_ms", "pseudo_tokens",
+        F.array_join(F.transform("_texts", lambda x: x["text"]), "\n\n").alias("summary"))
+
+
+def orchestration_log(rollup: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One history row and one execution row a request, from C3's rows."""
+    count = F.col("total_tasks").cast("string")
+
+    def said(template: str) -> Column:
+        before, after = template.split("{}")
+        return F.concat(F.lit(before), count, F.lit(after))
+
+    history = rollup.select(
+        "session_id", said(fixed.ORCHESTRATION_MESSAGE).alias("user_message"), F.col("summary").alias("agent_response"),
+        F.lit("orchestrator").alias("agent_type"),
+        F.to_json(F.struct("total_tasks", "completed", "failed", "parallel")).alias("metadata_json"))
+    executions = rollup.select(
+        "session_id", F.lit("orchestrator").alias("agent_type"), said(fixed.ORCHESTRATION_TASK).alias("task_description"), "status",
+        F.substring("summary", 1, fixed.RESULT_PREFIX_CHARS).alias("result"), F.col("total_time_ms").alias("execution_time_ms"),
+        F.col("pseudo_tokens").cast("bigint").alias("tokens_used"))
+    return history, executions

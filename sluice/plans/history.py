@@ -57,7 +57,7 @@ def usage_by_dimension(t):
 
 
 @query("conversation_history", ("history",), f"""
-SELECT id, session_id, user_message, agent_response, agent_type, created_at
+SELECT id, session_id, user_message, agent_response, agent_type, created_at, '{{}}' AS metadata_json
 FROM history WHERE session_id = '{SESSION}'
 ORDER BY created_at DESC, id DESC LIMIT 50""")
 def conversation_history(t):
@@ -70,7 +70,7 @@ _ISO_SQL = """CASE WHEN strftime(created_at, '%f') = '000000'
 
 
 @query("execution_history", ("executions",), f"""
-SELECT id, session_id, agent_type, status, execution_time_ms, tokens_used, model_used,
+SELECT id, session_id, agent_type, CAST(NULL AS VARCHAR) AS task_description, status, execution_time_ms, tokens_used, model_used,
   {_ISO_SQL} AS created_at
 FROM (SELECT * FROM executions WHERE agent_type = 'debugger' AND status = 'completed'
       ORDER BY created_at DESC, id DESC LIMIT 50) q""")
@@ -80,7 +80,7 @@ def execution_history(t):
 
 @query("latest_per_session", ("history",), """
 SELECT * FROM (
-  SELECT id, session_id, user_message, agent_response, agent_type, created_at,
+  SELECT id, session_id, user_message, agent_response, agent_type, created_at, '{}' AS metadata_json,
     CAST(ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY created_at DESC, id DESC) AS INT) AS rn
   FROM history) q
 WHERE rn <= 3""")

@@ -174,15 +174,16 @@ def docs_prompts(t):
 # Every agent request with its prompt, and what the run learned about its code as JSON members.
 _METRIC_NAMES = re.findall(r"AS (\w+),?$", _METRICS_SQL, re.M)
 _METRICS_JSON = " || ',' || ".join(f"'\"{n}\":' || CAST({'avg_length' if n == 'average_line_length' else n} AS VARCHAR)" for n in _METRIC_NAMES)
-_ALL_PROMPTS = _REQUESTS_CTE.rstrip() + f""",
-prompted AS (
-  (WITH {_CHAT_CORPUS.format(intent="debug")}, {_bracket_cte()}, {_PATTERN_HITS}, {_FINDINGS_LIST}
+def prompted_sql(corpus) -> str:
+    """CTE ``prompted(message_id, agent_type, prompt, details)``; ``corpus(intent)`` defines the code each agent sees."""
+    return f"""prompted AS (
+  (WITH {corpus("debug")}, {_bracket_cte()}, {_PATTERN_HITS}, {_FINDINGS_LIST}
    SELECT c.file_id AS message_id, 'debugger' AS agent_type, {_DEBUG_PROMPT_SQL} AS prompt,
      CASE WHEN c.error_message IS NULL THEN '' ELSE ',"error_message":' || CAST(to_json(c.error_message) AS VARCHAR) END
        || ',"syntax_errors_found":' || CAST(COALESCE(fl.n, 0) AS VARCHAR) AS details
    FROM corpus c LEFT JOIN flist fl USING (file_id))
   UNION ALL
-  (WITH {_CHAT_CORPUS.format(intent="analyze")}, {_fn_ctes()},
+  (WITH {corpus("analyze")}, {_fn_ctes()},
    measured AS (
      SELECT c.*, nf.n, (length(code) - (len(ls) - 1)) / len(ls) AS avg_length, {_METRICS_SQL}
      FROM (SELECT *, string_split(code, chr(10)) AS ls FROM corpus) c
@@ -191,10 +192,14 @@ prompted AS (
      ',"analysis_type":' || CAST(to_json({_ATYPE}) AS VARCHAR) || ',"quality_metrics":{{' || {_METRICS_JSON} || '}}'
    FROM measured c)
   UNION ALL
-  (WITH {_CHAT_CORPUS.format(intent="docs")}
+  (WITH {corpus("docs")}
    SELECT c.file_id, 'docs_generator', {_DOCS_PROMPT_SQL},
      ',"doc_type":' || CAST(to_json({_DTYPE}) AS VARCHAR) || ',"style":' || CAST(to_json({_STYLE}) AS VARCHAR)
-   FROM corpus c)),
+   FROM corpus c))"""
+
+
+_ALL_PROMPTS = _REQUESTS_CTE.rstrip() + f""",
+{prompted_sql(lambda intent: _CHAT_CORPUS.format(intent=intent))},
 answered AS (
   SELECT message_id AS request_id, agent_type, prompt, details, {provider_sql("prompt")} AS provider, {reply_sql("prompt")} AS reply
   FROM prompted)

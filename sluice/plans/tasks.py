@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..operators import tasks as G
+from .prompts import prompted_sql
 from .registry import query
+from .stubs import reply_sql, stub_providers
 
 _KNOWN = "(" + ", ".join(f"'{t}'" for t in fixed.TASK_TYPES) + ")"
 
@@ -39,15 +41,8 @@ g2 AS (
   FROM (SELECT f.request_id, f.cycle, unnest(f.picked) AS pos, generate_subscripts(f.picked, 1) AS ord FROM final f) o
   JOIN t ON t.request_id = o.request_id AND t.pos = o.pos),
 g3 AS (
-  SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY request_id ORDER BY priority DESC, ord) AS INT) AS exec_ord FROM g2),
-res AS (
-  SELECT request_id, exec_ord, pos, task_id,
-    CASE WHEN task_type IN {known} THEN 'completed' ELSE 'failed' END AS status,
-    CASE WHEN task_type IN {known} THEN 'done: ' || task_type END AS result,
-    CASE WHEN task_type NOT IN {known} THEN 'Unknown task type: ' || task_type END AS error,
-    CAST(priority * 100 + pos AS DOUBLE) AS execution_time_ms
-  FROM g3)
-""".format(known=_KNOWN)
+  SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY request_id ORDER BY priority DESC, ord) AS INT) AS exec_ord FROM g2)
+"""
 
 
 def plan(t):
@@ -103,34 +98,64 @@ def unknown_task_types(t):
     return G.unknown_task_types(t.tasks)
 
 
-@query("pending_tasks", ("tasks",), WALK_CTES + """
+# Every task's run: its file through the agent of its type, with the stub providers' replies.
+_FILE_CORPUS = """corpus AS (
+  SELECT DISTINCT file_id, code, language, CAST(NULL AS VARCHAR) AS error_message, CAST(NULL AS VARCHAR) AS analysis_type,
+    CAST(NULL AS VARCHAR) AS doc_type, CAST(NULL AS VARCHAR) AS style FROM task_inputs WHERE code IS NOT NULL)"""
+RUN_CTES = WALK_CTES.rstrip() + f""",
+{prompted_sql(lambda intent: _FILE_CORPUS)},
+res AS (
+  SELECT g.request_id, g.exec_ord, g.pos, g.task_id, i.session_id,
+    CASE WHEN g.task_type IN {_KNOWN} AND i.code IS NOT NULL THEN 'completed' ELSE 'failed' END AS status,
+    CASE WHEN g.task_type IN {_KNOWN} THEN {reply_sql("p.prompt")} END AS result,
+    CASE WHEN g.task_type NOT IN {_KNOWN} THEN 'Unknown task type: ' || g.task_type WHEN i.code IS NULL THEN 'No code provided' END AS error
+  FROM g3 g JOIN task_inputs i ON i.request_id = g.request_id AND i.pos = g.pos
+  LEFT JOIN prompted p ON p.message_id = i.file_id AND p.agent_type = g.task_type AND i.code IS NOT NULL),
+roll AS (
+  SELECT r.request_id, MIN(r.session_id) AS session_id, MIN(sz.n) AS total_tasks,
+    CAST(COALESCE(count_if(status = 'completed'), 0) AS INT) AS completed,
+    CAST(COALESCE(count_if(status = 'failed'), 0) AS INT) AS failed,
+    bool_and(status = 'completed') AS success, 0.0::DOUBLE AS total_time_ms, 0.0::DOUBLE AS pseudo_tokens,
+    string_agg('### Task ' || CAST(exec_ord AS VARCHAR) || ': ' || task_id || chr(10) || 'Status: ' || status || chr(10)
+      || 'Time: 0.00ms' || chr(10) || 'Result:' || chr(10) || COALESCE(result, error, 'None'), chr(10) || chr(10) ORDER BY exec_ord) AS summary
+  FROM res r JOIN sz ON sz.request_id = r.request_id
+  GROUP BY r.request_id)
+"""
+
+
+def orchestrated(t):
+    """Result rows of every request: tasks on their files, stub providers, times left out so that reruns agree."""
+    inputs = t.task_inputs.select("request_id", "pos", "session_id", "code", "language",
+                                  *[F.lit(None).cast("string").alias(c) for c in ("error_message", "analysis_type", "doc_type", "style")])
+    results, _histories, _executions = G.orchestrate(t.tasks.join(inputs, ["request_id", "pos"]), stub_providers(), timed=False)
+    return results
+
+
+@query("pending_tasks", ("tasks", "task_inputs"), RUN_CTES + """
 SELECT q.request_id, q.pos, q.task_id, q.task_type FROM t q
 WHERE NOT EXISTS (SELECT 1 FROM res r WHERE r.request_id = q.request_id AND r.pos = q.pos AND r.status = 'completed')""")
 def pending_tasks(t):
     """Queued task rows with no successful run (failed or never run)."""
-    results = G.task_results(plan(t))
-    acks = (results.select("request_id", F.explode("results").alias("r"))
-            .where(F.col("r.status") == "completed")
-            .select("request_id", "r.pos"))
+    acks = orchestrated(t).where("status = 'completed'").select("request_id", "pos")
     queue = t.tasks.select("request_id", "pos", "task_id", "task_type")
     return G.pending_tasks(queue, acks)
 
 
-@query("orchestration_rollup", ("tasks",), WALK_CTES + """
-SELECT request_id, total_tasks, completed, failed, success,
-  CASE WHEN success THEN 'completed' ELSE 'partial' END AS status,
-  total_time_ms, pseudo_tokens, summary
-FROM (
-  SELECT r.request_id, MIN(sz.n) AS total_tasks,
-    CAST(COALESCE(count_if(status = 'completed'), 0) AS INT) AS completed,
-    CAST(COALESCE(count_if(status = 'failed'), 0) AS INT) AS failed,
-    bool_and(status = 'completed') AS success,
-    SUM(execution_time_ms) AS total_time_ms,
-    SUM(floor(execution_time_ms / 10)) AS pseudo_tokens,
-    string_agg('### Task ' || CAST(exec_ord AS VARCHAR) || ': ' || task_id || chr(10) || 'Status: ' || status || chr(10)
-      || 'Time: ' || printf('%.2f', floor(execution_time_ms * 100 + 0.5) / 100) || 'ms' || chr(10)
-      || 'Result:' || chr(10) || COALESCE(result, error, 'None'), chr(10) || chr(10) ORDER BY exec_ord) AS summary
-  FROM res r JOIN sz ON sz.request_id = r.request_id
-  GROUP BY r.request_id) q""")
+@query("orchestration_rollup", ("tasks", "task_inputs"), RUN_CTES + """
+SELECT request_id, session_id, true AS parallel, total_tasks, completed, failed, success,
+  CASE WHEN success THEN 'completed' ELSE 'partial' END AS status, total_time_ms, pseudo_tokens, summary
+FROM roll""")
 def orchestration_rollup(t):
-    return G.orchestration_rollup(plan(t))
+    return G.orchestration_rollup(orchestrated(t))
+
+
+@query("orchestration_log", ("tasks", "task_inputs"), RUN_CTES + """
+SELECT session_id, 'Execute ' || CAST(total_tasks AS VARCHAR) || ' tasks' AS user_message, summary AS agent_response, 'orchestrator' AS agent_type,
+  '{"total_tasks":' || CAST(total_tasks AS VARCHAR) || ',"completed":' || CAST(completed AS VARCHAR) || ',"failed":' || CAST(failed AS VARCHAR) || ',"parallel":true}' AS metadata_json,
+  'Execute ' || CAST(total_tasks AS VARCHAR) || ' tasks orchestration' AS task_description, CASE WHEN success THEN 'completed' ELSE 'partial' END AS status,
+  substring(summary, 1, 500) AS result, CAST(0 AS BIGINT) AS tokens_used
+FROM roll""")
+def orchestration_log(t):
+    """The history row and the execution row of each request, side by side."""
+    history, executions = G.orchestration_log(G.orchestration_rollup(orchestrated(t)))
+    return history.join(executions.drop("agent_type", "execution_time_ms"), "session_id")

@@ -75,6 +75,17 @@ FROM (
 """
 VIEW_INPUTS["tasks"] = ("lineitem",)
 
+# What each orchestrated task works on: the source file of its part; every tenth file comes without its code.
+VIEW_SQL["task_inputs"] = """
+SELECT a.request_id, a.pos, 'order-' || CAST(a.request_id AS STRING) AS session_id, a.file_id,
+  CASE WHEN a.file_id % 10 = 9 THEN NULL ELSE f.code END AS code,
+  CASE a.file_id % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'javascript' WHEN 2 THEN 'java' WHEN 3 THEN 'typescript' ELSE 'unknown' END AS language
+FROM (SELECT l_orderkey AS request_id, l_partkey AS file_id,
+    CAST(ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INT) AS pos FROM {lineitem}) a
+  LEFT JOIN {code_files} f ON f.file_id = a.file_id
+"""
+VIEW_INPUTS["task_inputs"] = ("lineitem", "code_files")
+
 VIEW_SQL["chat_messages"] = """
 SELECT e.event_id AS message_id, 'user-' || CAST(e.user_id AS STRING) AS session_id, e.ts AS created_at,
   CASE e.event_type WHEN 'error' THEN 'Please debug this' WHEN 'view' THEN 'Review for ' || CASE WHEN e.event_id % 3 = 0 THEN 'security' WHEN e.event_id % 3 = 1 THEN 'performance' ELSE 'style' END
