@@ -5,9 +5,9 @@ split into pieces by the pattern; neighbours are joined by splitting again from
 the last piece on the left that cannot change until a piece start on the right
 is met again. A long piece is halved down to short byte runs; neighbours are
 joined by encoding a growing window around the seam until the tokens at the
-window's edges are unaffected by their outer neighbours. Decoding does not go
-up a tree: concatenation is associative, so one flat join over the ids stands
-in for it, with the same bytes.
+window's edges are unaffected by their outer neighbours. Decoding goes up the
+same kind of tree: runs of ids become bytes, and neighbours are concatenated
+level by level.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from .common import slices, values
 
 LEAF_CHARS = 1 << 14
 LEAF_BYTES = 48
+LEAF_IDS = 4096
 #: The longest look ahead of an alternative that is fixed text, in characters.
 LOOK_AHEAD = 3
 _CACHE = 100_000
@@ -164,8 +165,11 @@ class Codec:
         return out
 
     def decode(self, ids) -> bytes:
-        """Bytes of a row of ids: concatenation is associative, so one join does the tree."""
-        return b"".join(map(self.piece.__getitem__, ids))
+        """Bytes of a row of ids, up a tree: runs of ``LEAF_IDS`` ids are joined, then neighbours, level by level."""
+        level = [b"".join(map(self.piece.__getitem__, ids[at:at + LEAF_IDS])) for at in range(0, len(ids), LEAF_IDS)]
+        while len(level) > 1:
+            level = [b"".join(level[at:at + 2]) for at in range(0, len(level), 2)]
+        return level[0] if level else b""
 
 
 @lru_cache(maxsize=4)

@@ -23,6 +23,8 @@ SAMPLE_PER_LANGUAGE = 600
 #: Profiles are held by every task; more labels than this are refused.
 MAX_LANGUAGES = 2000
 UNKNOWN = "und"
+#: How far below the median a text of a language may score, in distances from the median to the lowest tenth; texts that tell it.
+SPREAD, LEAST_TEXTS = 6.0, 20
 _BLOCK = 1 << 18
 
 
@@ -102,6 +104,19 @@ class Profiles:
         return self.languages[best], float(1 - distance[best] / (self.size * len(own)))
 
 
+def draw(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame | None:
+    """``lang, text`` of about ``per_language`` different texts of each label, chosen by hash; None without any."""
+    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
+    different = rows.select("lang", F.xxhash64("text").alias("mark")).distinct()
+    totals = {r["lang"]: r["n"] for r in different.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(totals) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    if not totals:
+        return None
+    share = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, min(1.0, per_language / n))])
+    return distinct_texts(rows.filter(share_of(F.xxhash64("text", "lang"), share[F.col("lang")])), "lang")
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE_SIZE,
           per_language: int = SAMPLE_PER_LANGUAGE) -> Profiles:
     """Learn one profile per non-null value of ``lang``.
@@ -112,15 +127,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = P
     profile. Rows with a null text or language are ignored; no rows at all
     give profiles without languages, which classify everything as ``und``.
     """
-    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
-    different = rows.select("lang", F.xxhash64("text").alias("mark")).distinct()
-    totals = {r["lang"]: r["n"] for r in different.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(totals) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not totals:
+    sample = draw(docs, text, lang, per_language)
+    if sample is None:
         return Profiles((), np.empty(0, np.int64), np.empty((0, 0), np.int64), size)
-    share = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, min(1.0, per_language / n))])
-    sample = distinct_texts(rows.filter(share_of(F.xxhash64("text", "lang"), share[F.col("lang")])), "lang")
 
     def count(batches):
         for batch in batches:
@@ -145,6 +154,30 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = P
     return Profiles(languages, grams, rank, size)
 
 
+def length_class(text: Column) -> Column:
+    """Texts of one class differ by a factor of two in length."""
+    return F.floor(F.log2(F.greatest(F.length(text), F.lit(1)))).cast("int")
+
+
+def least_scores(docs: DataFrame, profiles: Profiles, text: str = "text", lang: str = "lang",
+                 per_language: int = SAMPLE_PER_LANGUAGE) -> dict[tuple[str, int], float]:
+    """By predicted language and length class, the score below which a text is none of that language.
+
+    Scores are comparable within one script and length only, so the bound comes
+    from labelled texts of the class: as far below their median as ``SPREAD``
+    times the distance of their lowest tenth. Labelled texts that are noise
+    themselves don't move a median. Classes of fewer than ``LEAST_TEXTS`` texts
+    get no bound. At most (languages x some 30 classes) rows reach the driver.
+    """
+    sample = draw(docs, text, lang, per_language)
+    if sample is None:
+        return {}
+    scored = sample.select(identify(F.col("text"), profiles).alias("found"), length_class(F.col("text")).alias("size")).select("found.lang", "found.score", "size")
+    at = F.percentile("score", F.array(F.lit(0.1), F.lit(0.5)))
+    rows = scored.filter(F.col("lang") != UNKNOWN).groupBy("lang", "size").agg(at.alias("at"), F.count("*").alias("n")).filter(F.col("n") >= LEAST_TEXTS).collect()
+    return {(r["lang"], r["size"]): r["at"][1] - SPREAD * (r["at"][1] - r["at"][0]) for r in rows}
+
+
 def identify(text: Column, profiles: Profiles) -> Column:
     """Struct ``(lang, score)`` of each whole text.
 

@@ -20,15 +20,16 @@ WEIGHTS = (5, 2, 1)
 SHARE, REPEATS = 1.5, 2
 _BITS, _DIGIT = 48, 12
 #: Rows of a source's last histogram bin that one task sorts.
-SORTED = 50_000
+SORTED = 5_000
 
 
-def key(doc_id: Column, text: Column, weight: Column) -> tuple[Column, Column]:
+def key(doc_id: Column, text: Column, weight: Column, again: Column | None = None) -> tuple[Column, Column]:
     """Order of the draw: a key of 48 bits, and a hash for ties.
 
     -ln(u)/w is exponential; a fixed rising function of it makes it a long.
+    ``again`` tells rows that repeat with id and text apart; null for others.
     """
-    ident = (doc_id.cast("string"), F.coalesce(text, F.lit("")))
+    ident = (doc_id.cast("string"), F.coalesce(text, F.lit("")), *([] if again is None else [again]))
     u = (F.pmod(F.xxhash64(F.lit("draw"), *ident), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
     draw = -F.log(u) / F.greatest(weight, F.lit(1e-6))
     return F.floor((draw / (draw + 1)) * float((1 << _BITS) - 1)).cast("long"), F.xxhash64(F.lit("tie"), *ident)
@@ -78,7 +79,7 @@ def _cuts(rows: DataFrame, budgets: DataFrame) -> DataFrame:
             heavy = None
         ready = inside if heavy is None else inside.join(F.broadcast(heavy), "source_id", "left_anti")
         order = Window.partitionBy("source_id").orderBy("key", "tie")
-        # rows equal in key and tie are one document repeated: taken together
+        # rows equal in key and tie (a hash clash) are taken together
         summed = (ready.groupBy("source_id", "key", "tie", "budget").agg(F.sum("size").alias("size"))
                   .withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))))
         done.append(materialize(summed.filter(F.col("upto") - F.col("size") / 2 <= F.col("budget"))
@@ -105,19 +106,42 @@ def _cuts(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return materialize(out, "cuts")
 
 
+def _told_apart(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Column | None]:
+    """``docs`` with a number for rows that repeat with id and text, and that column; as they are if none does.
+
+    Repeats are found by hashes, combined before the shuffle. Where there are
+    some the rows are written once with their row numbers, so that every later
+    reading draws the same.
+    """
+    same = F.xxhash64(F.col(doc_id).cast("string"), F.coalesce(F.col(text), F.lit("")))
+    repeated = docs.select(same.alias("_same")).groupBy("_same").agg(F.count("*").alias("n")).filter("n > 1").select("_same")
+    repeated = materialize(repeated, "repeats")
+    if repeated.isEmpty():
+        return docs, None
+    numbered = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), same.alias("_id"),
+                                       F.monotonically_increasing_id().alias("_number")), "rows")
+    told = numbered.join(repeated, numbered["_id"] == repeated["_same"], "left")
+    return told.select("_row.*", F.when(F.col("_same").isNotNull(), F.col("_number")).alias("_again")), F.col("_again")
+
+
 def mix(docs: DataFrame, size: Column, weight: Column, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``docs`` with a struct column ``mix`` (size, source_size, target, copies, taken).
 
     ``copies`` is how often the mix takes a row: the whole epochs of its
     source, plus 1 if the fractional selection takes it; ``taken`` is copies
-    times size. Reruns agree: draws are hashes of id and text. A null id or
-    text draws like any other value; a row repeated with id and text is taken
-    together with its repeats; rows of size 0 add nothing and follow their
-    key; a source without any words has target 0 and gives nothing. An empty
-    table gives an empty result. ``docs`` must not have a column ``mix``.
+    times size. Reruns agree: draws are hashes of id and text, and of the row's
+    number where both repeat, so that repeated rows are drawn each by itself. A
+    null id or text draws like any other value; rows of size 0 add nothing and
+    follow their key; a source without any words has target 0 and gives
+    nothing. Long texts count whole. An empty table gives an empty result. A
+    column ``mix`` of ``docs`` gives way to the new one; ``size`` and
+    ``weight`` may still use it, ``_again`` is a name of this function's own.
     """
     spark = docs.sparkSession
-    order, tie = key(F.col(doc_id), F.col(text), weight)
+    names = [c for c in docs.columns if c != "mix"]
+    docs, again = _told_apart(docs.select("*", size.alias("_size"), weight.alias("_weight")), doc_id, text)
+    size = F.col("_size")
+    order, tie = key(F.col(doc_id), F.col(text), F.col("_weight"), again)
     slim = materialize(docs.select(F.col(source).alias("source"), order.alias("key"), tie.alias("tie"), size.alias("size")), "draws")
     sizes = {r["source"]: r["n"] for r in slim.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()}
     if len(sizes) > MAX_SOURCES:
@@ -132,7 +156,6 @@ def mix(docs: DataFrame, size: Column, weight: Column, doc_id: str = "doc_id", t
                  plan.filter("budget > 0").select("source_id", "budget"))
     plan = plan.join(cuts, "source_id", "left")
     plan = materialize(plan, "mix-plan")  # MAX_SOURCES rows at most
-    names = docs.columns
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), order.alias("key"), tie.alias("tie"), size.alias("size"), F.col(source).alias("source"))
     joined = inner.join(F.broadcast(plan), inner["source"].eqNullSafe(plan["name"]))
     picked = (F.col("key") < F.col("cut_key")) | ((F.col("key") == F.col("cut_key")) & (F.col("tie") <= F.col("cut_tie")))

@@ -44,14 +44,16 @@ def shard(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str =
     ``size`` is the text's UTF-8 bytes plus 1; a null text counts as empty.
     Shards come out near equal in bytes, tokens and rows. Equal texts share a
     shard unless together they outweigh 1/``BINS_PER_SHARD`` of one, where
-    pieces of the group are dealt by id and text. ``slot`` numbers a shard's
-    rows without gaps from 0; repeated rows and ties get slots of their own. An
-    empty table gives an empty result; other columns are ignored.
+    pieces of the group are dealt by row number, rows that repeat with id and
+    text included. ``slot`` numbers a shard's rows without gaps from 0;
+    repeated rows and ties get slots of their own. Texts are read whole, however
+    long; only their sizes move. An empty table gives an empty result; other
+    columns are ignored.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"),
                        F.crc32(body.cast("binary")).alias("text_crc32"), words(F.col(text)).alias("tokens"),
-                       F.xxhash64(body).alias("text_hash"))
+                       F.xxhash64(body).alias("text_hash"), F.monotonically_increasing_id().alias("row"))
     rows = materialize(rows, "shard-sizes")
     sums = [F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
     total = rows.agg(*sums).first()
@@ -60,25 +62,24 @@ def shard(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str =
     bins = shards * BINS_PER_SHARD
     most = {k: total[k] / bins for k in ("bytes", "tokens", "rows")}
     groups = rows.groupBy("text_hash").agg(*sums)
-    # a group that fills a bin alone, of which there are 3 * bins at most
+    # a group that fills a bin alone: at most 3 * bins of them, as each holds over 1/bins of the bytes, the tokens or the rows
     pieces: Column = F.ceil(F.greatest(*[F.col(k) / max(v, 1) for k, v in most.items()]))
     large = groups.filter(pieces > 1).select("text_hash", pieces.cast("int").alias("pieces"))
-    large = large.withColumn("large", F.row_number().over(Window.orderBy("text_hash")))
-    # at most 3 * bins rows: each holds over 1/bins of the bytes, the tokens or the rows
     dealt = rows.join(F.broadcast(large), "text_hash", "left")
-    piece = F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(1)), F.col("pieces"))
-    dealt = dealt.select("doc_id", "size", "text_crc32", "tokens", "text_hash",
-                         F.coalesce("large", F.lit(0)).alias("part"),
-                         F.coalesce(piece, F.pmod(F.xxhash64("text_hash", F.lit(2)), F.lit(bins))).cast("long").alias("bin"))
+    # a bin is a piece of one large group (alone), or a share of all small ones
+    alone = F.col("pieces").isNotNull()
+    dealt = dealt.select("doc_id", "size", "text_crc32", "tokens", "row", alone.alias("alone"), F.when(alone, F.col("text_hash")).otherwise(0).alias("part"),
+                         F.coalesce(F.pmod(F.xxhash64("row"), F.col("pieces")), F.pmod(F.xxhash64("text_hash", F.lit(2)), F.lit(bins))).cast("long").alias("bin"))
     dealt = materialize(dealt, "shard-bins")
-    items = dealt.groupBy("part", "bin").agg(*sums).orderBy("part", "bin").collect()  # 7 * bins at most
+    where = ["alone", "part", "bin"]
+    items = dealt.groupBy(*where).agg(*sums).orderBy(*where).collect()  # 7 * bins at most
     placed = pack(np.array([[r["bytes"], r["tokens"], r["rows"]] for r in items], float), shards)
     begins, used = [], [0] * shards
     for r, s in zip(items, placed.tolist()):
         begins.append(used[s])
         used[s] += r["rows"]
     plan = docs.sparkSession.createDataFrame(
-        [(r["part"], r["bin"], s, b) for r, s, b in zip(items, placed.tolist(), begins)], "part int, bin long, shard int, begin long")
-    order = Window.partitionBy("part", "bin").orderBy("doc_id", "text_hash")
-    return (dealt.withColumn("at", F.row_number().over(order) - 1).join(F.broadcast(plan), ["part", "bin"])
+        [(r["alone"], r["part"], r["bin"], s, b) for r, s, b in zip(items, placed.tolist(), begins)], "alone boolean, part long, bin long, shard int, begin long")
+    order = Window.partitionBy(*where).orderBy("doc_id", "row")
+    return (dealt.withColumn("at", F.row_number().over(order) - 1).join(F.broadcast(plan), where)
             .select("doc_id", "size", "text_crc32", "tokens", "shard", (F.col("begin") + F.col("at")).alias("slot")))

@@ -1,3 +1,4 @@
+import math
 import re
 
 import pytest
@@ -37,7 +38,8 @@ def test_stages_on_awkward_rows(spark):
     kept = stage["language ID"](spark, docs, SF)
     assert kept.columns == names
     profiles = langid.train(docs)
-    want = [d for d, t, *_ in rows if (f := profiles.classify(t))[0] != "und" and f[1] >= corpus_pipeline.LEAST_LANGUAGE_SCORE]
+    least = langid.least_scores(docs, profiles)
+    want = [d for d, t, *_ in rows if (f := profiles.classify(t))[0] != "und" and f[1] >= least.get((f[0], int(math.log2(len(t)))), 0)]
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, want))
 
     once = stage["exact dedup"](spark, docs, SF)
@@ -67,6 +69,19 @@ def test_stages_on_awkward_rows(spark):
         assert f(spark, doc_frame(spark, []), SF).count() == 0
 
 
+def test_language_stage_rejects_noise_and_keeps_clean_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    noise = ["zxqj kvwq xzjq " * 30, "qqq www zzz xxx jjj " * 20, "ab" * 400, "kjh qwpoeiu zmxncb " * 40, "123 456", "!!!"]
+    rows = spark.createDataFrame([(10**9 + i, t, None, "src0", len(t)) for i, t in enumerate(noise)], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs.unionByName(rows), SF).select("doc_id").collect()}
+    letters = {r["doc_id"] for r in docs.filter(F.col("text").rlike(r"\p{L}")).select("doc_id").collect()}
+    assert not any(d >= 10**9 for d in kept)
+    assert kept <= letters and len(kept) >= 0.99 * len(letters)
+    short = spark.createDataFrame([(10**9, "the", None, "s", 3), (10**9 + 1, "le la", None, "s", 5)], docs.schema)  # too short to tell: they stay
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs.unionByName(short), SF).select("doc_id").collect()}
+    assert {10**9, 10**9 + 1} <= kept
+
+
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0

@@ -293,6 +293,39 @@ def test_sharding_edges(spark):
     assert sharding.shard(doc_frame(spark, [])).count() == 0
 
 
+def plain_pack(items, shards):
+    """Largest share first, into the fitting shard of the highest dot product; plain lists."""
+    total = [max(sum(x), 1) for x in zip(*items)]
+    left = [[1 / shards] * len(total) for _ in range(shards)]
+    out = [None] * len(items)
+    for i in sorted(range(len(items)), key=lambda i: (-max(x / t for x, t in zip(items[i], total)), i)):
+        share = [x / t for x, t in zip(items[i], total)]
+        fits = [s for s in range(shards) if all(a >= b - 1e-12 for a, b in zip(left[s], share))] or range(shards)
+        out[i] = max(fits, key=lambda s: (round(sum(a * b for a, b in zip(left[s], share)), 15), -s))
+        left[out[i]] = [a - b for a, b in zip(left[out[i]], share)]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pack_matches_a_plain_packer(seed):
+    rng = np.random.default_rng(seed)
+    items = np.stack([rng.integers(1, 10_000, 300), rng.integers(0, 900, 300), rng.integers(1, 40, 300)], axis=1).astype(float)
+    got = sharding.pack(items, 8)
+    assert got.tolist() == plain_pack(items.tolist(), 8)
+    loads = np.stack([np.bincount(got, items[:, j], 8) for j in range(3)])
+    assert (loads.max(axis=1) / loads.min(axis=1) < 1.1).all()
+
+
+def test_repeated_rows_are_spread_over_shards(spark):
+    """A third of the rows is one row again and again."""
+    rows = [(7, "abcde", "en", "s")] * 1000 + [(i, f"w{i} some more", "en", "s") for i in range(10, 2010)] + [(None, None, None, None)] * 60
+    got = sharding.shard(doc_frame(spark, rows)).collect()
+    check_shards([r[:2] for r in rows], got)
+    loads = np.bincount([r["shard"] for r in got], [r["size"] for r in got], 8)
+    counts = np.bincount([r["shard"] for r in got], minlength=8)
+    assert loads.max() / loads.min() < 1.1 and counts.max() / counts.min() < 1.15
+
+
 # -- mixing -----------------------------------------------------------------------
 def test_targets():
     assert mixing.targets({}) == {}
@@ -328,7 +361,8 @@ def plain_mix(rows, cut_bits=48):
 @pytest.mark.parametrize("sorted_rows", [50_000, 5])
 def test_mix_matches_a_plain_prefix_sum(spark, monkeypatch, sorted_rows):
     monkeypatch.setattr(mixing, "SORTED", sorted_rows)  # 5: the histogram is narrowed digit by digit
-    docs = doc_frame(spark, doc_rows()).withColumn("w", F.when(F.col("doc_id") % 3 == 0, 2.0).otherwise(1.0))
+    once = list(dict.fromkeys(doc_rows()))  # repeated rows have draws of their own, see below
+    docs = doc_frame(spark, once).withColumn("w", F.when(F.col("doc_id") % 3 == 0, 2.0).otherwise(1.0))
     n = words(F.col("text"))
     key, tie = mixing.key(F.col("doc_id"), F.col("text"), F.col("w"))
     want = plain_mix(docs.select("doc_id", F.col("source"), n.alias("n"), key.alias("key"), tie.alias("tie")).collect())
@@ -351,6 +385,20 @@ def test_mix_nears_its_targets_and_repeats(spark):
     assert all(abs(taken[s] - goal[s]) <= most[s] for s in goal)
 
 
+def test_mix_of_repeated_rows_nears_its_targets(spark):
+    """A source of 300 equal rows, beside distinct rows; and the awkward rows, twice each."""
+    rows = [(5, "a b c", "en", "s0")] * 300 + [(i, "a b c", "en", "s1") for i in range(100, 500)] + [(i, "a b c", "en", "s2") for i in range(1000, 1300)]
+    for made in (rows, doc_rows() * 2):
+        docs = doc_frame(spark, made).withColumn("mix", F.lit("a name that clashes"))
+        runs = [[tuple(r) for r in mixing.mix(docs, words(F.col("text")), F.lit(1.0)).select(
+            "doc_id", "source", "mix.size", "mix.target", "mix.taken").collect()] for _ in range(2)]
+        assert sorted(runs[0], key=str) == sorted(runs[1], key=str) and len(runs[0]) == len(made)
+        for s in {r[1] for r in runs[0]}:
+            own = [r for r in runs[0] if r[1] == s]
+            assert abs(sum(r[4] for r in own) - own[0][3]) <= max(r[2] for r in own), s
+            assert all(r[4] <= 2 * r[2] for r in own)
+
+
 def test_mix_prefers_quality(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), (F.col("id") % 3).cast("string").alias("source"),
                                     F.when(F.col("id") % 4 < 2, 4.0).otherwise(0.5).alias("w"))
