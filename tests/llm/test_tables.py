@@ -42,7 +42,7 @@ def test_search_recall_and_edges(spark):
     good = [(i, (centers[i % 40] + rng.standard_normal(16)).tolist()) for i in range(3000)]
     good += [(4000 + i, good[20][1]) for i in range(60)]  # many copies of a query's vector: ties go by id
     bad = [(5000, None), (5020, [0.0] * 16), (5040, [None] + [1.0] * 15), (5060, [float("nan")] + [1.0] * 15), (5080, [float("inf")] * 16),
-           (5100, [1.0, 2.0]), (None, [1.0] * 16), (5120, [])]
+           (None, [1.0] * 16), (5120, [])]
     table = spark.createDataFrame([(i, v, 1.0, 2) for i, v in good + bad], "vec_id long, embedding array<double>, score double, rank int")
     got = defaultdict(list)
     for r in ann.search(table, F.col("vec_id") % 20 == 0, k=20).orderBy("query_id", "rank").collect():
@@ -58,7 +58,17 @@ def test_search_recall_and_edges(spark):
 def test_search_small_and_empty(spark):
     kind = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [-1.0, 0.0]), (1, [0.5, 0.5])], kind)
-    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search(few, F.col("vec_id") % 20 == 0).orderBy("rank").collect()] == [(0, 1, 1, 0.5), (0, 2, 2, -1.0)]
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search(few, F.col("vec_id") % 20 == 0).orderBy("rank").collect()] == [
+        (0, 1, 1, 0.5), (0, 2, 1, 0.5), (0, 3, 2, -1.0)]
+    # rows that repeat a query's id are neighbours and queries of their own; other lengths have their own search
+    rows = [(i, [float(i), 1.0]) for i in range(1, 40)] + [(20, [3.0, 3.0]), (60, [1.0, 2.0, 3.0]), (61, [3.0, 2.0, 1.0]), (80, [2.0, 2.0, 2.0]), (100, [5.0])]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search(spark.createDataFrame(rows, kind), F.col("vec_id") % 20 == 0, k=3).collect())
+    want = []
+    for n, (i, q) in enumerate(rows):
+        if i % 20 == 0:
+            near = sorted((-sum(a * b for a, b in zip(q, v)), j) for m, (j, v) in enumerate(rows) if m != n and len(v) == len(q))[:3]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(near)]
+    assert got == sorted(want) and {x[0] for x in got} == {20, 60, 80}
     assert ann.search(spark.createDataFrame([], kind), F.col("vec_id") % 20 == 0).count() == 0
 
 
