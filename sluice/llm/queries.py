@@ -67,6 +67,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_documents(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row; a null text counts as empty.
+
+    Texts are encoded whole, however long; null ids and repeated rows pass
+    through as rows of their own; an empty table gives an empty result; other
+    columns are ignored.
+    """
     path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
     both = docs.select("doc_id", bpe.round_trip(F.col("text"), path, pattern).alias("both")).select("doc_id", "both.ids", "both.decoded")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
@@ -74,7 +80,12 @@ def encode_documents(docs: DataFrame) -> DataFrame:
 
 
 def quality(docs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
-    """``docs`` with the weight ``name``: 2 for quality 1, 0.5 for quality 0, 1 without a label."""
+    """``docs`` with the weight ``name``: 2 for quality 1, 0.5 for quality 0, 1 without a label.
+
+    Of labels that repeat an id the best counts; a null id or quality is no
+    label. Repeated rows of ``docs`` stay; empty tables give weight 1, or no
+    rows. A column ``name`` of ``docs`` must not exist.
+    """
     best = labels.groupBy(F.col("doc_id").alias("labelled_id")).agg(F.max("quality").alias("q")).filter("labelled_id is not null")
     joined = docs.join(best, docs["doc_id"] == best["labelled_id"], "left")
     return joined.select(*[docs[c] for c in docs.columns], F.when(best["q"] == 1, 2.0).when(best["q"] == 0, 0.5).otherwise(1.0).alias(name))

@@ -33,7 +33,6 @@ LEAST_CONTEXTS = 8
 LEAST_PRECISION = 0.74
 #: Share of the stems taken that may be no more frequent in toxic texts than in others (false discovery rate).
 FALSE_SHARE = 0.05
-MAX_STEMS = 20_000
 CUT = 0.7
 
 # Letters of other scripts that look like Latin ones, and digits and signs used for letters.
@@ -227,7 +226,7 @@ def train(labelled: DataFrame, text: str = "text", toxic: str = "toxic", per_lab
             if r["tenth"] / 10 >= log(sum(x["count"] for x in tests) / (FALSE_SHARE * above)):
                 level = r["tenth"] / 10
         stems = (tested.filter("toxic > 0").filter((met >= LEAST_CONTEXTS) & (precision >= LEAST_PRECISION) & (evidence >= level))
-                 .orderBy(F.desc("toxic"), "stem").limit(MAX_STEMS).collect())
+                 .orderBy(F.desc("toxic"), "stem").collect())  # words of the sample, which is bounded
         known = {r["stem"]: r for r in stems}
         kept = {}
         for s, r in known.items():
@@ -253,7 +252,7 @@ def train(labelled: DataFrame, text: str = "text", toxic: str = "toxic", per_lab
         usual = (sample.mapInArrow(phrases, "phrase string, toxic long").groupBy("phrase")
                  .agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
                  .filter((F.col("clean") >= 5) & (F.col("clean") / n[0] > 4 * (F.col("toxic") + 0.5) / n[1]))
-                 .orderBy(F.desc("clean"), "phrase").limit(MAX_STEMS).collect())
+                 .orderBy(F.desc("clean"), "phrase").collect())
         draft = Lexicon(draft.stems, tuple(sorted(r["phrase"] for r in usual)), draft.slope)
 
         def measure(batches):
@@ -290,7 +289,11 @@ def sample_labels(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PE
 
 
 def score(text: Column, lexicon: Lexicon) -> Column:
-    """Score of each whole text from 0 to 1; null, empty and unhit texts have 0."""
+    """Score of each whole text from 0 to 1; null, empty and unhit texts have 0.
+
+    A text is folded and searched whole, however long; equal texts score alike.
+    A lexicon learned from nothing scores everything 0.
+    """
 
     @F.arrow_udf("double")
     def compute(column: pa.Array) -> pa.Array:

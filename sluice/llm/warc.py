@@ -115,6 +115,11 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
     pyarrow's file systems open). Each task streams one archive, a gzip member
     per record, under a name of its attempt and renames it when it is complete,
     so a lost or repeated attempt leaves no partial archive behind its name.
+
+    A null html is an empty payload; a null url or id leaves its header line
+    out; rows that repeat an id are records of their own. Payloads go chunk by
+    chunk, however long. An empty table gives no archive; other columns are
+    ignored.
     """
     spark = pages.sparkSession
     chunks = chunk_table(pages, page_id, url, html, chunk)

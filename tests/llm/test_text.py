@@ -198,3 +198,18 @@ def test_toxicity_on_held_out_documents(spark):
     t = {(r["toxic"], r["predicted"]): r["count"] for r in found.join(labels, found["doc_id"] == labels["id"]).filter("held_out").groupBy("toxic", "predicted").count().collect()}
     hit, missed, wrong = t.get((1, 1), 0), t.get((1, 0), 0), t.get((0, 1), 0)
     assert hit / (hit + missed) > 0.9 and hit / (hit + wrong) > 0.9, t
+
+
+def test_decode_goes_up_the_tree(monkeypatch):
+    import public_tokenizers as P
+
+    from sluice.llm import bpe
+
+    codec = bpe.Codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    text = "decoding joins neighbours, level by level: é 日本 \U0001f600 " * 40
+    ids = codec.encode(text)
+    for leaf in (1, 2, 7, 4096):
+        monkeypatch.setattr(bpe, "LEAF_IDS", leaf)
+        for n in (0, 1, 2, 3, 5, 8, len(ids)):
+            assert codec.decode(ids[:n]) == b"".join(codec.piece[i] for i in ids[:n])
+    assert codec.decode(ids).decode() == text
