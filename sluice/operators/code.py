@@ -22,7 +22,7 @@ from ..functions.text import count_sub, ustrip
 
 # Marker put in front of every regex match before the text is split; any
 # occurrence already in a file is removed first (the only change made to text).
-MARK = "\u0001"
+MARK = "\u0001\ufdd1\u0001"
 
 # Spark-side function patterns. Same matches as fixed.FUNCTION_PATTERNS; white
 # space that is followed by a word character or a literal keyword is taken

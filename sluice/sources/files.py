@@ -13,16 +13,24 @@ from pyspark.sql import functions as F
 from ..functions.text import iso_text
 from ..operators.code import upload_language
 
-REPLACEMENT_CHAR = "�"
+REPLACEMENT_CHAR = "\ufffd"
+# A character that no text should have, and what stands for it and for a real U+FFFD meanwhile.
+_ESCAPE = "\ufdd0"
 
 
 def decode_utf8_dropping_bad_bytes(content) -> F.Column:
     """Bytes → text, invalid UTF-8 sequences removed.
 
     ``make_valid_utf8`` replaces each bad sequence with U+FFFD, which is then
-    removed. A U+FFFD that was really in the file is removed too.
+    removed; one that is really in the file is escaped before and put back.
     """
-    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit(REPLACEMENT_CHAR), F.lit(""))
+    text = content.cast("string")
+    for old, new in ((_ESCAPE, _ESCAPE + "0"), (REPLACEMENT_CHAR, _ESCAPE + "1")):
+        text = F.replace(text, F.lit(old), F.lit(new))
+    text = F.replace(F.make_valid_utf8(text), F.lit(REPLACEMENT_CHAR), F.lit(""))
+    for old, new in ((_ESCAPE + "1", REPLACEMENT_CHAR), (_ESCAPE + "0", _ESCAPE)):
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
 
 
 def scan_code_corpus(spark: SparkSession, path: str, glob: str | None = None,

@@ -85,3 +85,14 @@ def test_upload_language_is_case_sensitive(spark):
     df = spark.createDataFrame([("a.py",), ("a.PY",), ("a.scala",), (".py",), ("x.tsx",)], "n string")
     got = [r.l for r in df.select(D.upload_language(F.col("n")).alias("l")).collect()]
     assert got == ["python", "unknown", "unknown", "python", "tsx"]
+
+
+def test_control_characters_in_code_stay(spark):
+    """The marker between matches is a sequence of its own: single control characters are part of the code."""
+    code = "def f(a\x01b):\n    pass\n\x01def not_at_line_start(x):\n\x01\ndef g\x01(x):\ndef h(y):\n"
+    df = spark.createDataFrame([(1, code, "python")], "file_id long, code string, language string")
+    got = [(r.name, r.params, r.line) for r in D.extract_functions(df).collect()]
+    import re
+
+    want = [(m[1], m[2], code[:m.start()].count("\n") + 1) for m in re.finditer(r"^\s*def\s+(\w+)\s*\((.*?)\)", code, re.M)]
+    assert got == want and ("f", "a\x01b", 1) in got

@@ -133,3 +133,10 @@ def test_scan_table_pushes_filters_of_renamed_columns(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(ts," in plan and "GreaterThan(event_i" in plan and "unused" not in plan
     assert sorted(map(tuple, out.collect())) == [(i, "pending") for i in range(4, 9)]
+
+
+def test_decoding_keeps_real_replacement_characters(spark):
+    made = [b"a\xef\xbf\xbdb", b"\xe2\xef\xbf\xbd\xff!", "\ufdd01\ufdd0 0\ufffd".encode(), b"\xc3\x28 \xe2\x82", b"", "été 日本 \U0001f600".encode(), b"\xf0\x9f\x98"]
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(made)], "i int, content binary")
+    got = {r.i: r.t for r in df.select("i", A.decode_utf8_dropping_bad_bytes(F.col("content")).alias("t")).collect()}
+    assert got == {i: b.decode("utf-8", "ignore") for i, b in enumerate(made)}
