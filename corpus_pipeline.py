@@ -21,17 +21,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     That is ``und`` (no letter; null and empty texts too), and a score below
     what texts of that language and length have (``langid.least_scores``).
-    Profiles and bounds are learned from the documents' own language labels;
+    Profiles and bounds are learned from all documents with a language label;
     with none at all nothing can be told, and documents without a letter go.
     Texts are read whole; repeated rows stand or fall together; an empty table
     gives an empty result; other columns pass through, whatever their names.
     """
-    profiles = langid.train(docs)
+    profiles = langid.train(docs, per_language=None)
     if not profiles.languages:
         return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    found = docs.select(F.struct("*").alias("doc"), langid.identify(F.col("text"), profiles).alias("found"))
+    # written once, so that the bounds and the rows read the same scores and no text is identified twice
+    found = materialize(docs.select(F.struct("*").alias("doc"), langid.identify(F.col("text"), profiles).alias("found")), "identified")
     told = F.col("found.lang") != langid.UNKNOWN
-    least = langid.least_scores(docs, profiles)
+    least = langid.least_scores(found.select("doc.text", "doc.lang", "found"), profiles, found=F.col("found"))
     if least:
         bounds = F.create_map(*[F.lit(x) for (lang, size), cut in least.items() for x in (f"{size} {lang}", cut)])
         key = F.concat_ws(" ", langid.length_class(F.col("doc.text")).cast("string"), F.col("found.lang"))

@@ -26,6 +26,10 @@ UNKNOWN = "und"
 #: How far below the median a text of a language may score, in distances from the median to the lowest tenth; texts that tell it.
 SPREAD, LEAST_TEXTS = 6.0, 20
 _BLOCK = 1 << 18
+#: n-gram counts that a training task holds of a language before it adds them up.
+_HELD = 1 << 20
+#: Steps of the scores in which the rows next to a wanted rank are looked for.
+_STEPS = 1 << 12
 
 
 @lru_cache(maxsize=1)
@@ -104,8 +108,8 @@ class Profiles:
         return self.languages[best], float(1 - distance[best] / (self.size * len(own)))
 
 
-def draw(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame | None:
-    """``lang, text`` of about ``per_language`` different texts of each label, chosen by hash; None without any."""
+def draw(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int | None = SAMPLE_PER_LANGUAGE) -> DataFrame | None:
+    """``lang, text`` of about ``per_language`` different texts of each label, chosen by hash, or of all (None); None without any."""
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
     different = rows.select("lang", F.xxhash64("text").alias("mark")).distinct()
     totals = {r["lang"]: r["n"] for r in different.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
@@ -113,17 +117,25 @@ def draw(docs: DataFrame, text: str = "text", lang: str = "lang", per_language:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not totals:
         return None
+    if per_language is None:
+        return distinct_texts(rows, "lang")
     share = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, min(1.0, per_language / n))])
     return distinct_texts(rows.filter(share_of(F.xxhash64("text", "lang"), share[F.col("lang")])), "lang")
 
 
+def _added(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of counts, as ``(codes, counts)``."""
+    u, where = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+    return u, np.bincount(where, np.concatenate([n for _, n in found])).astype(np.int64)
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE_SIZE,
-          per_language: int = SAMPLE_PER_LANGUAGE) -> Profiles:
+          per_language: int | None = SAMPLE_PER_LANGUAGE) -> Profiles:
     """Learn one profile per non-null value of ``lang``.
 
     Counts cover the whole texts of a sample of about ``per_language``
-    different texts of each language (the documented bound), or all it has,
-    chosen by hash; copies of a text count once, in the share and in the
+    different texts of each language (the documented bound), or all it has
+    (always with None), chosen by hash; copies of a text count once, in the share and in the
     profile. Rows with a null text or language are ignored; no rows at all
     give profiles without languages, which classify everything as ``und``.
     """
@@ -132,14 +144,29 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = P
         return Profiles((), np.empty(0, np.int64), np.empty((0, 0), np.int64), size)
 
     def count(batches):
+        held: dict[str, list] = {}
+        size_of: dict[str, int] = {}
+
+        def sums(name):
+            u, n = _added(held.pop(name))
+            del size_of[name]
+            return pa.RecordBatch.from_arrays([pa.array([name] * len(u), pa.string()), pa.array(u, pa.int64()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+
         for batch in batches:
-            held: dict[str, list] = {}
             for name, body in zip(values(batch.column(0)), values(batch.column(1))):
-                held.setdefault(name, []).append(count_grams(body))
-            for name, found in held.items():
-                u, where = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
-                n = np.bincount(where, np.concatenate([n for _, n in found])).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(u), pa.string()), pa.array(u, pa.int64()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+                codes, counts = count_grams(body)
+                held.setdefault(name, []).append((codes, counts))
+                size_of[name] = size_of.get(name, 0) + len(codes)
+                if size_of[name] > _HELD:  # a task holds sums, not the counts of all its texts
+                    held[name] = [_added(held[name])]
+                    size_of[name] = len(held[name][0][0])
+                    if size_of[name] > _HELD // 2:
+                        yield sums(name)
+            if sum(size_of.values()) > 2 * _HELD:
+                for name in list(held):
+                    yield sums(name)
+        for name in list(held):
+            yield sums(name)
 
     top = (sample.mapInArrow(count, "lang string, gram long, n long")
            .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -159,23 +186,52 @@ def length_class(text: Column) -> Column:
     return F.floor(F.log2(F.greatest(F.length(text), F.lit(1)))).cast("int")
 
 
-def least_scores(docs: DataFrame, profiles: Profiles, text: str = "text", lang: str = "lang",
-                 per_language: int = SAMPLE_PER_LANGUAGE) -> dict[tuple[str, int], float]:
+def least_scores(docs: DataFrame, profiles: Profiles, text: str = "text", lang: str = "lang", found: Column | None = None) -> dict[tuple[str, int], float]:
     """By predicted language and length class, the score below which a text is none of that language.
 
     Scores are comparable within one script and length only, so the bound comes
-    from labelled texts of the class: as far below their median as ``SPREAD``
-    times the distance of their lowest tenth. Labelled texts that are noise
-    themselves don't move a median. Classes of fewer than ``LEAST_TEXTS`` texts
-    get no bound. At most (languages x some 30 classes) rows reach the driver.
+    from all labelled texts of the class, copies once for each label: as far
+    below their median as ``SPREAD`` times the distance of their lowest tenth.
+    Labelled texts that are noise themselves don't move a median. Classes of
+    fewer than ``LEAST_TEXTS`` texts get no bound. ``found`` is what
+    ``identify`` gave, if ``docs`` holds it. At most (languages x some 30
+    classes) rows reach the driver.
     """
-    sample = draw(docs, text, lang, per_language)
-    if sample is None:
-        return {}
-    scored = sample.select(identify(F.col("text"), profiles).alias("found"), length_class(F.col("text")).alias("size")).select("found.lang", "found.score", "size")
-    at = F.percentile("score", F.array(F.lit(0.1), F.lit(0.5)))
-    rows = scored.filter(F.col("lang") != UNKNOWN).groupBy("lang", "size").agg(at.alias("at"), F.count("*").alias("n")).filter(F.col("n") >= LEAST_TEXTS).collect()
-    return {(r["lang"], r["size"]): r["at"][1] - SPREAD * (r["at"][1] - r["at"][0]) for r in rows}
+    found = identify(F.col(text), profiles) if found is None else found
+    labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    scored = labelled.select(F.col(lang).alias("label"), F.xxhash64(text).alias("mark"), length_class(F.col(text)).alias("size"), found.alias("found"))
+    once = scored.filter(F.col("found.lang") != UNKNOWN).groupBy("label", "mark").agg(F.first("size").alias("size"), F.first("found").alias("found"))
+    at = quantiles(once.select("found.lang", "size", "found.score"), ["lang", "size"], "score", (0.1, 0.5)).filter(F.col("n") >= LEAST_TEXTS)
+    found_at: dict[tuple[str, int], dict[float, float]] = {}
+    for r in at.collect():
+        found_at.setdefault((r["lang"], r["size"]), {})[r["share"]] = r["value"]
+    return {key: q[0.5] - SPREAD * (q[0.5] - q[0.1]) for key, q in found_at.items()}
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, shares: tuple[float, ...]) -> DataFrame:
+    """``keys, n, share, value``: exact quantiles of a value from 0 to 1, interpolated like ``percentile``.
+
+    Rows are counted in steps of the value first; only the steps that hold a
+    wanted rank are sorted, so no task gets the whole of a group.
+    """
+    stepped = rows.withColumn("step", F.floor(F.col(value) * _STEPS))
+    below = Window.partitionBy(*keys).orderBy("step")
+    steps = stepped.groupBy(*keys, "step").agg(F.count("*").alias("many"))
+    steps = steps.withColumn("n", F.sum("many").over(Window.partitionBy(*keys))).withColumn("start", F.sum("many").over(below) - F.col("many"))
+    rank = F.explode(F.array(*[F.struct(F.lit(s).alias("share"), (F.lit(s) * (F.col("n") - 1)).alias("at")) for s in shares]))
+    wanted = steps.select(*keys, "step", "n", "start", "many", rank.alias("w")).select("*", "w.*").drop("w").filter(
+        (F.floor("at") < F.col("start") + F.col("many")) & (F.ceil("at") >= F.col("start")))
+    near = stepped.join(F.broadcast(wanted.select(*keys, "step", "start").distinct()), [*keys, "step"])
+    tied = near.groupBy(*keys, "step", "start", value).agg(F.count("*").alias("ties"))
+    ends = tied.withColumn("last", F.col("start") + F.sum("ties").over(Window.partitionBy(*keys, "step").orderBy(value)) - 1)
+    met = ends.withColumn("first", F.col("last") - F.col("ties") + 1).join(F.broadcast(wanted.drop("start", "many")), [*keys, "step"])
+    part = F.col("at") - F.floor("at")
+
+    def here(place: Column) -> Column:
+        return F.max(F.when(place.between(F.col("first"), F.col("last")), F.col(value)))
+
+    found = met.groupBy(*keys, "n", "share", "at").agg(here(F.floor("at")).alias("low"), here(F.ceil("at")).alias("high"))
+    return found.select(*keys, "n", "share", ((1 - part) * F.col("low") + part * F.col("high")).alias("value"))
 
 
 def identify(text: Column, profiles: Profiles) -> Column:

@@ -85,3 +85,41 @@ def test_language_stage_rejects_noise_and_keeps_clean_documents(spark):
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
+
+
+def test_language_bounds_come_from_all_labelled_texts(spark, monkeypatch):
+    """Profiles and bounds of the language stage see every labelled text, with quantiles as ``percentile`` gives them."""
+    import numpy as np
+
+    rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} " * (1 + i % 3), "en" if i % 2 else "fr", "s")
+            for i in range(1500)]  # more than the bound of a sample
+    docs = doc_frame(spark, rows + rows[:40])
+    whole = langid.train(docs, per_language=None)
+    by_hand = langid.train(docs, per_language=10**9)
+    assert whole.languages == by_hand.languages and (whole.grams == by_hand.grams).all() and (whole.rank == by_hand.rank).all()
+    scores = {}
+    for _, label, text in {(0, lang, t) for _, t, lang, *_ in rows}:
+        name, score = whole.classify(text)
+        scores.setdefault((name, int(math.log2(len(text)))), []).append(score)
+    want = {k: (q := np.percentile(v, [10, 50]))[1] - langid.SPREAD * (q[1] - q[0]) for k, v in scores.items() if len(v) >= langid.LEAST_TEXTS}
+    got = langid.least_scores(docs, whole)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda d, **told: seen.append(told) or whole)
+    corpus_pipeline.language_id(spark, docs, SF)
+    assert seen == [{"per_language": None}]
+
+
+def test_quantiles_match_percentile(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(3)
+    rows = [(k, rnd.choice([rnd.random(), 0.25, 0.2500001, 0.0, 1.0])) for k in "ab" for _ in range(rnd.randint(40, 90))] + [("c", 0.5)]
+    frame = spark.createDataFrame(rows, "k string, v double")
+    shares = (0.0, 0.1, 0.5, 1.0)
+    for steps in (1, 7, 4096):
+        monkeypatch.setattr(langid, "_STEPS", steps)
+        got = {(r["k"], r["share"]): r["value"] for r in langid.quantiles(frame, ["k"], "v", shares).collect()}
+        plain = frame.groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("p")).collect()
+        want = {(r["k"], s): v for r in plain for s, v in zip(shares, r["p"])}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
