@@ -29,7 +29,8 @@ LEAF_BYTES = 48
 LEAF_IDS = 4096
 #: The longest look ahead of an alternative that is fixed text, in characters.
 LOOK_AHEAD = 3
-_CACHE = 100_000
+#: Encoded pieces of a generation, and seams, that a worker keeps; two generations of pieces take some 150 MB.
+_CACHE, _SEAMS = 300_000, 100_000
 _NONE = 1 << 62
 
 
@@ -43,6 +44,7 @@ class Codec:
         self.byte = [self.rank[bytes([b])] for b in range(256)]
         self.made = {self.rank[t[:i]] << 32 | self.rank[t[i:]]: r for t, r in self.rank.items()
                      for i in range(1, len(t)) if t[:i] in self.rank and t[i:] in self.rank}
+        self.first = [self.made.get(a << 32 | b, _NONE) for a in self.byte for b in self.byte]
         self.split = regex.compile(pattern)
         self.known: dict[str, tuple[int, ...]] = {}  # two generations bound the memory
         self.older: dict[str, tuple[int, ...]] = {}
@@ -55,8 +57,9 @@ class Codec:
         An id is its token's rank, so the lowest id that a pair makes is next.
         """
         made = self.made.get
-        parts = [self.byte[x] for x in data]
-        pairs = [made(a << 32 | b, _NONE) for a, b in zip(parts, parts[1:])]
+        byte, first = self.byte, self.first
+        parts = [byte[x] for x in data]
+        pairs = [first[a << 8 | b] for a, b in zip(data, data[1:])]
         while pairs:
             low = min(pairs)
             if low == _NONE:
@@ -79,7 +82,7 @@ class Codec:
         """
         found = self.seams.get((a, b))
         if found is None:
-            if len(self.seams) > _CACHE:
+            if len(self.seams) > _SEAMS:
                 self.seams.clear()
             found = self.seams[a, b] = self.merge(self.piece[a] + self.piece[b]) == [a, b]
         return found

@@ -213,3 +213,13 @@ def test_decode_goes_up_the_tree(monkeypatch):
         for n in (0, 1, 2, 3, 5, 8, len(ids)):
             assert codec.decode(ids[:n]) == b"".join(codec.piece[i] for i in ids[:n])
     assert codec.decode(ids).decode() == text
+
+
+def test_bpe_merges_a_met_piece_once(monkeypatch):
+    """Pieces of a large vocabulary stay known: a second pass over 250,000 merges few of them again."""
+    own = bpe.Codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    pieces = [f"{i:x}" for i in range(1 << 20, (1 << 20) + 250_000)]
+    first = [own.encode_piece(p) for p in pieces]
+    calls = []
+    monkeypatch.setattr(own, "merge", lambda data: calls.append(data) or [])
+    assert [own.encode_piece(p) for p in pieces] == first and not calls
