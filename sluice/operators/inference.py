@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..session import checkpoint_dir, cpu_partitions
+from ..session import input_partitions, materialize
 from . import prompts as P
 
 Provider = Callable[["object"], "object"]
@@ -132,7 +132,7 @@ def batch_inference(df: DataFrame, providers: Sequence[tuple[str, ProviderFactor
         return call_providers(df.select(key, F.col(prompt_col).alias("prompt")), providers, key, max_parallel_calls).select(key, *added)
     keyed = df.withColumn("_prompt_hash", F.sha2(F.coalesce(F.col(prompt_col), F.lit("")), 256))
     distinct = keyed.select("_prompt_hash", F.col(prompt_col).alias("prompt")).dropDuplicates(["_prompt_hash"])
-    replies = call_providers(distinct, providers, "_prompt_hash", max_parallel_calls or cpu_partitions(df.sparkSession))
+    replies = call_providers(distinct, providers, "_prompt_hash", max_parallel_calls or input_partitions(df))
     return keyed.join(replies.select("_prompt_hash", *added), "_prompt_hash", "left").select(*df.columns, *added)
 
 
@@ -283,11 +283,10 @@ def agent_job(requests: DataFrame, providers: Sequence[tuple[str, ProviderFactor
     # copies are combined before the shuffle; only distinct inputs are then
     # spread, so the CPU-heavy prompt assembly keeps one partition per core
     distinct = (keyed.select("_in_hash", *INPUT_COLUMNS).dropDuplicates(["_in_hash"])
-                .repartition(cpu_partitions(keyed.sparkSession), "_in_hash").where(has_code))
+                .repartition(input_partitions(requests), "_in_hash").where(has_code))
     answers = call_providers(agent_prompts(distinct, agents), providers, "_in_hash", max_parallel_calls)
     if checkpoint:
-        checkpoint_dir(answers.sparkSession)
-        answers = answers.checkpoint(eager=True)
+        answers = materialize(answers, "answers")
     answers = answers.withColumnRenamed("details", "_details")
     # one pass over the requests: rows without code find no answer
     joined = keyed.join(answers, "_in_hash", "left").drop("_in_hash").withColumn("_has_code", has_code)

@@ -12,7 +12,7 @@ from ..operators import inference as I
 from ..operators import prompts as P
 from .chat import _REQUESTS_CTE
 from .code import _bracket_cte, _fn_ctes, _METRICS_SQL, _PATTERN_HITS
-from ..session import cpu_partitions
+from ..session import input_partitions, materialize
 from .registry import query
 from .stubs import provider_sql, reply_sql, stub_providers
 
@@ -224,12 +224,14 @@ def batch_inference(t):
     """E5 over every routed chat request's prompt, with the stub providers.
 
     Prompts depend only on the request inputs, so they are built for the
-    distinct inputs and the replies join back to every request.
+    distinct inputs and the replies join back to every request. The requests
+    are stored once, so that no message is parsed for each side of that join.
     """
     reqs = I.requests_from_chat(C.chat_requests(t.chat_messages))
-    keyed = reqs.withColumn("_in_hash", F.sha2(F.to_json(F.struct(*I.INPUT_COLUMNS)), 256))
+    parts = input_partitions(t.chat_messages)
+    keyed = materialize(reqs.withColumn("_in_hash", F.sha2(F.to_json(F.struct(*I.INPUT_COLUMNS)), 256)), "requests")
     distinct = (keyed.select("_in_hash", *I.INPUT_COLUMNS)
-                .dropDuplicates(["_in_hash"]).repartition(cpu_partitions(t.spark), "_in_hash")
+                .dropDuplicates(["_in_hash"]).repartition(parts, "_in_hash")
                 .where(F.col("code").isNotNull()))
     answered = I.batch_inference(I.agent_prompts(distinct), stub_providers(), key="_in_hash")
     # a left join: an inner join would add an inferred NOT NULL filter on the

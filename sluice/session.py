@@ -11,9 +11,10 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark import SparkConf, SparkContext
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every query relies on for correct results.
 _REQUIRED = {
@@ -76,6 +77,47 @@ def cpu_partitions(spark: SparkSession) -> int:
     return max(cores, shuffle)
 
 
+#: Stored input bytes for each task of a CPU-bound stage.
+TASK_BYTES = 4 << 20
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that ``df`` is read from; 0 if there are none."""
+    spark = df.sparkSession
+    try:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    except Exception:  # no JVM on this client (e.g. Spark Connect)
+        return 0
+    held = 0
+    for name in df.inputFiles():
+        file = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        held += file.getFileSystem(conf).getFileStatus(file).getLen()
+    return held
+
+
+def input_partitions(df: DataFrame) -> int:
+    """Partition count for CPU-bound stages over rows that come from ``df``: one for
+    each ``TASK_BYTES`` of its input files, at least ``cpu_partitions``, so that a
+    task's share stays the same however large the input is."""
+    return max(cpu_partitions(df.sparkSession), -(-input_bytes(df) // TASK_BYTES))
+
+
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A fresh folder below ``spark.checkpoint.dir``, seen by every executor."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, what: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back.
+
+    This cuts the lineage and fixes values that a re-run could order
+    differently; a lost executor costs a re-read, not a recomputation.
+    """
+    path = shared_path(df.sparkSession, what)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cutting lineage.
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .session import prepare
+from .session import TASK_BYTES, input_bytes, prepare
 
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -147,21 +147,23 @@ class Tables:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a table with fewer input splits than the session has cores one
-    partition per core (round-robin, deterministic under retries).
+    """Give a table whose input splits are few for the CPU time of its rows
+    more partitions: one for each ``TASK_BYTES`` of its files, at least one per
+    core (round-robin, deterministic under retries).
 
     The text operators spend CPU per row, not I/O per byte, so a small file
-    read as one split would run them in a single task. A table that already
-    has at least as many splits as cores is returned unchanged, so large
-    inputs are never shuffled for this. Used for the inputs of the text views
-    only; everything else starts with its own exchange anyway.
+    read as one split would run them in a single task, and a large one in
+    tasks that grow with the splits. A table that already has as many splits
+    is returned unchanged. Used for the inputs of the text views only;
+    everything else starts with its own exchange anyway.
     """
     try:
         cores = df.sparkSession.sparkContext.defaultParallelism
         splits = df.rdd.getNumPartitions()
     except Exception:  # no SparkContext on this client (e.g. Spark Connect)
         return df
-    return df.repartition(cores) if splits < cores else df
+    parts = max(cores, -(-input_bytes(df) // TASK_BYTES))
+    return df.repartition(parts) if splits < parts else df
 
 
 def view_cte(*names: str) -> str:
