@@ -27,7 +27,7 @@ from pyspark.sql.types import ArrayType
 
 from .. import fixed
 from ..functions.text import fixed_digits
-from ..session import checkpoint_dir, cpu_partitions
+from ..session import input_partitions, materialize
 
 ELEM = "struct<pos:int,task_id:string,task_type:string,priority:int,deps:array<string>>"
 
@@ -149,9 +149,10 @@ def plan_requests(tasks: DataFrame, array_limit: int = DEFAULT_ARRAY_LIMIT) -> D
     """
     # Explicit hash partitioning on the request: the groupBy reuses it (on a
     # stored table it replaces the aggregate's own exchange), and the
-    # CPU-bound fold keeps one partition per core instead of the few that
-    # AQE's byte-based coalescing would leave.
-    t = normalise_tasks(tasks).repartition(cpu_partitions(tasks.sparkSession), "request_id")
+    # CPU-bound fold keeps at least one partition per core, and more the
+    # larger the input is, instead of the few that AQE's byte-based coalescing
+    # would leave.
+    t = normalise_tasks(tasks).repartition(input_partitions(tasks), "request_id")
     grouped = t.groupBy("request_id").agg(
         F.sort_array(F.collect_list(F.struct("pos", "task_id", "task_type", "priority", "deps")))
         .alias("tasks"),
@@ -265,17 +266,17 @@ def orchestrate(tasks: DataFrame, providers, agents=None, timed: bool = True):
     order of the results, and all tasks of all requests run in one pass. Times
     are measured; ``timed=False`` gives 0.0, for results that reruns repeat.
 
-    The ordered tasks and the replies are checkpointed, so all rows agree.
+    The tasks, their order and the replies are stored, so all rows agree.
     """
     from .inference import INPUT_COLUMNS, agent_job, default_agents
 
     agents = agents or default_agents()
-    checkpoint_dir(tasks.sparkSession)
+    tasks = materialize(tasks, "tasks")  # read twice: for the order and for the inputs
     ordered = with_priority_order(plan_requests(tasks)).select(
         "request_id", "n_rows", "parallel_requested", F.explode("exec_tasks").alias("t")).select(
         "request_id", "n_rows", "parallel_requested", "t.exec_ord", "t.pos", "t.task_id", "t.task_type")
     inputs = tasks.select("request_id", F.col("pos").cast("int").alias("pos"), "session_id", *[c for c in INPUT_COLUMNS if c != "agent_type"])
-    run = ordered.join(inputs, ["request_id", "pos"]).checkpoint()
+    run = materialize(ordered.join(inputs, ["request_id", "pos"]), "run")
     responses, histories, executions = agent_job(
         run.select(F.struct("request_id", "pos").alias("request_id"), "session_id", F.col("task_type").alias("agent_type"),
                    *[c for c in INPUT_COLUMNS if c != "agent_type"]), providers, agents=agents)

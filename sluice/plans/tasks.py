@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..operators import tasks as G
+from ..session import materialize
 from .prompts import prompted_sql
 from .registry import query
 from .stubs import reply_sql, stub_providers
@@ -157,5 +158,7 @@ SELECT session_id, 'Execute ' || CAST(total_tasks AS VARCHAR) || ' tasks' AS use
 FROM roll""")
 def orchestration_log(t):
     """The history row and the execution row of each request, side by side."""
-    history, executions = G.orchestration_log(G.orchestration_rollup(orchestrated(t)))
+    # stored, so that the runs are not rolled up for each side of the join
+    rollup = materialize(G.orchestration_rollup(orchestrated(t)), "rollup")
+    history, executions = G.orchestration_log(rollup)
     return history.join(executions.drop("agent_type", "execution_time_ms"), "session_id")
