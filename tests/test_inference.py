@@ -200,3 +200,20 @@ def test_own_texts_beyond_the_broadcast_bound_join_by_shuffle(spark, monkeypatch
     large = P.docs_prompts(reqs, texts)
     hinted = [d._jdf.queryExecution().analyzed().toString().count("ResolvedHint") for d in (small, large)]
     assert hinted == [1, 0] and small.first().prompt == large.first().prompt and "OWN CLASS" in large.first().prompt
+
+
+def test_tasks_keep_their_share_as_the_input_grows(spark, tmp_path, monkeypatch):
+    """CPU-bound stages get a partition for each ``TASK_BYTES`` of the files, not a fixed number."""
+    from sluice import session, views
+
+    path = str(tmp_path / "t")
+    spark.range(20000).selectExpr("id", "uuid() AS t").coalesce(1).write.parquet(path)
+    df = spark.read.parquet(path)
+    held = session.input_bytes(df)
+    assert held > 200_000 and session.input_partitions(df) == session.cpu_partitions(spark)
+    for module in (session, views):
+        monkeypatch.setattr(module, "TASK_BYTES", 10_000)
+    parts = -(-held // 10_000)
+    assert session.input_partitions(df.where("id > 3").groupBy("t").count()) == parts > session.cpu_partitions(spark)
+    assert views.spread(df).rdd.getNumPartitions() == parts
+    assert session.input_bytes(spark.createDataFrame([(1,)], "id int")) == 0

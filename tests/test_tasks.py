@@ -121,3 +121,11 @@ def test_orchestrate_runs_tasks_through_the_agents(spark):
     assert {(r.task_description, r.status) for r in log.collect()} == {
         ("Execute 4 tasks orchestration", "partial"), ("Execute 1 tasks orchestration", "completed"), ("Execute 1 tasks orchestration", "partial")}
     assert histories.count() == 2 and sorted(r.status for r in executions.collect()) == ["completed", "completed", "failed"]
+
+
+def test_log_rolls_the_runs_up_once(spark):
+    """Both sides of the log's join read the stored roll-up."""
+    from sluice.plans.registry import all_queries
+
+    log = all_queries()["orchestration_log"](spark, "/root/testdata/sf0.001")
+    assert "collect_list" not in log._jdf.queryExecution().executedPlan().toString() and log.count() > 0
