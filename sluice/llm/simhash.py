@@ -147,7 +147,10 @@ def crowd_links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     with its own radius. If some fingerprint lies within floor(distance/2) of a
     variant, everything that reaches the variant is within ``distance`` of that
     one, so a star on it is exact: links are linear in the variants, with no
-    pairs inside a crowd.
+    pairs inside a crowd. The balls are thousands of times their fingerprints,
+    which Spark's estimate of their size leaves out; so they are sorted and
+    streamed, not joined, and never broadcast. A variant meets as many
+    fingerprints as a ball has variants at most.
     """
     far, near = (distance + 1) // 2, distance // 2
 
@@ -168,10 +171,24 @@ def crowd_links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
                     pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(part, len(flips)).view(np.int64)),
                     pa.array(np.tile(radius, len(part)))], names=["variant", "fp", "radius"])
 
-    balls = prints.select("fp").mapInArrow(ball, "variant long, fp long, radius byte")
-    hubs = (balls.groupBy("variant").agg(F.min_by("fp", F.struct("radius", "fp")).alias("hub"), F.min("radius").alias("least"), F.count("*").alias("n"))
-            .filter((F.col("least") <= near) & (F.col("n") > 1)).select("variant", "hub"))
-    return balls.join(hubs, "variant").filter("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
+    def stars(batches):
+        at, held, reached = None, 0, False  # variant of the last run, its hub, and whether that is near
+        for batch in batches:
+            variant, radius, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            if not len(fp):
+                continue
+            new = np.concatenate([[at is None or variant[0] != at], variant[1:] != variant[:-1]])
+            run = np.cumsum(new)  # 0: the last batch's run goes on
+            hub = np.concatenate([[np.int64(held)], fp[new]])[run]
+            whole = np.concatenate([[reached], radius[new] <= near])[run]
+            at, held, reached = variant[-1], hub[-1], whole[-1]
+            linked = whole & (hub != fp)
+            if linked.any():
+                yield pa.RecordBatch.from_arrays([pa.array(hub[linked]), pa.array(fp[linked])], names=["a", "b"])
+
+    balls = prints.select("fp").mapInArrow(ball, "variant long, fp long, radius byte").select("variant", "radius", "fp")
+    return (balls.repartition("variant").sortWithinPartitions("variant", "radius", "fp")
+            .mapInArrow(stars, "a long, b long").distinct())
 
 
 def links(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:

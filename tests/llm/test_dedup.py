@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 from collections import defaultdict
@@ -83,6 +84,55 @@ def test_crowds_are_linked_without_pairs(spark):
     assert sizes == [512]
 
 
+def crowd_of(rng):
+    """Fingerprints far and near: a seed with its neighbours at one to four bits, and strangers."""
+    prints = {0, (1 << 64) - 1} | {rng.getrandbits(64) for _ in range(10)}
+    for _ in range(3):
+        seed = rng.getrandbits(64)
+        prints |= {seed ^ sum(1 << b for b in rng.sample(range(64), n)) for n in (0, 1, 2, 3, 4) for _ in range(6)}
+    return sorted(prints)
+
+
+@pytest.mark.parametrize("distance", [0, 1, 2, 3])
+def test_crowd_links_are_stars_on_the_nearest(spark, distance):
+    prints = crowd_of(random.Random(distance))
+    far, near = (distance + 1) // 2, distance // 2
+    met = defaultdict(list)
+    for p in prints:
+        for n in range(far + 1):
+            for bits in itertools.combinations(range(64), n):
+                met[p ^ sum(1 << b for b in bits)].append((n, signed(p)))
+    want = set()
+    for runs in met.values():
+        least, hub = min(runs)
+        if least <= near:
+            want |= {(hub, p) for _, p in runs if p != hub}
+    frame = spark.createDataFrame([(signed(p),) for p in prints], "fp long").repartition(5)
+    found = [(r["a"], r["b"]) for r in simhash.crowd_links(frame, distance).collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_crowd_links_run_on_over_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    frame = spark.createDataFrame([(signed(p),) for p in crowd_of(random.Random(4))], "fp long").repartition(5)
+    want = {tuple(r) for r in simhash.crowd_links(frame).collect()}
+    try:
+        spark.conf.set(name, "500")
+        assert want and {tuple(r) for r in simhash.crowd_links(frame).collect()} == want
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_crowds_are_not_broadcast(spark, tmp_path):
+    """A crowd is a small file; its balls are 2,081 times as many rows and must not go to the driver."""
+    prints = crowd_of(random.Random(6))
+    spark.createDataFrame([(signed(p),) for p in prints], "fp long").write.parquet(str(tmp_path / "crowd"))
+    links = simhash.crowd_links(spark.read.parquet(str(tmp_path / "crowd")))
+    assert links.count()
+    assert "Broadcast" not in links._jdf.queryExecution().toString()
+
+
 def test_near_duplicates_match_brute_force(spark):
     rng = random.Random(9)
     rows = doc_rows()
