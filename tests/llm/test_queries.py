@@ -1,4 +1,5 @@
 import math
+import random
 import re
 
 import pytest
@@ -6,11 +7,11 @@ import tiktoken  # noqa: F401  the brute-force twin of the last stage
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sluice.llm import langid, mixing, queries
+from sluice.llm import langid, mixing, queries, simhash
 from sluice.llm.common import words
 from sluice.plans.compare import compare
 
-from .helpers import doc_frame, doc_rows
+from .helpers import doc_frame, doc_rows, sentence
 from .test_dedup import brute_components, brute_fingerprint
 
 SF = "/root/testdata/sf0.01"
@@ -69,6 +70,26 @@ def test_stages_on_awkward_rows(spark):
         assert f(spark, doc_frame(spark, []), SF).count() == 0
 
 
+def test_near_dedup_stage_sends_no_crowd_to_the_driver(spark, monkeypatch):
+    rng = random.Random(9)
+    body = sentence(rng, 400).split()
+    rows = [(i, " ".join(w if rng.random() > 0.004 else w + "q" for w in body), "en", "s") for i in range(40)]
+    rows += [(100 + i, sentence(rng, 60), "en", "s") for i in range(5)]
+    linked, plans = simhash.crowd_links, []
+
+    def watched(*args):
+        out = linked(*args)
+        plans.append(out._jdf.queryExecution().toString())
+        return out
+
+    monkeypatch.setattr(simhash, "CROWD", 3)
+    monkeypatch.setattr(simhash, "crowd_links", watched)
+    near = corpus_pipeline.near_duplicates(spark, doc_frame(spark, rows), SF)
+    group = brute_components([brute_fingerprint(t) for _, t, *_ in rows])
+    assert sorted(r["doc_id"] for r in near.collect()) == sorted({rows[g][0] for g in group.values()})
+    assert plans and not any("Broadcast" in p for p in plans)
+
+
 def test_language_stage_rejects_noise_and_keeps_clean_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     noise = ["zxqj kvwq xzjq " * 30, "qqq www zzz xxx jjj " * 20, "ab" * 400, "kjh qwpoeiu zmxncb " * 40, "123 456", "!!!"]
